@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -66,24 +67,18 @@ def normal_name(name, rm_namespaces=("Template",), code: str | None = None, capi
     dropped; underscores become blanks; runs of white space become one blank.
     """
 
-    def drop_lead_colon(c: Column) -> Column:
-        head, sep, tail = partition(c, ":")
-        return F.when((head == "") & sep, F.trim(tail)).otherwise(c)
+    def without_head(c: Column, heads) -> Column:
+        words = "|".join(re.escape(h) for h in heads)
+        return F.regexp_replace(c, rf"(?iu)^ *(?:{words}) *(?:: *|\z)", "")
 
     c = trim_ws(F.regexp_replace(_col(name), r"(?s)<!--.*?(?:-->|\z)", ""))
     if code:
-        c = drop_lead_colon(c)
-        head, _, tail = partition(c, ":")
-        c = F.when(F.lower(F.trim(head)) == code.lower(), F.trim(tail)).otherwise(c)
-    c = drop_lead_colon(c)
-    head, _, tail = partition(c, ":")
-    listed = F.lower(F.trim(head)).isin([n.lower() for n in rm_namespaces])
-    c = F.when((head != "") & listed, F.trim(tail)).otherwise(c)
+        c = without_head(F.regexp_replace(c, "^: *", ""), [code])
+    c = without_head(F.regexp_replace(c, "^: *", ""), rm_namespaces)
     c = F.replace(c, F.lit("_"), F.lit(" "))
     if capitalize:
         c = first_upper(c)
-    c = partition(c, "#")[0]
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "(?s)#.*", ""), r"(?U)\s+", " "))
 
 
 def first_upper(c: Column) -> Column:

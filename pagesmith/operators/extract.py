@@ -524,14 +524,14 @@ def tables(pages: DataFrame, recursive: bool = False) -> DataFrame:
     return table_columns(found)
 
 
-def table_columns(found: DataFrame) -> DataFrame:
+def table_columns(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     found = found.withColumn("caption_match", match_positions(_CAPTION, F.col("string"), F.col("mask"))).withColumn(
         "caption_match", F.try_element_at("caption_match", F.lit(1))
     )
     line_end = F.instr("mask", "\n")
     first_line = cut("string", F.lit(2), F.when(line_end > 0, line_end - 1).otherwise(F.length("string")))
     return found.select(
-        *KEY, "kind", "start", "end", "string", "mask",
+        *KEY, *keep, "kind", "start", "end", "string", "mask",
         F.col("caption_match.texts")[2].alias("caption"),
         F.col("caption_match.texts")[1].alias("caption_attrs"),
         F.col("caption_match.starts").alias("caption_starts"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagesmith.operators.ingest import latest, prepare
 from pagesmith.schemas import ORD, PAGES
@@ -34,8 +33,3 @@ def current_pages(spark: SparkSession, path_out: str) -> DataFrame:
     """The page table after all batches: per key the last batch wins, then dump order."""
     batches = spark.read.schema(f"ord {ORD}, {PAGES}, batch_no bigint").parquet(path_out)
     return latest(batches, "batch_no", "ord").drop("batch_no", "ord")
-
-
-def compact(spark: SparkSession, path_out: str, target: str) -> None:
-    """Write the current table to another folder, for instance before archiving batches."""
-    current_pages(spark, path_out).withColumn("batch_no", F.lit(0)).write.partitionBy("namespace_id").parquet(target)
