@@ -35,7 +35,7 @@ def partition(c: Column, separator: str) -> tuple[Column, Column, Column]:
     """Head, whether the separator occurs, and tail, as Python's str.partition."""
     at = F.instr(c, separator)
     head = F.when(at > 0, c.substr(F.lit(1), at - 1)).otherwise(c)
-    tail = F.when(at > 0, c.substr(at + len(separator), F.length(c))).otherwise(F.lit(""))
+    tail = F.when(at > 0, c.substr(at + len(separator), F.length(c))).when(at == 0, "")
     return head, at > 0, tail
 
 

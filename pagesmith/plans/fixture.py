@@ -8,8 +8,13 @@ parses anything.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesmith.session import shared_folder
+
 # The pieces of a body, in order. q2 and q3 are two and three apostrophes.
 PIECES = {
     "p_head": "concat(substr(text, 1, 200), chr(10))",
@@ -36,6 +41,7 @@ PIECES = {
     "p_param": "concat('{{{p|', lang, '}}}')",
     "p_lc": "' {{lc:ABC}}'",
     "p_amp": "' &amp;'",
+    "p_html": """concat(' <small id="s', ord, '">nota <i>', lang, '</i></small><br/>')""",
 }
 
 
@@ -89,9 +95,30 @@ requests AS (
 """
 
 
+_WRITTEN = ("wiki_pages", "raw_pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the fixture over the documents of that folder."""
-    return sql(spark, sf_dir, f"SELECT * FROM {name}")
+    """A table of the fixture over the documents of that folder.
+
+    The page tables are written once per session to the shared folder and read back, so
+    that queries scan a page table as they would scan a real one.
+    """
+    if name not in _WRITTEN:
+        return sql(spark, sf_dir, f"SELECT * FROM {name}")
+    digest = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{digest}-{name}"
+    if path not in _paths:
+        made = sql(spark, sf_dir, f"SELECT * FROM {name}")
+        cores = spark.sparkContext.defaultParallelism
+        if made.rdd.getNumPartitions() < cores:
+            made = made.repartition(cores)
+        made.write.mode("overwrite").parquet(path)
+        _paths[path] = made.schema
+    return spark.read.schema(_paths[path]).parquet(path)
+
+
+_paths: dict = {}
 
 
 def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:

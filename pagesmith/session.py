@@ -1,10 +1,10 @@
-"""Session and lineage helpers for tests, bench and jobs."""
+"""Session helpers for tests, bench and jobs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(cores: str = "8", **conf: str) -> SparkSession:
@@ -21,15 +21,16 @@ def get_spark(cores: str = "8", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a DataFrame that several branches read, in the cluster's shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="pagesmith-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder all executors see: the one of spark.checkpoint.dir, a new one on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="pagesmith-"))
+    return _local[0]
