@@ -52,12 +52,21 @@ def attr_pairs(text: Column) -> Column:
     )
 
 
+def bind(value: Column, fn) -> Column:
+    """fn(value) with value evaluated once, however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def attr_map(text: Column) -> Column:
-    """Map of attributes; the last duplicate wins."""
-    pairs = attr_pairs(text)
-    names = F.transform(pairs, lambda p: p["name"])
-    last = F.filter(pairs, lambda p, i: F.size(names) - F.array_position(F.reverse(names), p["name"]) == i)
-    return F.map_from_entries(last)
+    """Map of attributes, empty without a text; the last duplicate wins."""
+
+    def last_of_name(pairs: Column) -> Column:
+        return F.filter(
+            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["name"] == p["name"])
+        )
+
+    nothing = F.array().cast("array<struct<name:string,value:string>>")
+    return F.map_from_entries(F.when(F.length(text) > 0, bind(attr_pairs(text), last_of_name)).otherwise(nothing))
 
 
 def normal_name(name, rm_namespaces=("Template",), code: str | None = None, capitalize: bool = False) -> Column:

@@ -15,7 +15,7 @@ from pagesmith.constants import (
 from pagesmith.functions.text import codepoint_char
 from pagesmith.operators.intervals import KEY
 from pagesmith.operators.rewrite import apply_edits
-from pagesmith.operators.segments import segment
+from pagesmith.operators.segments import segment, top_level
 
 MERGE_TEMPLATES, INSERT_TEMPLATE, TEXT_TO_TEMPLATE, ITEM_TO_TEMPLATE = 0, 3, 5, 6
 DROP_TEMPLATE, DROP_COMMENT, DROP_TAG, FIX_HIERARCHY, NORMALISE_TEMPLATE = 7, 8, 13, 15, 18
@@ -51,27 +51,31 @@ def _legacy_class(name: Column, clean: Column) -> Column:
 
 def classify_legacy_templates(pages: DataFrame) -> DataFrame:
     """K2: top-level legacy templates with what to do and the correction code."""
-    return legacy_of(segment(pages))
+    kept = top_level(pages).where(F.col("kept") & (F.col("kind") == "Template"))
+    return legacy_columns(kept).where(F.col("is_legacy")).select(
+        *KEY, "start", "end", "name", "clean_name", "class", "nth", "action", "replacement", "code", "is_error"
+    )
+
 
+def legacy_columns(rows: DataFrame) -> DataFrame:
+    """K2 on element rows; columns are null for rows that are no legacy template.
 
-def legacy_of(segments: DataFrame) -> DataFrame:
+    Repeated disambiguations go into the first one.
+    """
+    is_template = F.col("kind") == "Template"
     name = F.regexp_extract("string", r"(?s)^\{\{\s*([^|}<\n]*?)\s*(?:[|<\n].*)?\}\}$", 1)
     rest = F.regexp_extract("string", r"(?s)^\{\{[^|]*?(\|.*)?\}\}$", 1)
-    rows = segments.where(F.col("kind") == "Template").select(*KEY, "start", "end", "string", name.alias("name"), rest.alias("rest"))
+    rows = rows.withColumn("name", F.when(is_template, name))
     rows = rows.withColumn("clean_name", F.regexp_replace("name", TEMPLATE_PREFIX_PATTERN, ""))
     rows = rows.withColumn("class", _legacy_class(F.col("name"), F.col("clean_name")))
-    rows = rows.where(F.col("class").isNotNull() | (F.col("name") != F.col("clean_name")))
-    nth = F.row_number().over(Window.partitionBy(*KEY, "class").orderBy("start"))
-    rows = rows.withColumn("nth", nth)
     kind = F.col("class")
+    of_class = Window.partitionBy(*KEY, "class").orderBy("start")
+    all_of_class = of_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("nth", F.when(kind.isNotNull(), F.row_number().over(of_class))).withColumn(
+        "all_args", F.collect_list(F.when(kind == "desambiguación", rest)).over(all_of_class)
+    )
     repeated = (kind == "desambiguación") & (F.col("nth") > 1)
     is_error = (kind == "unicode") & (F.col("nth") > 1)
-    merged = (
-        rows.where(kind == "desambiguación")
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "rest"))).alias("all"))
-        .select(*KEY, F.concat(F.lit("{{desambiguación"), F.array_join("all.rest", ""), F.lit("}}")).alias("merged"))
-    )
     code = F.lower(F.regexp_replace(F.split_part("name", F.lit("-"), F.lit(1)), "[^a-zA-Z]+", ""))
     number = F.regexp_extract("string", r"uniact=([0-9]+)[|}]", 1)
     char = F.when(number != "", codepoint_char(number))
@@ -84,7 +88,7 @@ def legacy_of(segments: DataFrame) -> DataFrame:
     )
     replacement = (
         F.when(kind == "lengua", F.concat(F.lit("{{lengua|"), code, F.lit("}}")))
-        .when((kind == "desambiguación") & ~repeated, F.col("merged"))
+        .when((kind == "desambiguación") & ~repeated, F.concat(F.lit("{{desambiguación"), F.array_join("all_args", ""), F.lit("}}")))
         .when((kind == "unicode") & ~is_error, F.concat(F.lit("{{mostrar-unicode|"), char, F.lit("}}")))
     )
     correction = (
@@ -92,28 +96,31 @@ def legacy_of(segments: DataFrame) -> DataFrame:
         .when((kind == "lengua") | (F.col("name") != F.col("clean_name")), NORMALISE_TEMPLATE)
         .when(action == "delete", DROP_TEMPLATE)
     )
-    return rows.join(merged, KEY, "left").select(
-        *KEY, "start", "end", "name", "clean_name", "class", "nth",
-        action.alias("action"), F.when(action == "replace", replacement).alias("replacement"),
-        correction.alias("code"), is_error.alias("is_error"),
-    )
+    return rows.withColumns({
+        "is_legacy": is_template & (kind.isNotNull() | (F.col("name") != F.col("clean_name"))),
+        "action": action,
+        "replacement": F.when(action == "replace", replacement),
+        "code": correction,
+        "is_error": is_error,
+    })
 
 
 def syllable_refs(pages: DataFrame) -> DataFrame:
     """K3: ``ref`` tags that hold a syllable division or stand before one."""
-    return syllables_of(segment(pages))
+    return syllable_columns(segment(pages)).where(F.col("inside") | F.col("after")).select(
+        *KEY, "start", "end", "inside", "after"
+    )
 
 
-def syllables_of(segments: DataFrame) -> DataFrame:
-    following = F.lead("string").over(Window.partitionBy(*KEY).orderBy("ord"))
+def syllable_columns(segments: DataFrame) -> DataFrame:
+    """K3 on segment rows; both flags are false for rows that are no ``ref``."""
+    following = F.lead("string").over(Window.partitionBy(*KEY).orderBy("start"))
     is_ref = (F.col("kind") == "ExtensionTag") & F.col("string").rlike(r"^<ref[\s>/]")
-    return (
-        segments.withColumn("following", following)
-        .where(is_ref)
-        .select(*KEY, "start", "end", F.col("string").rlike(SYLLABLE_PATTERN).alias("inside"),
-                F.coalesce(F.col("following").rlike(SYLLABLE_PATTERN), F.lit(False)).alias("after"))
-        .where(F.col("inside") | F.col("after"))
-    )
+    rows = segments.withColumn("following", F.when(is_ref, following))
+    return rows.withColumns({
+        "inside": is_ref & F.col("string").rlike(SYLLABLE_PATTERN),
+        "after": is_ref & F.coalesce(F.col("following").rlike(SYLLABLE_PATTERN), F.lit(False)),
+    }).drop("following")
 
 
 def corrections_table(spark) -> DataFrame:
@@ -123,15 +130,13 @@ def corrections_table(spark) -> DataFrame:
 
 def page_corrections(pages: DataFrame) -> DataFrame:
     """K4: one row per page and correction it needs, with the label."""
-    segments = segment(pages)
+    rows = legacy_columns(syllable_columns(segment(pages)))
     by_kind = F.when(F.col("kind") == "Comment", DROP_COMMENT).when(F.col("kind") == "SectionTitle", FIX_HIERARCHY)
+    found = F.array(by_kind, F.col("code"), F.when(F.col("inside") | F.col("after"), DROP_TAG))
     rule_code = F.create_map(*[F.lit(x) for pair in _RULE_CODES.items() for x in pair])[F.col("kind")]
     codes = (
-        segments.select(*KEY, by_kind.alias("code"))
-        .unionByName(legacy_of(segments).select(*KEY, "code"))
-        .unionByName(syllables_of(segments).select(*KEY, F.lit(DROP_TAG).alias("code")))
+        rows.select(*KEY, F.explode(F.array_compact(found)).alias("code"))
         .unionByName(label_suggestions(pages).select(*KEY, rule_code.alias("code")))
-        .where(F.col("code").isNotNull())
         .distinct()
     )
     labels = F.array(*[F.lit(label) for label in CORRECTION_LABELS])
@@ -145,8 +150,7 @@ def correction_counts(pages: DataFrame) -> DataFrame:
 
 def correct_pages(pages: DataFrame) -> DataFrame:
     """K5: pages without legacy templates and comments; all else stays in order."""
-    segments = segment(pages)
-    comments = segments.where(F.col("kind") == "Comment").select(*KEY, "start", "end", F.lit("").alias("new"))
-    legacy = legacy_of(segments).where(F.col("action") != "keep")
-    changes = legacy.select(*KEY, "start", "end", F.coalesce("replacement", F.lit("")).alias("new"))
-    return apply_edits(pages, comments.unionByName(changes))
+    kept = top_level(pages).where(F.col("kept"))
+    chosen = legacy_columns(kept.where(F.col("kind").isin("Comment", "Template")))
+    changes = chosen.where((F.col("kind") == "Comment") | (F.col("is_legacy") & (F.col("action") != "keep")))
+    return apply_edits(pages, changes.select(*KEY, "start", "end", F.coalesce("replacement", F.lit("")).alias("new")))

@@ -233,7 +233,7 @@ def external_links_of(rows: DataFrame) -> DataFrame:
     mask = F.when(F.col("kind").isin("Page", "ExtensionTag"), F.col("mask")).otherwise(
         F.translate("mask", "{}", "  ")
     )
-    found = match_positions("(?i)" + _LINK_URL, F.col("string"), mask)
+    found = match_positions(_LINK_URL, F.col("string"), F.lower(mask))
     rest = F.col("m.texts")[2]
     return (
         rows.withColumn("found", found)
@@ -586,7 +586,7 @@ def table_cells(
         *KEY, *keep, "table_start", "row", "col", value.alias("value"),
         F.when(F.col("m").isNotNull(), F.coalesce(header, F.lit(False))).alias("is_header"),
         F.col("m.texts")[5].alias("attrs_string"),
-        attr_map(F.coalesce(F.col("m.texts")[5], F.lit(""))).alias("attrs"),
+        attr_map(F.col("m.texts")[5]).alias("attrs"),
         (F.col("table_start") + F.col("m.start")).alias("cell_start"),
         (F.col("table_start") + F.col("m.starts")[5]).alias("attrs_start"),
         (F.col("table_start") + F.col("m.starts")[6]).alias("value_start"),
@@ -602,6 +602,6 @@ def table_cells(
 
 def head_int(attrs: Column, name: str) -> Column:
     """Leading integer of the last attribute of that name; 1 when there is none."""
-    values = F.transform(F.filter(attr_pairs(F.coalesce(attrs, F.lit(""))), lambda a: a["name"] == name), lambda a: a["value"])
-    digits = F.regexp_extract(F.try_element_at(values, F.lit(-1)), r"^\s*(\d+)", 1)
-    return F.coalesce(F.when(digits != "", digits.cast("int")), F.lit(1))
+    values = F.transform(F.filter(attr_pairs(attrs), lambda a: a["name"] == name), lambda a: a["value"])
+    number = F.regexp_extract(F.try_element_at(values, F.lit(-1)), r"^\s*(\d+)", 1).try_cast("int")
+    return F.when(attrs.contains(name), F.coalesce(number, F.lit(1))).otherwise(1)

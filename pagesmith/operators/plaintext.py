@@ -101,7 +101,7 @@ def plain_text(
         mask = F.when(kind.isin("Page", "ExtensionTag"), F.col("mask")).when(
             kind.isin("Template", "ParserFunction", "Parameter"), F.translate("mask", "{}", "  ")
         )
-        links = F.filter(match_positions("(?i)" + _LINK_URL, F.col("string"), mask), lambda m: m["texts"][1].isNotNull())
+        links = F.filter(match_positions(_LINK_URL, F.col("string"), F.lower(mask)), lambda m: m["texts"][1].isNotNull())
 
         def link_edits(m):
             start, end = base + m["start"], base + m["end"]

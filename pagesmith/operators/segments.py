@@ -49,7 +49,7 @@ def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     quotes = quote_runs(F.when(quotable, cut("string", head, stop)), F.when(quotable, cut("mask", head, stop)))
     everything = F.concat(
         own,
-        placed(match_positions("(?i)" + _LINK_URL, F.col("string"), linkable), "ExternalLink", **whole),
+        placed(match_positions(_LINK_URL, F.col("string"), F.lower(linkable)), "ExternalLink", **whole),
         placed(match_positions(_HEADING, F.col("string"), page_mask), "SectionTitle", **whole),
         placed(_list_runs(LIST_PATTERNS, None, ("",), F.col("string"), page_mask), "WikiList"),
         placed(quotes, offset=base + head),
@@ -64,17 +64,17 @@ def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     )
 
 
-def outer_elements(pages: DataFrame) -> DataFrame:
-    """Elements in the order of the segmentation, tables inside tables dropped."""
-    order = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+def top_level(pages: DataFrame) -> DataFrame:
+    """W1, first half: the elements that the segmentation keeps, with the frontier before them.
+
+    Tables inside tables are dropped first, as only outer tables are listed. Both windows
+    sort the same way, so rows are shuffled and sorted once.
+    """
+    order = Window.partitionBy(*KEY).orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
     is_table = F.col("kind") == "Table"
-    table_frontier = F.max(F.when(is_table, F.col("end"))).over(order)
-    return (
-        elements(pages)
-        .withColumn("table_frontier", table_frontier)
-        .where(~is_table | F.col("table_frontier").isNull() | (F.col("end") >= F.col("table_frontier")))
-        .drop("table_frontier")
-    )
+    table_frontier = F.coalesce(F.max(F.when(is_table, F.col("end"))).over(order), F.lit(0))
+    outer = elements(pages).withColumn("table_frontier", table_frontier)
+    return frontier(outer.where(~is_table | (F.col("end") >= F.col("table_frontier"))).drop("table_frontier"))
 
 
 def document_order(elements: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def segment(pages: DataFrame) -> DataFrame:
     An element is kept when it starts at or after the furthest end of all earlier
     elements; a dropped one still moves that frontier.
     """
-    swept = frontier(outer_elements(pages))
+    swept = top_level(pages)
     gap = F.struct(F.lit("Text").alias("kind"), F.col("frontier").alias("start"), F.col("start").alias("end"))
     own = F.struct("kind", "start", "end")
     emitted = (
