@@ -26,7 +26,7 @@ def main() -> None:
     only = os.environ.get("BENCH_QUERIES")
     spark = get_spark(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
-    for name in ("wiki_pages", "raw_pages"):
+    for name in ("wiki_pages", "raw_pages", "requests"):
         table(spark, sf_dir, name)
     cold, warm = {}, {}
     for name in only.split(",") if only else HEADLINE:

@@ -223,6 +223,13 @@ def scan_page(body):
     _html_pairs(shadow, found)
     _tables(shadow, 0, found)
     found.sort(key=lambda f: (f[1], -f[2]))
+    # Tables that end inside an earlier one are told apart.
+    frontier = 0
+    for i, (kind, start, end, text) in enumerate(found):
+        if kind == "Table":
+            if end < frontier:
+                found[i] = ("InnerTable", start, end, text)
+            frontier = max(frontier, end)
     return [("Page", 0, len(body), shadow), *found]
 
 
@@ -238,6 +245,7 @@ MATCHES_TYPE = _structs(
     texts=lambda: T.ArrayType(T.StringType()),
     starts=lambda: T.ArrayType(T.IntegerType()),
     mask=T.StringType,
+    which=T.IntegerType,
 )
 LAYOUT_TYPE = _structs(row=T.IntegerType, col=T.IntegerType, cell=T.IntegerType)
 
@@ -276,36 +284,38 @@ def _scan(body: pa.Array) -> pa.Array:
 scan_elements = _scan.asNondeterministic()
 
 
-def match_positions(pattern, text, mask=None):
-    """array<struct<start,end,texts,starts,mask>>: matches of a pattern in mask, cut from text.
+def match_positions(patterns, text, mask=None):
+    """array<struct<start,end,texts,starts,mask,which>>: matches in mask, cut from text.
 
-    Index 0 of ``texts`` is the whole match; a group that took no part is null.
-    The pattern is Python ``re`` syntax. Start positions are code points.
+    Index 0 of ``texts`` is the whole match; a group that took no part is null. Start
+    positions are code points. Patterns are Python ``re`` syntax; of a list each one is
+    searched by itself and ``which`` is its index.
     """
-    compiled = re.compile(pattern)
+    compiled = [re.compile(p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
 
     @F.arrow_udf(MATCHES_TYPE)
     def run(text: pa.Array, mask: pa.Array) -> pa.Array:
-        counts, starts, ends, texts, positions, masks = [], [], [], [], [], []
+        counts, starts, ends, texts, positions, masks, which = [], [], [], [], [], [], []
         for full, masked in zip(text.to_pylist(), mask.to_pylist()):
-            n = 0
+            before = len(starts)
             if full is not None and masked is not None:
-                for m in compiled.finditer(masked):
-                    n += 1
-                    spans = [m.span(g) for g in range(compiled.groups + 1)]
-                    starts.append(spans[0][0])
-                    ends.append(spans[0][1])
-                    texts.append([full[s:e] if s >= 0 else None for s, e in spans])
-                    positions.append([s if s >= 0 else None for s, _ in spans])
-                    masks.append(m[0])
-            counts.append(n)
+                for number, pattern in enumerate(compiled):
+                    for m in pattern.finditer(masked):
+                        spans = m.regs
+                        starts.append(spans[0][0])
+                        ends.append(spans[0][1])
+                        texts.append([full[s:e] if s >= 0 else None for s, e in spans])
+                        positions.append([s if s >= 0 else None for s, _ in spans])
+                        masks.append(m[0])
+                        which.append(number)
+            counts.append(len(starts) - before)
         return _nested(
             counts,
-            ["start", "end", "texts", "starts", "mask"],
+            ["start", "end", "texts", "starts", "mask", "which"],
             [
                 pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
                 pa.array(texts, pa.list_(pa.string())), pa.array(positions, pa.list_(pa.int32())),
-                pa.array(masks, pa.string()),
+                pa.array(masks, pa.string()), pa.array(which, pa.int32()),
             ],
         )
 
@@ -490,6 +500,22 @@ def table_layout(cells, expand):
     return run(cells)
 
 
+@F.arrow_udf(T.StringType())
+def grid_text(slots: pa.Array, values: pa.Array) -> pa.Array:
+    """Rows of tab-joined slots; all columns but the last are padded to their width."""
+    texts = []
+    for layout, cells in zip(slots.to_pylist(), values.to_pylist()):
+        if not layout:
+            texts.append(None)
+            continue
+        rows = [[] for _ in range(layout[-1]["row"] + 1)]
+        for slot in layout:
+            rows[slot["row"]].append(cells[slot["cell"]] if slot["cell"] is not None else "")
+        widths = [max(map(len, column)) for column in zip(*rows)][:-1] + [0]
+        texts.append("\n".join("\t".join(v.ljust(w) for v, w in zip(row, widths)) for row in rows))
+    return pa.array(texts, pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def unescape_entities(text: pa.Array) -> pa.Array:
     """HTML entities to characters."""

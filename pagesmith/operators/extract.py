@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagesmith.constants import URL_SCHEMES
-from pagesmith.functions.scan import cut_spans, match_positions, quote_runs, scan_elements, table_layout
-from pagesmith.operators.intervals import KEY, outermost
+from pagesmith.functions.scan import cut_spans, grid_text, match_positions, quote_runs, scan_elements, table_layout
+from pagesmith.operators.intervals import KEY
 from pagesmith.functions.text import attr_map, attr_pairs, cut, trim_ws
 
 NESTED = ["Comment", "ExtensionTag", "Parameter", "ParserFunction", "Template", "WikiLink"]
@@ -400,30 +400,24 @@ def bold_italic_of(rows: DataFrame) -> DataFrame:
 # --- X16, X17: lists ----------------------------------------------------------------
 
 
-def _list_runs(patterns, prefix_column, prefixes, text, mask):
+def _list_runs(patterns, text, mask, prefixes=("",), prefix_column=None):
     """Runs of lines that start with prefix + pattern, as one array."""
-
-    def runs_of(full):
-        # (?=...) captures the start of the first line: its length is the level.
-        run = rf"(?m)(?=^({full}))(?:^(?:{full})[^\n]*(?:\n|\Z))+"
-        return F.transform(
-            match_positions(run, text, mask),
-            lambda m: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), m["texts"][0].alias("string"),
-                m["mask"].alias("mask"), F.lit(full).alias("pattern"), F.length(m["texts"][1]).alias("level"),
-            ),
-        )
-
-    arrays = []
-    for prefix in prefixes:
-        for pattern in patterns:
-            runs = runs_of(prefix + pattern)
-            arrays.append(runs if prefix_column is None else F.when(prefix_column == prefix, runs).otherwise(_none_of(runs)))
-    return F.concat(*arrays)
-
-
-def _none_of(array):
-    return F.filter(array, lambda _: F.lit(False))
+    full = [prefix + pattern for prefix in prefixes for pattern in patterns]
+    # (?=...) captures the start of the first line: its length is the level.
+    runs = [rf"(?m)(?=^({f}))(?:^(?:{f})[^\n]*(?:\n|\Z))+" for f in full]
+    found = match_positions(runs, text, mask)
+    if prefix_column is not None:
+        first = [i * len(patterns) for i in range(len(prefixes))]
+        mine = F.create_map(*[F.lit(x) for pair in zip(prefixes, first) for x in pair])[prefix_column]
+        found = F.filter(found, lambda m: (m["which"] >= mine) & (m["which"] < mine + len(patterns)))
+    names = F.array(*[F.lit(f) for f in full])
+    return F.transform(
+        found,
+        lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["texts"][0].alias("string"),
+            m["mask"].alias("mask"), names[m["which"]].alias("pattern"), F.length(m["texts"][1]).alias("level"),
+        ),
+    )
 
 
 def lists(pages: DataFrame, pattern=LIST_PATTERNS) -> DataFrame:
@@ -433,7 +427,7 @@ def lists(pages: DataFrame, pattern=LIST_PATTERNS) -> DataFrame:
 
 def lists_of(rows: DataFrame, pattern=LIST_PATTERNS) -> DataFrame:
     patterns = (pattern,) if isinstance(pattern, str) else tuple(pattern)
-    runs = _list_runs(patterns, None, ("",), F.col("string"), F.col("mask"))
+    runs = _list_runs(patterns, F.col("string"), F.col("mask"))
     return (
         rows.withColumn("found", runs)
         .select(*KEY, F.col("start").alias("base"), F.explode("found").alias("l"))
@@ -448,19 +442,19 @@ def list_items(lists: DataFrame, patterns=LIST_PATTERNS) -> DataFrame:
     ``; a : b`` gives two items. ``patterns`` are those the lists may have.
     """
     url = rf"\b(?:{_SCHEMES})[^\s\"<>\[\]]+"
-    arrays = []
+    expressions = []
     for p in patterns:
         deeper = rf"(?:^(?:{p})[:;#*][^\n]*(?:\n|\Z))*"
-        item = (
+        expressions.append(
             rf"(?m)^({p})(?:"
             rf"(?<=;)((?:{url}|[^:\x04\n])*+)(?:([:\x04][^\n]*))?(?:\n|\Z){deeper}"
             rf"|(?=[:;#*])()[^\n]*(?:\n|\Z){deeper}"
             rf"|([^\n]*)(?:\n|\Z){deeper})"
         )
-        found = match_positions(item, F.col("string"), F.col("mask"))
-        arrays.append(F.when(F.col("pattern") == p, found).otherwise(_none_of(found)))
+    mine = F.array_position(F.array(*[F.lit(p) for p in patterns]), F.col("pattern")) - 1
+    found = F.filter(match_positions(expressions, F.col("string"), F.col("mask")), lambda m: m["which"] == mine)
     base = F.col("start")
-    rows = lists.withColumn("found", F.concat(*arrays)).select(
+    rows = lists.withColumn("found", found).select(
         *KEY, "start", "end", "pattern", "level", F.explode("found").alias("m")
     )
     whole = F.struct(
@@ -487,7 +481,7 @@ def sublists(lists: DataFrame, item_span: bool = False, patterns=LIST_PATTERNS)
     inside that item are returned.
     """
     extra = ["item_start", "item_end"] if item_span else []
-    runs = _list_runs(patterns, F.col("pattern"), patterns, F.col("string"), F.col("mask"))
+    runs = _list_runs(patterns, F.col("string"), F.col("mask"), patterns, F.col("pattern"))
     found = (
         lists.withColumn("found", runs)
         .select(*KEY, F.col("start").alias("list_start"), *extra, F.explode("found").alias("l"))
@@ -518,10 +512,8 @@ def tables(pages: DataFrame, recursive: bool = False) -> DataFrame:
 
     Without ``recursive`` only tables outside other tables are returned.
     """
-    found = texts(pages, ["Table"])
-    if not recursive:
-        found = outermost(found)
-    return table_columns(found)
+    found = texts(pages, ["Table", "InnerTable"] if recursive else ["Table"])
+    return table_columns(found.withColumn("kind", F.lit("Table")))
 
 
 def table_columns(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -553,37 +545,47 @@ def table_row_attrs(tables: DataFrame) -> DataFrame:
     )
 
 
-def table_cells(
-    tables: DataFrame, span: bool = True, strip: bool = True, row: int | None = None, column: int | None = None,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Row, col, value, is_header and attributes of every slot of every table."""
+def _cell_pieces(tables: DataFrame, span: bool) -> DataFrame:
+    """Row breaks and cells of each table as ``pieces`` and their layout as ``slots``."""
     # In header cells !! separates like ||; mark it so that it is told from text.
     mask = F.regexp_replace("mask", r"(\G(?!\A)|\n\s*!)((?:(?!\n\s*[|!])[\s\S])*?)!!", "$1$2\x05\x05")
     found = match_positions(_CELL, F.col("string"), mask)
-    pieces = F.filter(found, lambda m: m["texts"][2].isNull())
-    rows = tables.select(*KEY, *keep, F.col("start").alias("table_start"), pieces.alias("pieces"))
-    rows = rows.withColumn(
-        "cells",
-        F.transform(
-            "pieces",
-            lambda m: F.struct(
-                m["texts"][1].isNotNull().alias("is_break"),
-                head_int(m["texts"][5], "colspan").alias("colspan"),
-                head_int(m["texts"][5], "rowspan").alias("rowspan"),
-            ),
+    cells = F.transform(
+        "pieces",
+        lambda m: F.struct(
+            m["texts"][1].isNotNull().alias("is_break"),
+            head_int(m["texts"][5], "colspan").alias("colspan"),
+            head_int(m["texts"][5], "rowspan").alias("rowspan"),
         ),
-    ).withColumn("slots", table_layout(F.col("cells"), span))
-    cell = F.col("pieces")[F.col("s.cell")]
-    rows = rows.select(*KEY, *keep, "table_start", "pieces", F.explode("slots").alias("s")).select(
-        *KEY, *keep, "table_start", F.col("s.row").alias("row"), F.col("s.col").alias("col"), cell.alias("m")
-    )
-    value = F.col("m.texts")[6]
-    if strip:
-        value = F.rtrim(F.ltrim(value), F.lit("\r\n\t "))
+    )
+    rows = tables.withColumn("pieces", F.filter(found, lambda m: m["texts"][2].isNull()))
+    return rows.withColumn("slots", table_layout(cells, span))
+
+
+def cell_value(texts: Column, strip: bool = True) -> Column:
+    value = texts[6]
+    return F.rtrim(F.ltrim(value), F.lit("\r\n\t ")) if strip else value
+
+
+def table_cells(
+    tables: DataFrame, span: bool = True, strip: bool = True, row: int | None = None, column: int | None = None
+) -> DataFrame:
+    """Row, col, value, is_header and attributes of every slot of every table."""
+    slots = F.col("slots")
+    if row is not None:
+        slots = F.filter(slots, lambda s: s["row"] == row)
+    if column is not None:
+        slots = F.filter(slots, lambda s: s["col"] == column)
+    # A slot takes its cell along, so that the list of cells is not copied per slot.
+    filled = F.transform(
+        slots, lambda s: F.struct(s["row"].alias("row"), s["col"].alias("col"), F.col("pieces")[s["cell"]].alias("m"))
+    )
+    rows = _cell_pieces(tables, span).select(
+        *KEY, F.col("start").alias("table_start"), F.explode(filled).alias("s")
+    ).select(*KEY, "table_start", "s.*")
     header = (F.col("m.texts")[3] == "!") | F.col("m.texts")[4].eqNullSafe("!!")
-    rows = rows.select(
-        *KEY, *keep, "table_start", "row", "col", value.alias("value"),
+    return rows.select(
+        *KEY, "table_start", "row", "col", cell_value(F.col("m.texts"), strip).alias("value"),
         F.when(F.col("m").isNotNull(), F.coalesce(header, F.lit(False))).alias("is_header"),
         F.col("m.texts")[5].alias("attrs_string"),
         attr_map(F.col("m.texts")[5]).alias("attrs"),
@@ -593,11 +595,19 @@ def table_cells(
         (F.col("table_start") + F.col("m.end")).alias("value_end"),
         F.length(F.regexp_extract(F.col("m.mask"), r"^(?:\n\s*[|!]|\|?\x05\x05|\|\|)", 0)).alias("mark_length"),
     )
-    if row is not None:
-        rows = rows.where(F.col("row") == row)
-    if column is not None:
-        rows = rows.where(F.col("col") == column)
-    return rows
+
+
+def table_text(tables: DataFrame) -> DataFrame:
+    """The rows of X18 with ``text``: caption line, then rows of tab-joined padded cells.
+
+    The width of a text is its number of characters; the last column is not padded.
+    """
+    rows = _cell_pieces(tables, span=True)
+    values = F.transform("pieces", lambda m: cell_value(m["texts"]))
+    grid = grid_text(F.col("slots"), values)
+    head = F.when(F.col("caption").isNotNull(), F.concat(F.lit("\n"), "caption", F.lit("\n"))).otherwise("")
+    text = F.when(F.col("grid").isNull(), F.lit("")).otherwise(F.concat(head, F.lit("\n"), "grid", F.lit("\n")))
+    return rows.withColumn("grid", grid).withColumn("text", text).drop("pieces", "slots", "grid")
 
 
 def head_int(attrs: Column, name: str) -> Column:

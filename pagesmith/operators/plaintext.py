@@ -1,4 +1,4 @@
-"""Wikitext to plain text over a whole corpus.
+"""Wikitext to plain text over a whole corpus.
 
 Every element row yields the spans to delete or replace; they are gathered once per
 page, merged, and applied in one pass. Outer tables are cut out as pieces of their own,
@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagesmith.constants import FILE_EXTENSIONS
 from pagesmith.functions.scan import match_positions, quote_runs, scan_elements, splice_parts, unescape_entities
 from pagesmith.functions.text import cut, normal_name, partition
-from pagesmith.operators.extract import _LINK_URL, quote_bounds, table_cells, table_columns, texts
+from pagesmith.operators.extract import _LINK_URL, quote_bounds, table_columns, table_text, texts
 from pagesmith.operators.intervals import KEY
 
 _EDIT = "array<struct<start:int,end:int,new:string,merge:boolean>>"
@@ -161,36 +160,8 @@ def _with_tables(by_page: DataFrame) -> DataFrame:
     is_table = F.col("piece") % 2 == 1
     scanned = pieces.withColumn("found", scan_elements(F.when(is_table, F.col("body"))))
     table = F.try_element_at(F.filter("found", lambda f: (f["kind"] == "Table") & (f["start"] == 0)), F.lit(1))
-    scanned = scanned.select(*KEY, "piece", F.when(~is_table, F.col("body")).alias("text"), table.alias("t"))
-    plain = scanned.where(F.col("t").isNull()).select(*KEY, "piece", F.coalesce("text", F.lit("")).alias("text"))
-    tables = scanned.where(F.col("t").isNotNull()).select(*KEY, "piece", "t.*")
-    both = plain.unionByName(table_text(tables, keep=("piece",)).select(*KEY, "piece", "text"))
+    tables = scanned.select(*KEY, "piece", F.when(~is_table, F.col("body")).alias("plain"), table.alias("t"))
+    tables = table_columns(tables.select(*KEY, "piece", "plain", "t.*"), keep=("piece", "plain"))
+    texts = table_text(tables).select(*KEY, "piece", F.coalesce("plain", "text").alias("text"))
     parts = F.array_sort(F.collect_list(F.struct("piece", "text")))
-    return both.groupBy(*KEY).agg(parts.alias("parts")).select(*KEY, F.array_join("parts.text", "").alias("text"))
-
-
-def table_text(tables: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Caption line, then rows of tab-joined cells padded to their column's width.
-
-    The width of a text is its number of characters; the last column is not padded.
-    """
-    by = [*KEY, *keep, "table_start"]
-    cells = table_cells(tables, keep=keep).withColumn("value", F.coalesce("value", F.lit("")))
-    column = Window.partitionBy(*by, "col")
-    whole = Window.partitionBy(*by)
-    width = F.when(F.col("col") < F.max("col").over(whole), F.max(F.length("value")).over(column)).otherwise(0)
-    padded = F.when(F.length("value") < width, F.rpad("value", width, F.lit(" "))).otherwise(F.col("value"))
-    cells = cells.select(*by, "row", "col", padded.alias("value"))
-    rows = cells.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
-    lines = rows.select(*by, "row", F.array_join("cells.value", "\t").alias("line"))
-    text = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines")).select(
-        *by, F.concat(F.lit("\n"), F.array_join("lines.line", "\n"), F.lit("\n")).alias("grid")
-    )
-    captions = _with_caption(tables, keep)
-    joined = captions.join(text, by, "left")
-    head = F.when(F.col("caption").isNotNull(), F.concat(F.lit("\n"), "caption", F.lit("\n"))).otherwise("")
-    return joined.select(*by, F.when(F.col("grid").isNull(), F.lit("")).otherwise(F.concat(head, "grid")).alias("text"))
-
-
-def _with_caption(tables: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    return table_columns(tables, keep).select(*KEY, *keep, F.col("start").alias("table_start"), "caption")
+    return texts.groupBy(*KEY).agg(parts.alias("parts")).select(*KEY, F.array_join("parts.text", "").alias("text"))

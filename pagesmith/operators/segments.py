@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagesmith.functions.scan import cut_spans, match_positions, quote_runs
 from pagesmith.functions.text import cut
@@ -45,13 +44,13 @@ def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         )
 
     whole = {"text": lambda m: m["texts"][0]}
-    own = F.when(is_page, F.array()).otherwise(F.array(F.struct("kind", "start", "end", "string")))
+    own = F.when(F.col("kind").isin("Page", "InnerTable"), F.array()).otherwise(F.array(F.struct("kind", "start", "end", "string")))
     quotes = quote_runs(F.when(quotable, cut("string", head, stop)), F.when(quotable, cut("mask", head, stop)))
     everything = F.concat(
         own,
         placed(match_positions(_LINK_URL, F.col("string"), F.lower(linkable)), "ExternalLink", **whole),
         placed(match_positions(_HEADING, F.col("string"), page_mask), "SectionTitle", **whole),
-        placed(_list_runs(LIST_PATTERNS, None, ("",), F.col("string"), page_mask), "WikiList"),
+        placed(_list_runs(LIST_PATTERNS, F.col("string"), page_mask), "WikiList"),
         placed(quotes, offset=base + head),
     )
     if kinds is not None:
@@ -65,16 +64,8 @@ def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
 
 def top_level(pages: DataFrame) -> DataFrame:
-    """W1, first half: the elements that the segmentation keeps, with the frontier before them.
-
-    Tables inside tables are dropped first, as only outer tables are listed. Both windows
-    sort the same way, so rows are shuffled and sorted once.
-    """
-    order = Window.partitionBy(*KEY).orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
-    is_table = F.col("kind") == "Table"
-    table_frontier = F.coalesce(F.max(F.when(is_table, F.col("end"))).over(order), F.lit(0))
-    outer = elements(pages).withColumn("table_frontier", table_frontier)
-    return frontier(outer.where(~is_table | (F.col("end") >= F.col("table_frontier"))).drop("table_frontier"))
+    """W1, first half: all elements, whether the segmentation keeps them, and the frontier before them."""
+    return frontier(elements(pages))
 
 
 def document_order(elements: DataFrame) -> DataFrame:

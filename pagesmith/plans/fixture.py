@@ -95,7 +95,7 @@ requests AS (
 """
 
 
-_WRITTEN = ("wiki_pages", "raw_pages")
+_WRITTEN = ("wiki_pages", "raw_pages", "requests")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

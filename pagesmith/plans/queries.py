@@ -315,7 +315,7 @@ def j8_nesting_level(spark, sf):
 
 @query
 def j8_table_nesting(spark, sf):
-    return W.nesting_level(X.texts(wiki(spark, sf), ["Table"]), ("Table",))
+    return W.nesting_level(X.tables(wiki(spark, sf), recursive=True), ("Table",))
 
 
 @query
@@ -603,7 +603,7 @@ def t2_replacement_column(spark, sf):
 
 @query
 def t3_table_text(spark, sf):
-    return T.table_text(X.tables(wiki(spark, sf)))
+    return X.table_text(X.tables(wiki(spark, sf))).select(*KEY, F.col("start").alias("table_start"), "text")
 
 
 @query
