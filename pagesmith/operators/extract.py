@@ -441,7 +441,7 @@ def list_items(lists: DataFrame, patterns=LIST_PATTERNS) -> DataFrame:
 
     ``; a : b`` gives two items. ``patterns`` are those the lists may have.
     """
-    url = rf"\b(?:{_SCHEMES})[^\s\"<>\[\]]+"
+    url = rf"\[(?:{_SCHEMES}|//)[^\]\n]*\]|\b(?:{_SCHEMES})[^\s\"<>\[\]]+"
     expressions = []
     for p in patterns:
         deeper = rf"(?:^(?:{p})[:;#*][^\n]*(?:\n|\Z))*"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesmith.constants import FILE_EXTENSIONS
 from pagesmith.functions.scan import match_positions, quote_runs, scan_elements, splice_parts, unescape_entities
-from pagesmith.functions.text import cut, normal_name, partition
+from pagesmith.functions.text import cut, normal_name
 from pagesmith.operators.extract import _LINK_URL, quote_bounds, table_columns, table_text, texts
 from pagesmith.operators.intervals import KEY
 
@@ -60,8 +60,7 @@ def _element_edits(flags: dict) -> Column:
         closing = F.length(F.regexp_extract("mask", r"\]\x00*\]$", 0))
         head = F.regexp_extract("mask", r"(?s)^\[\x00*\[([^|#]*?)(?:[|#].*|\]\x00*\])$", 1)
         title = F.col("string").substr(opening + 1, F.length(head))
-        extension = partition(partition(title, ":")[2], ".")[2]
-        is_file = ~title.startswith(":") & extension.isin(FILE_EXTENSIONS)
+        is_file = title.rlike(rf"(?s)^(?!:)[^:]*:[^.]*\.(?:{'|'.join(FILE_EXTENSIONS)})\z")
         inner = F.when(pipe > 0, s + pipe).otherwise(s + opening)
         result = result.when(is_link & is_file, whole).when(is_link, _keep(s, e, inner, e - closing))
     return F.coalesce(result, _nothing())
