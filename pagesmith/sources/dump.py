@@ -14,7 +14,8 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """A1: ``.xml.bz2`` dump to raw pages ``ord, title, ns, redirect, model, text``.
 
     Records end at ``</page>``, so one bz2 file is read by many tasks. ``text`` and
-    ``model`` are those of the first revision; absent fields take their defaults.
+    ``model`` are those of the first revision; absent fields take their defaults. A record
+    that is no well-formed XML is an error.
     """
     if not path.endswith(".bz2"):
         raise ValueError("a dump must be a .bz2 file")
@@ -38,7 +39,7 @@ def add_ord(records: DataFrame) -> DataFrame:
 def parse_records(records: DataFrame) -> DataFrame:
     at = F.instr("value", "<page>")
     xml = F.concat(F.col("value").substr(at, F.length("value")), F.lit(END))
-    page = F.from_xml(xml, _PAGE, {"ignoreSurroundingSpaces": "false"})
+    page = F.from_xml(xml, _PAGE, {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST"})
     revision = F.try_element_at("p.revision", F.lit(1))
     return (
         records.where(F.col("value").contains("<page>"))
