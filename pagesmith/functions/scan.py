@@ -2,10 +2,10 @@
 
 * ``scan_elements``  - bracket matching of one page body (comments, tags, links,
   parameters, functions, templates, tables), one left-to-right pass with a stack.
-* ``match_positions`` - regex matches *with offsets*, cut from a second string.
+* ``match_positions``, ``match_in`` - regex matches *with offsets*, cut from a second string.
 * ``splice``, ``splice_parts``, ``cut_spans`` - cut or replace many spans of one string.
 * ``table_layout``   - slots of the cells of one table.
-* ``quote_runs``     - apostrophe balancing of bold and italic, line by line.
+* ``quotes_in``      - apostrophe balancing of bold and italic, line by line.
 
 All offsets are code points, as in Spark's ``length`` and ``substring``. Spark
 partitions and shuffles the pages; a helper only ever sees one page's text.
@@ -284,6 +284,46 @@ def _scan(body: pa.Array) -> pa.Array:
 scan_elements = _scan.asNondeterministic()
 
 
+def _find(compiled, rows) -> pa.Array:
+    """Matches per row; a row is a list of (offset of the text, text, mask)."""
+    counts, starts, ends, texts, positions, masks, which = [], [], [], [], [], [], []
+    for row in rows:
+        before = len(starts)
+        for base, full, masked in row:
+            if full is None or masked is None:
+                continue
+            for number, pattern in enumerate(compiled):
+                for m in pattern.finditer(masked):
+                    spans = m.regs
+                    starts.append(base + spans[0][0])
+                    ends.append(base + spans[0][1])
+                    texts.append([full[s:e] if s >= 0 else None for s, e in spans])
+                    positions.append([base + s if s >= 0 else None for s, _ in spans])
+                    masks.append(m[0])
+                    which.append(number)
+        counts.append(len(starts) - before)
+    return _nested(
+        counts,
+        ["start", "end", "texts", "starts", "mask", "which"],
+        [
+            pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+            pa.array(texts, pa.list_(pa.string())), pa.array(positions, pa.list_(pa.int32())),
+            pa.array(masks, pa.string()), pa.array(which, pa.int32()),
+        ],
+    )
+
+
+def _rows_of(items: pa.Array):
+    """Lists of (offset, text, mask) from array<struct<base,text,mask>>."""
+    flat = items.flatten()
+    triples = zip(*[flat.field(i).to_pylist() for i in range(3)])
+    return [[next(triples) for _ in range(n or 0)] for n in items.value_lengths().to_pylist()]
+
+
+def _compile(patterns):
+    return [re.compile(p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
+
+
 def match_positions(patterns, text, mask=None):
     """array<struct<start,end,texts,starts,mask,which>>: matches in mask, cut from text.
 
@@ -291,37 +331,29 @@ def match_positions(patterns, text, mask=None):
     positions are code points. Patterns are Python ``re`` syntax; of a list each one is
     searched by itself and ``which`` is its index.
     """
-    compiled = [re.compile(p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
+    compiled = _compile(patterns)
 
     @F.arrow_udf(MATCHES_TYPE)
     def run(text: pa.Array, mask: pa.Array) -> pa.Array:
-        counts, starts, ends, texts, positions, masks, which = [], [], [], [], [], [], []
-        for full, masked in zip(text.to_pylist(), mask.to_pylist()):
-            before = len(starts)
-            if full is not None and masked is not None:
-                for number, pattern in enumerate(compiled):
-                    for m in pattern.finditer(masked):
-                        spans = m.regs
-                        starts.append(spans[0][0])
-                        ends.append(spans[0][1])
-                        texts.append([full[s:e] if s >= 0 else None for s, e in spans])
-                        positions.append([s if s >= 0 else None for s, _ in spans])
-                        masks.append(m[0])
-                        which.append(number)
-            counts.append(len(starts) - before)
-        return _nested(
-            counts,
-            ["start", "end", "texts", "starts", "mask", "which"],
-            [
-                pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
-                pa.array(texts, pa.list_(pa.string())), pa.array(positions, pa.list_(pa.int32())),
-                pa.array(masks, pa.string()), pa.array(which, pa.int32()),
-            ],
-        )
+        return _find(compiled, [[(0, t, m)] for t, m in zip(text.to_pylist(), mask.to_pylist())])
 
     return run.asNondeterministic()(text, text if mask is None else mask)
 
 
+def match_in(patterns, items):
+    """As ``match_positions``, over all texts of an array<struct<base,text,mask>>.
+
+    Positions are moved by ``base``, the place of the text in its page.
+    """
+    compiled = _compile(patterns)
+
+    @F.arrow_udf(MATCHES_TYPE)
+    def run(items: pa.Array) -> pa.Array:
+        return _find(compiled, _rows_of(items))
+
+    return run.asNondeterministic()(items)
+
+
 def splice_text(text, edits, lo, hi):
     """text[lo:hi] with the sorted edits applied, clipped to that range."""
     parts, pos = [], lo
@@ -383,6 +415,8 @@ _QUOTES = re.compile(r"'(?:\0*'){1,}")
 def quote_runs_of(mask):
     """[(kind, start, end, inner start, inner end)] of bold and italic text of one mask."""
     found, offset = [], 0
+    if "'" not in mask:
+        return []
     for line in mask.split("\n"):
         tokens = []  # [kind, position of the first counted quote, end]
         for m in _QUOTES.finditer(line):
@@ -434,19 +468,21 @@ def _demote_bold(line, bolds):
 
 
 @F.arrow_udf(QUOTES_TYPE)
-def _quote_runs(text: pa.Array, mask: pa.Array) -> pa.Array:
+def _quotes_in(items: pa.Array) -> pa.Array:
     counts, flat = [], []
-    for full, masked in zip(text.to_pylist(), mask.to_pylist()):
-        runs = quote_runs_of(masked) if masked is not None else []
-        counts.append(len(runs))
-        flat += [(kind, s, e, full[s:e], full[i:j]) for kind, s, e, i, j in runs]
+    for row in _rows_of(items):
+        before = len(flat)
+        for base, full, masked in row:
+            flat += [(kind, base + s, base + e, full[s:e], full[i:j]) for kind, s, e, i, j in quote_runs_of(masked)]
+        counts.append(len(flat) - before)
     names = ["kind", "start", "end", "string", "text"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
     columns = [pa.array([f[i] for f in flat], t) for i, t in enumerate(types)]
     return _nested(counts, names, columns)
 
 
-quote_runs = _quote_runs.asNondeterministic()
+# Bold and italic text of all texts of an array<struct<base,text,mask>>, as page positions.
+quotes_in = _quotes_in.asNondeterministic()
 
 
 def table_layout_of(cells, expand):

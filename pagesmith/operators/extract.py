@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagesmith.constants import URL_SCHEMES
-from pagesmith.functions.scan import cut_spans, grid_text, match_positions, quote_runs, scan_elements, table_layout
+from pagesmith.functions.scan import cut_spans, grid_text, match_in, match_positions, quotes_in, scan_elements, table_layout
 from pagesmith.operators.intervals import KEY
 from pagesmith.functions.text import attr_map, attr_pairs, cut, trim_ws
 
@@ -224,25 +224,34 @@ def wikilinks(pages: DataFrame) -> DataFrame:
     )
 
 
-def external_links(pages: DataFrame) -> DataFrame:
-    """Bare and bracketed links of pages, tags, templates, functions and parameters."""
-    return external_links_of(texts(pages, ["Page", "ExtensionTag", "Template", "ParserFunction", "Parameter"]))
+def link_items(found: Column) -> Column:
+    """Texts in which external links are searched: pages, tags, and what stands in braces."""
+    return _items(
+        found,
+        lambda f: f["kind"].isin("Page", "ExtensionTag", "Template", "ParserFunction", "Parameter"),
+        lambda f: F.struct(
+            f["start"].alias("base"), f["string"].alias("text"),
+            F.lower(F.when(f["kind"].isin("Page", "ExtensionTag"), f["mask"]).otherwise(F.translate(f["mask"], "{}", "  "))).alias("mask"),
+        ),
+    )
 
 
-def external_links_of(rows: DataFrame) -> DataFrame:
-    mask = F.when(F.col("kind").isin("Page", "ExtensionTag"), F.col("mask")).otherwise(
-        F.translate("mask", "{}", "  ")
-    )
-    found = match_positions(_LINK_URL, F.col("string"), F.lower(mask))
+def _items(found: Column, chosen, item) -> Column:
+    return F.transform(F.filter(found, chosen), item)
+
+
+def external_links(pages: DataFrame) -> DataFrame:
+    """Bare and bracketed links of pages, tags, templates, functions and parameters."""
+    scanned = pages.select(*KEY, scan_elements("body").alias("found"))
     rest = F.col("m.texts")[2]
     return (
-        rows.withColumn("found", found)
-        .select(*KEY, F.col("start").alias("base"), F.explode("found").alias("m"))
+        scanned.select(*KEY, match_in(_LINK_URL, link_items(F.col("found"))).alias("links"))
+        .select(*KEY, F.explode("links").alias("m"))
         .select(
             *KEY,
             F.lit("ExternalLink").alias("kind"),
-            (F.col("base") + F.col("m.start")).alias("start"),
-            (F.col("base") + F.col("m.end")).alias("end"),
+            "m.start",
+            "m.end",
             F.col("m.texts")[0].alias("string"),
             F.coalesce(F.col("m.texts")[1], F.col("m.texts")[3]).alias("url"),
             F.when(rest == "", None).when(rest.startswith(" "), rest.substr(F.lit(2), F.length(rest))).otherwise(rest).alias("text"),
@@ -354,47 +363,42 @@ def sections(
 # --- X15: bold and italic -----------------------------------------------------------
 
 
-def bold_italic(pages: DataFrame, kind: str | None = None, recursive: bool = True) -> DataFrame:
-    """Bold and italic text, also inside other elements when ``recursive``."""
-    kinds = ["Page"]
-    if recursive:
-        kinds += ["Template", "ParserFunction", "Parameter", "WikiLink", "ExtensionTag"]
-    result = bold_italic_of(texts(pages, kinds))
-    return result if kind is None else result.where(F.col("kind") == kind)
-
+_QUOTABLE = ["Page", "Template", "ParserFunction", "Parameter", "WikiLink", "ExtensionTag"]
 
-def quote_bounds():
-    """Where the contents of a row's element start and stop, relative to its mask."""
-    pipe = F.instr("mask", "|")
-    kind = F.col("kind")
-    head = (
-        F.when(kind.isin("Template", "ParserFunction"), F.lit(2))
-        .when(kind == "Parameter", F.lit(3))
-        .when(kind == "WikiLink", F.when(pipe > 0, pipe).otherwise(F.length("mask")))
-        .when(kind == "ExtensionTag", F.length(F.regexp_extract("mask", r"(?s)^<[^>]*>", 0)))
-        .otherwise(F.lit(0))
-    )
-    tail = (
-        F.when(kind.isin("Template", "ParserFunction", "WikiLink"), F.lit(2))
-        .when(kind == "Parameter", F.lit(3))
-        .when(kind == "ExtensionTag", F.length(F.regexp_extract("mask", r"(?s)</[^<>]*>\z", 0)))
-        .otherwise(F.lit(0))
-    )
-    return head, F.length("mask") - tail
 
+def quote_items(found: Column, kinds: list[str] = _QUOTABLE) -> Column:
+    """Contents of the elements in which bold and italic text is searched."""
 
-def bold_italic_of(rows: DataFrame) -> DataFrame:
-    head, stop = quote_bounds()
-    rows = rows.withColumn("head", head).withColumn("stop", stop)
-    found = quote_runs(cut("string", F.col("head"), F.col("stop")), cut("mask", F.col("head"), F.col("stop")))
-    return (
-        rows.withColumn("found", found)
-        .select(*KEY, (F.col("start") + F.col("head")).alias("base"), F.explode("found").alias("q"))
-        .select(
-            *KEY, "q.kind", (F.col("base") + F.col("q.start")).alias("start"),
-            (F.col("base") + F.col("q.end")).alias("end"), "q.string", "q.text",
+    def contents(f):
+        kind, mask = f["kind"], f["mask"]
+        pipe = F.instr(mask, "|")
+        head = (
+            F.when(kind.isin("Template", "ParserFunction"), F.lit(2))
+            .when(kind == "Parameter", F.lit(3))
+            .when(kind == "WikiLink", F.when(pipe > 0, pipe).otherwise(F.length(mask)))
+            .when(kind == "ExtensionTag", F.length(F.regexp_extract(mask, r"(?s)^<[^>]*>", 0)))
+            .otherwise(F.lit(0))
         )
-    )
+        tail = (
+            F.when(kind.isin("Template", "ParserFunction", "WikiLink"), F.lit(2))
+            .when(kind == "Parameter", F.lit(3))
+            .when(kind == "ExtensionTag", F.length(F.regexp_extract(mask, r"(?s)</[^<>]*>\z", 0)))
+            .otherwise(F.lit(0))
+        )
+        return F.struct(
+            (f["start"] + head).alias("base"), cut(f["string"], head, F.length(mask) - tail).alias("text"),
+            cut(mask, head, F.length(mask) - tail).alias("mask"),
+        )
+
+    return _items(found, lambda f: f["kind"].isin(kinds) & f["mask"].contains("'"), contents)
+
+
+def bold_italic(pages: DataFrame, kind: str | None = None, recursive: bool = True) -> DataFrame:
+    """Bold and italic text, also inside other elements when ``recursive``."""
+    scanned = pages.select(*KEY, scan_elements("body").alias("found"))
+    runs = quotes_in(quote_items(F.col("found"), _QUOTABLE if recursive else ["Page"]))
+    result = scanned.select(*KEY, runs.alias("runs")).select(*KEY, F.explode("runs").alias("q")).select(*KEY, "q.*")
+    return result if kind is None else result.where(F.col("kind") == kind)
 
 
 # --- X16, X17: lists ----------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Wikitext to plain text over a whole corpus.
 
-Every element row yields the spans to delete or replace; they are gathered once per
-page, merged, and applied in one pass. Outer tables are cut out as pieces of their own,
-because their text is made after the markup inside them is gone.
+The elements of a page yield the spans to delete or replace; they are merged and applied
+inside the row of the page, without a shuffle. Only where tables become text are pages cut
+at their outer tables and put together again, because the text of a table is made after
+the markup inside it is gone.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesmith.constants import FILE_EXTENSIONS
-from pagesmith.functions.scan import match_positions, quote_runs, scan_elements, splice_parts, unescape_entities
+from pagesmith.functions.scan import match_in, quotes_in, scan_elements, splice_parts, unescape_entities
 from pagesmith.functions.text import cut, normal_name
-from pagesmith.operators.extract import _LINK_URL, quote_bounds, table_columns, table_text, texts
+from pagesmith.operators.extract import _LINK_URL, link_items, quote_items, table_columns, table_text
 from pagesmith.operators.intervals import KEY
 
 _EDIT = "array<struct<start:int,end:int,new:string,merge:boolean>>"
@@ -34,32 +35,32 @@ def _nothing() -> Column:
     return F.array().cast(_EDIT)
 
 
-def _element_edits(flags: dict) -> Column:
-    """Edits of the row's own element."""
-    kind, s, e = F.col("kind"), F.col("start"), F.col("end")
+def _element_edits(f: Column, flags: dict) -> Column:
+    """Edits of one scanned element."""
+    kind, s, e, string, mask = f["kind"], f["start"], f["end"], f["string"], f["mask"]
     whole = F.array(_edit(s, e))
-    pipe = F.instr("mask", "|")
+    pipe = F.instr(mask, "|")
     result = F.when(kind == "Comment", whole)
 
     for name, flag in (("Template", flags["replace_templates"]), ("ParserFunction", flags["replace_parser_functions"])):
-        if isinstance(flag, Column):
-            result = result.when(kind == name, F.array(_edit(s, e, F.coalesce(flag, F.lit("")))))
+        if callable(flag):
+            result = result.when(kind == name, F.array(_edit(s, e, F.coalesce(flag(f), F.lit("")))))
         elif flag:
             result = result.when(kind == name, whole)
     if flags["replace_parameters"]:
         default = F.array(_edit(s, s + pipe), _edit(e - 3, e))
         result = result.when((kind == "Parameter") & (pipe > 0), default).when(kind == "Parameter", whole)
     if flags["replace_tags"]:
-        opening = F.length(F.regexp_extract("string", r"(?s)^<(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", 0))
-        closing = F.length(F.regexp_extract("string", r"(?s)</[^<>]*>\z", 0))
-        paired = kind.isin("Tag", "ExtensionTag") & (closing > 0) & ~F.col("string").rlike(r"^<[^>]*/\s*>\z")
+        opening = F.length(F.regexp_extract(string, r"(?s)^<(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", 0))
+        closing = F.length(F.regexp_extract(string, r"(?s)</[^<>]*>\z", 0))
+        paired = kind.isin("Tag", "ExtensionTag") & (closing > 0) & ~string.rlike(r"^<[^>]*/\s*>\z")
         result = result.when(paired, _keep(s, e, s + opening, e - closing)).when(kind.isin("Tag", "ExtensionTag"), whole)
     if flags["replace_wikilinks"]:
         is_link = kind == "WikiLink"
-        opening = F.length(F.regexp_extract("mask", r"^\[\x00*\[", 0))
-        closing = F.length(F.regexp_extract("mask", r"\]\x00*\]$", 0))
-        head = F.regexp_extract("mask", r"(?s)^\[\x00*\[([^|#]*?)(?:[|#].*|\]\x00*\])$", 1)
-        title = F.col("string").substr(opening + 1, F.length(head))
+        opening = F.length(F.regexp_extract(mask, r"^\[\x00*\[", 0))
+        closing = F.length(F.regexp_extract(mask, r"\]\x00*\]$", 0))
+        head = F.regexp_extract(mask, r"(?s)^\[\x00*\[([^|#]*?)(?:[|#].*|\]\x00*\])$", 1)
+        title = string.substr(opening + 1, F.length(head))
         is_file = title.rlike(rf"(?s)^(?!:)[^:]*:[^.]*\.(?:{'|'.join(FILE_EXTENSIONS)})\z")
         inner = F.when(pipe > 0, s + pipe).otherwise(s + opening)
         result = result.when(is_link & is_file, whole).when(is_link, _keep(s, e, inner, e - closing))
@@ -68,8 +69,8 @@ def _element_edits(flags: dict) -> Column:
 
 def plain_text(
     pages: DataFrame,
-    replace_templates: bool | Column = True,
-    replace_parser_functions: bool | Column = True,
+    replace_templates=True,
+    replace_parser_functions=True,
     replace_parameters: bool = True,
     replace_tags: bool = True,
     replace_external_links: bool = True,
@@ -77,90 +78,79 @@ def plain_text(
     unescape_html_entities: bool = True,
     replace_bolds_and_italics: bool = True,
     replace_tables: bool = True,
-    replacements: DataFrame | None = None,
+    replacements: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Page key and plain text. T2: a Column over the element row (kind, start, end,
-    string, mask) replaces templates or functions, or a table ``name, new`` does so by
-    normal template name; a template that is not listed is dropped.
+    """Page key and plain text.
+
+    T2: templates and functions may be replaced by a function from the element (a struct
+    Column of kind, start, end, string and mask) to a Column, templates also by a table
+    from normal names to texts; a template that is not listed is dropped.
     """
-    rows = texts(pages)
     flags = dict(locals())
     if replacements is not None:
-        at = F.instr("mask", "|")
-        name = cut("string", F.lit(2), F.when(at > 0, at - 1).otherwise(F.length("string") - 2))
-        listed = F.when(F.col("kind") == "Template", normal_name(name))
-        new = replacements.select(F.col("name").alias("tpl_name"), F.col("new").alias("tpl_new"))
-        rows = rows.withColumn("tpl_name", listed).join(new, "tpl_name", "left")
-        flags["replace_templates"] = F.col("tpl_new")
-
-    kind, base = F.col("kind"), F.col("start")
-    edits = [_element_edits(flags)]
+        table = F.create_map(*[F.lit(x) for pair in replacements.items() for x in pair])
+        flags["replace_templates"] = lambda f: F.try_element_at(table, normal_name(_template_name(f)))
+
+    found = F.col("found")
+    parts = [F.flatten(F.transform(found, lambda f: _element_edits(f, flags)))]
     if replace_external_links:
-        mask = F.when(kind.isin("Page", "ExtensionTag"), F.col("mask")).when(
-            kind.isin("Template", "ParserFunction", "Parameter"), F.translate("mask", "{}", "  ")
-        )
-        links = F.filter(match_positions(_LINK_URL, F.col("string"), F.lower(mask)), lambda m: m["texts"][1].isNotNull())
+        links = F.filter(match_in(_LINK_URL, link_items(found)), lambda m: m["texts"][1].isNotNull())
 
         def link_edits(m):
-            start, end = base + m["start"], base + m["end"]
             text = F.length(m["texts"][2]) - m["texts"][2].startswith(" ").cast("int")
-            kept = _keep(start, end, end - 1 - text, end - 1)
-            return F.when(m["texts"][2] == "", F.array(_edit(start, end))).otherwise(kept)
+            kept = _keep(m["start"], m["end"], m["end"] - 1 - text, m["end"] - 1)
+            return F.when(m["texts"][2] == "", F.array(_edit(m["start"], m["end"]))).otherwise(kept)
 
-        edits.append(F.flatten(F.transform(links, link_edits)))
+        parts.append(F.flatten(F.transform(links, link_edits)))
     if replace_bolds_and_italics:
-        head, stop = quote_bounds()
-        quotable = kind.isin("Page", "Template", "ParserFunction", "Parameter", "WikiLink", "ExtensionTag")
-        runs = quote_runs(F.when(quotable, cut("string", head, stop)), F.when(quotable, cut("mask", head, stop)))
 
         def quote_edits(q):
-            start, end = base + head + q["start"], base + head + q["end"]
             width = F.length(q["string"]) - F.length(q["text"])
             mark = F.when(q["kind"] == "Bold", 3).otherwise(2)
-            opening = F.when(width > mark, width / 2).otherwise(width).cast("int")
-            return _keep(start, end, start + opening, start + opening + F.length(q["text"]))
-
-        edits.append(F.flatten(F.transform(runs, quote_edits)))
-
-    emitted = rows.select(*KEY, "kind", "start", "end", F.when(kind == "Page", F.col("string")).alias("body"),
-                          F.concat(*edits).alias("edits"))
-    is_table = F.col("kind") == "Table"
-    by_page = emitted.groupBy(*KEY).agg(
-        F.max("body").alias("body"),
-        F.array_sort(F.flatten(F.collect_list("edits"))).alias("edits"),
-        F.array_sort(F.collect_list(F.when(is_table, F.struct("start", "end")))).alias("tables"),
+            inner = q["start"] + F.when(width > mark, width / 2).otherwise(width).cast("int")
+            return _keep(q["start"], q["end"], inner, inner + F.length(q["text"]))
+
+        parts.append(F.flatten(F.transform(quotes_in(quote_items(found)), quote_edits)))
+
+    scanned = pages.select(*KEY, "body", scan_elements("body").alias("found"))
+    tables = F.filter(found, lambda f: f["kind"] == "Table")
+    by_page = scanned.select(
+        *KEY, "body", F.array_sort(F.concat(*parts)).alias("edits"),
+        F.transform(tables, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("tables"),
     )
     if replace_tables:
         text = _with_tables(by_page)
     else:
         everything = F.array(F.struct(F.lit(0).alias("start"), F.length("body").alias("end")))
         text = by_page.select(*KEY, splice_parts("body", "edits", everything)[0].alias("text"))
-    if unescape_html_entities:
-        unescaped = unescape_entities(F.when(F.col("text").contains("&"), F.col("text")))
-        text = text.select(*KEY, F.coalesce(unescaped, F.col("text")).alias("text"))
-    bodiless = pages.where(F.col("body").isNull()).select(*KEY, F.lit(None).cast("string").alias("text"))
-    return text.unionByName(bodiless)
+    if not unescape_html_entities:
+        return text
+    unescaped = unescape_entities(F.when(F.col("text").contains("&"), F.col("text")))
+    return text.select(*KEY, F.coalesce(unescaped, F.col("text")).alias("text"))
+
+
+def _template_name(f: Column) -> Column:
+    at = F.instr(f["mask"], "|")
+    return cut(f["string"], F.lit(2), F.when(at > 0, at - 1).otherwise(F.length(f["string"]) - 2))
 
 
 def _with_tables(by_page: DataFrame) -> DataFrame:
     """Cut pages at their outer tables, turn those to text, and join the pieces again."""
-    outer = F.filter("tables", lambda t, i: ~F.exists(F.slice("tables", 1, i), lambda p: t["end"] < p["end"]))
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("outer", lambda t: F.array(t["start"], t["end"]))), F.array(F.length("body")))
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("tables", lambda t: F.array(t["start"], t["end"]))), F.array(F.length("body")))
     bounds = F.transform(
         F.sequence(F.lit(0), F.size("edges") - 2),
         lambda i: F.struct(F.get("edges", i).alias("start"), F.get("edges", i + 1).alias("end")),
     )
-    pieces = (
-        by_page.withColumn("outer", outer)
-        .withColumn("edges", edges)
-        .select(*KEY, F.posexplode(splice_parts("body", "edits", bounds)).alias("piece", "body"))
+    pieces = by_page.withColumn("edges", edges).select(
+        *KEY, F.posexplode_outer(splice_parts("body", "edits", bounds)).alias("piece", "body")
     )
     # Odd pieces are tables: scan what is left of them and lay out their cells.
-    is_table = F.col("piece") % 2 == 1
+    is_table = F.coalesce(F.col("piece") % 2 == 1, F.lit(False))
     scanned = pieces.withColumn("found", scan_elements(F.when(is_table, F.col("body"))))
     table = F.try_element_at(F.filter("found", lambda f: (f["kind"] == "Table") & (f["start"] == 0)), F.lit(1))
     tables = scanned.select(*KEY, "piece", F.when(~is_table, F.col("body")).alias("plain"), table.alias("t"))
     tables = table_columns(tables.select(*KEY, "piece", "plain", "t.*"), keep=("piece", "plain"))
     texts = table_text(tables).select(*KEY, "piece", F.coalesce("plain", "text").alias("text"))
     parts = F.array_sort(F.collect_list(F.struct("piece", "text")))
-    return texts.groupBy(*KEY).agg(parts.alias("parts")).select(*KEY, F.array_join("parts.text", "").alias("text"))
+    joined = texts.groupBy(*KEY).agg(parts.alias("parts"), F.max("piece").alias("last"))
+    return joined.select(*KEY, F.when(F.col("last").isNotNull(), F.array_join("parts.text", "")).alias("text"))

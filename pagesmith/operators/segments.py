@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesmith.functions.scan import cut_spans, match_positions, quote_runs
-from pagesmith.functions.text import cut
-from pagesmith.operators.extract import _HEADING, _LINK_URL, _list_runs, LIST_PATTERNS, texts
-from pagesmith.operators.extract import quote_bounds
+from pagesmith.functions.scan import cut_spans, match_in, match_positions, quotes_in, scan_elements
+from pagesmith.operators.extract import (
+    _HEADING,
+    _LINK_URL,
+    LIST_PATTERNS,
+    _list_runs,
+    link_items,
+    quote_items,
+)
 from pagesmith.operators.intervals import KEY, frontier
 
 # Which kind comes first among elements that start at the same place.
@@ -23,41 +28,31 @@ def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
     Tables nested in tables are left out, as in the listing of outer tables.
     """
-    rows = texts(pages)
-    is_page = F.col("kind") == "Page"
-    base = F.col("start")
-    linkable = F.when(F.col("kind").isin("Page", "ExtensionTag"), F.col("mask")).when(
-        F.col("kind").isin("Template", "ParserFunction", "Parameter"), F.translate("mask", "{}", "  ")
-    )
-    page_mask = F.when(is_page, F.col("mask"))
-    head, stop = quote_bounds()
-    quotable = F.col("kind").isin("Page", "Template", "ParserFunction", "Parameter", "WikiLink", "ExtensionTag")
+    found = F.col("found")
+    body, shadow = F.col("body"), F.col("shadow")
 
-    def placed(array, kind=None, text=lambda m: m["string"], offset=base):
-        """Matches of one kind as elements, moved from the row to the page."""
+    def named(array, kind=None, text=lambda m: m["string"]):
         return F.transform(
             array,
-            lambda m: F.struct(
-                (F.lit(kind) if kind else m["kind"]).alias("kind"), (offset + m["start"]).alias("start"),
-                (offset + m["end"]).alias("end"), text(m).alias("string"),
-            ),
+            lambda m: F.struct((F.lit(kind) if kind else m["kind"]).alias("kind"), m["start"].alias("start"),
+                               m["end"].alias("end"), text(m).alias("string")),
         )
 
     whole = {"text": lambda m: m["texts"][0]}
-    own = F.when(F.col("kind").isin("Page", "InnerTable"), F.array()).otherwise(F.array(F.struct("kind", "start", "end", "string")))
-    quotes = quote_runs(F.when(quotable, cut("string", head, stop)), F.when(quotable, cut("mask", head, stop)))
+    scanned = pages.select(*KEY, "body", scan_elements("body").alias("found"))
+    scanned = scanned.withColumn("shadow", F.try_element_at("found", F.lit(1))["mask"])
     everything = F.concat(
-        own,
-        placed(match_positions(_LINK_URL, F.col("string"), F.lower(linkable)), "ExternalLink", **whole),
-        placed(match_positions(_HEADING, F.col("string"), page_mask), "SectionTitle", **whole),
-        placed(_list_runs(LIST_PATTERNS, F.col("string"), page_mask), "WikiList"),
-        placed(quotes, offset=base + head),
+        named(F.filter(found, lambda f: ~f["kind"].isin("Page", "InnerTable"))),
+        named(match_in(_LINK_URL, link_items(found)), "ExternalLink", **whole),
+        named(match_positions(_HEADING, body, shadow), "SectionTitle", **whole),
+        named(_list_runs(LIST_PATTERNS, body, shadow), "WikiList"),
+        named(quotes_in(quote_items(found))),
     )
     if kinds is not None:
         everything = F.filter(everything, lambda e: e["kind"].isin(kinds))
     rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
     return (
-        rows.select(*KEY, F.explode(everything).alias("e"))
+        scanned.select(*KEY, F.explode(everything).alias("e"))
         .select(*KEY, "e.*")
         .withColumn("rank", rank[F.col("kind")])
     )

@@ -327,7 +327,7 @@ ORACLES: dict[str, str] = {
     "t1_plain_text": _text(**_RENDERED),
     "t1_plain_text_switched_off": _text(**{p: s for p, s in _RENDERED.items() if p not in ("p_tpl", "p_uso", "p_incl", "p_ref", "p_html", "p_link1", "p_link2", "p_table", "p_amp")}),
     "t2_replacement_table": _text(**{**_RENDERED, "p_table": "p_table", "p_tpl": f"CASE WHEN {_ES} THEN '<es>' ELSE '<lengua>' END"}),
-    "t2_replacement_column": _text(**{**_RENDERED, "p_table": "p_table", "p_tpl": "concat('[', length(p_tpl), ']')", "p_uso": "concat('[', length(p_uso) - 1, ']', chr(10))"}),
+    "t2_replacement_function": _text(**{**_RENDERED, "p_table": "p_table", "p_tpl": "concat('[', length(p_tpl), ']')", "p_uso": "concat('[', length(p_uso) - 1, ']', chr(10))"}),
     "t3_table_text": CTE + f"SELECT title, namespace_id, {_CELL_START}, {_RENDERED['p_table']} AS text FROM live",
     "t4_unescape_entities": "SELECT url AS title, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g') AS text FROM pages",
     "t4_unescape_basic": CTE + "SELECT title, namespace_id, replace(body, '&amp;', '&') AS text FROM wiki_pages",

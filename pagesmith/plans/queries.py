@@ -592,13 +592,13 @@ def t1_plain_text_switched_off(spark, sf):
 
 @query
 def t2_replacement_table(spark, sf):
-    table = _args(spark, sf).where("name = 'n'").select(F.col("owner").alias("name"), F.concat(F.lit("<"), F.lower("owner"), F.lit(">")).alias("new")).distinct()
-    return T.plain_text(wiki(spark, sf), replacements=table, replace_tables=False)
+    return T.plain_text(wiki(spark, sf), replacements={"ES": "<es>", "lengua": "<lengua>"}, replace_tables=False)
 
 
 @query
-def t2_replacement_column(spark, sf):
-    return T.plain_text(wiki(spark, sf), replace_templates=F.concat(F.lit("["), F.length("string").cast("string"), F.lit("]")), replace_tables=False)
+def t2_replacement_function(spark, sf):
+    return T.plain_text(wiki(spark, sf), replace_tables=False, replace_templates=lambda f: F.concat(
+        F.lit("["), F.length(f["string"]).cast("string"), F.lit("]")))
 
 
 @query

@@ -159,11 +159,13 @@ def plain(spark, request):
     return {b: by_title[t] for t, _, b in rows}
 
 
-def test_replacements(spark, pages):
+def test_replacements(pages):
     df = pages("a {{t|{{u}}}} {{ u }}")
-    table = spark.createDataFrame([("t", "T!")], "name string, new string")
-    assert column(T.plain_text(df, replacements=table), "text") == ["a T! "]
-    size = F.concat(F.lit("<"), F.length("string").cast("string"), F.lit(">"))
+    assert column(T.plain_text(df, replacements={"t": "T!"}), "text") == ["a T! "]
+
+    def size(f):
+        return F.concat(F.lit("<"), F.length(f["string"]).cast("string"), F.lit(">"))
+
     assert column(T.plain_text(df, replace_templates=size), "text") == ["a <11> <7>"]
     assert column(T.plain_text(df, replace_templates=False), "text") == ["a {{t|{{u}}}} {{ u }}"]
 
