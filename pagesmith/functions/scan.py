@@ -199,6 +199,8 @@ def _html_pairs(shadow, found):
 
 def _tables(shadow, offset, found):
     """Table blocks, innermost first; an unclosed one runs to a final line end."""
+    if b"{|" not in shadow:
+        return
     mask, starts = bytearray(shadow), []
 
     def close(start, end):
