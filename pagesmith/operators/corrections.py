@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,13 +24,18 @@ DROP_TEMPLATE, DROP_COMMENT, DROP_TAG, FIX_HIERARCHY, NORMALISE_TEMPLATE = 7, 8,
 _RULE_CODES = {"item": ITEM_TO_TEMPLATE, "text": TEXT_TO_TEMPLATE, "pron": INSERT_TEMPLATE}
 
 
+def _literal(pattern: str) -> str:
+    """The longest plain text that every match of a rule's pattern contains."""
+    return max(re.split(r"\[[^\]]*\]|\.", pattern), key=len)
+
+
 def label_suggestions(pages: DataFrame) -> DataFrame:
     """K1: one row per page and rule that matches, with the suggested template."""
     body = F.col("body")
     rules = [
         F.struct(
             F.lit(number).alias("rule"), F.lit(kind).alias("kind"), F.lit(template).alias("template"),
-            F.when(body.rlike(pattern), F.regexp_count(body, F.lit(pattern))).alias("n"),
+            F.when(body.contains(_literal(pattern)) & body.rlike(pattern), F.regexp_count(body, F.lit(pattern))).alias("n"),
         )
         for number, (kind, pattern, template) in enumerate(LABEL_RULES)
     ]

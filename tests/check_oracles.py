@@ -26,7 +26,7 @@ def compare(spark, con, sf_dir, name):
     """None when query and SQL agree, else what differs."""
     df = QUERIES[name](spark, sf_dir)
     got = df.toArrow()
-    want = con.execute(ORACLES[name]).fetch_arrow_table() if hasattr(con, "fetch_arrow_table") else con.execute(ORACLES[name]).to_arrow_table()
+    want = con.sql(ORACLES[name]).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return f"columns {sorted(got.column_names)} / {sorted(want.column_names)}"
     columns = sorted(got.column_names)

@@ -183,3 +183,11 @@ def test_corrections(pages):
     assert codes == {("p0", 0), ("p0", 7), ("p0", 8), ("p0", 18), ("p1", 13), ("p1", 15)}
     refs = [tuple(r) for r in K.syllable_refs(df).select("title", "inside", "after").collect()]
     assert refs == [("p1", False, True)]
+
+
+def test_rule_literals_occur_in_every_match(spark):
+    # Rules are classes, dots and plain letters, so the longest plain run is in each match.
+    from pagesmith.constants import LABEL_RULES
+
+    assert [K._literal(p) for _, p, _ in LABEL_RULES[:4]] == ["ronunciaci", "timolog", "jemplo:", "nimo:"]
+    assert K._literal("[a|A|á|Á]mbito:") == "mbito:" and all(K._literal(p) in p for _, p, _ in LABEL_RULES)
