@@ -1,7 +1,7 @@
 """Operator 10: quality rules with the line frequency across documents of a host.
 
-Base rules are counts inside the text. The method's verdict: lines are normalised (A-Z lowered,
-runs of blanks as one, ends trimmed) and hashed; per host, the documents that hold a line are
+Base rules are counts inside the text. The method's verdict: lines are normalised (lower case,
+blanks as spaces, ends trimmed) and hashed; per host, the documents that hold a line are
 counted; a line in more than ``min_docs`` documents and more than ``share`` of the host's
 documents is removed; a document of which less than ``min_left`` of the words remains is
 rejected. Documents that are copies of one another count once: a document is told from others
@@ -22,31 +22,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesmith.llm.common import let, lower_ascii, stored, whole, words
+from pagesmith.llm.common import let, stored, whole, words
 
 MIN_DOCS = 50
 SHARE = 0.001
 MIN_LEFT = 0.3
-SYMBOLS = "#*$%&|<>"
-BLANK_CHARS = " \t\n\x0b\f\r"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def repeated_words(w: Column) -> Column:
     """Words inside windows of three words that the text holds twice or more.
 
-    Windows are hashed; only where two hashes are equal are they sorted with their positions.
+    Windows are hashed. Few repeated hashes are looked for in a short list; where there are
+    more, the windows are sorted with their positions, so long repetitive texts stay cheap.
     """
 
-    def covered(windows: Column) -> Column:
-        # positions of windows with an equal neighbour in sorted order
-        pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        at = let(pairs, lambda s: F.sort_array(F.transform(
+    def by_list(windows: Column) -> Column:
+        twice = let(F.sort_array(windows), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.get(s, k - 1) == x)))
+        return let(twice, lambda d: F.filter(
+            F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.array_contains(d, F.get(windows, i))
+        ))
+
+    def by_order(windows: Column) -> Column:
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(pairs, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])),
             lambda x: x["i"],
         )))
-        first = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+    def covered(at: Column) -> Column:
         return F.aggregate(
-            at, first,
+            at, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
             lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")),
             lambda a: a["n"],
         )
@@ -55,16 +61,19 @@ def repeated_words(w: Column) -> Column:
         windows = F.transform(
             F.sequence(F.lit(0), F.size(v) - 3), lambda i: F.xxhash64(F.get(v, i), F.get(v, i + 1), F.get(v, i + 2))
         )
-        return F.when(F.size(v) < 4, 0).otherwise(
-            let(windows, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(covered(g)))
-        )
+        return F.when(F.size(v) < 4, 0).otherwise(let(windows, lambda g: let(
+            F.size(g) - F.size(F.array_distinct(g)),
+            lambda extra: F.when(extra == 0, 0).when(extra <= 50, covered(by_list(g))).otherwise(covered(by_order(g))),
+        )))
 
     return let(w, of)
 
 
 def lines_of(text: Column) -> Column:
     """Normalised lines, with the empty ones."""
-    flat = F.regexp_replace(lower_ascii(whole(text)), r"[\x20\t\x0B\f\r]+", " ")
+    flat = F.lower(whole(text))
+    for blank in "\t\x0b\f\r":
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
     return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
 
 
@@ -78,7 +87,7 @@ def frequent_lines(
     """``_host, _frequent``: the hashes of the lines to remove, a row per host that has any."""
     hashes = F.array_distinct(F.transform(F.array_remove(lines_of(F.col(text_col)), ""), line_hash))
     own = docs.select(F.col(host_col).alias("_host"), hashes.alias("_lines"))
-    least = F.slice(F.array_sort("_lines"), 1, 2)
+    least = F.slice(F.sort_array("_lines"), 1, 2)
     lines = own.select("_host", least.alias("_least"), F.explode("_lines").alias("_line")).select(
         "_host", "_line",
         # the least hash among the other lines; a document of one line stands for itself
@@ -116,11 +125,11 @@ def words_left(text: Column, n_words: Column) -> Column:
 def measures(text: Column) -> dict[str, Column]:
     """The counts of the base rules."""
     t = whole(text)
-    filled = F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANK_CHARS, "") != "")
+    filled = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words(t)).cast("long"),
-        "word_chars": F.length(F.translate(t, BLANK_CHARS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words(t), "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words(t)).cast("long"),
     }
