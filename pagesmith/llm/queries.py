@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.llm import mixing, packing, quality, sharding, url_filter
+from pagesmith.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,19 @@ def op8_sharding(spark, sf):
 @query
 def op10_quality(spark, sf):
     return quality.judge(table(spark, sf, "documents"))
+
+
+@query
+def op1_line_dedup(spark, sf):
+    docs = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), gone_col="removed_lines")
+    return docs.withColumn("n_removed", F.size("removed_lines"))
+
+
+@query
+def op5_fingerprint(spark, sf):
+    return fingerprint.fingerprint_edits(table(spark, sf, "documents"))
+
+
+@query
+def op9_ngram_join(spark, sf):
+    return ngram_join.components(table(spark, sf, "documents"))
