@@ -175,3 +175,12 @@ def mix(
     flows = {label[p]: (flow.get(p, 0), patterns[p]) for p in patterns}
     out = take(marked, flows, F.col("_label"), F.col("_draw"))
     return out.select(id_col, "size", "source_size", "target", "taken", *keep)
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """All columns of the documents, ``_size`` and ``_taken``."""
+    rows = docs.select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"), F.struct("*").alias("_row")
+    )
+    mixed = mix(rows, id_col="_id", text_col="_text", sources=F.array("_source"), keep=("_row",), **options)
+    return mixed.select("_row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))

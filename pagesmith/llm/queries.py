@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
+from pagesmith.llm import fingerprint, line_dedup, lm, mixing, ngram_join, packing, quality, secrets, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ def op5_fingerprint(spark, sf):
 @query
 def op9_ngram_join(spark, sf):
     return ngram_join.components(table(spark, sf, "documents"))
+
+
+@query
+def op3_secrets(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"))
+
+
+@query
+def op2_lm_score(spark, sf):
+    return lm.score(table(spark, sf, "documents"))
