@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.llm import fingerprint, line_dedup, lm, mixing, ngram_join, packing, quality, secrets, sharding, url_filter
+from pagesmith.llm import fingerprint, line_dedup, lm, mixing, ngram_join, packing, quality, secret_scan, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +65,7 @@ def op9_ngram_join(spark, sf):
 
 @query
 def op3_secrets(spark, sf):
-    return secrets.scan(table(spark, sf, "documents"))
+    return secret_scan.scan(table(spark, sf, "documents"))
 
 
 @query
