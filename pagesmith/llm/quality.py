@@ -4,10 +4,11 @@ Base rules are counts inside the text. The method's verdict: lines are normalise
 blanks as spaces, ends trimmed) and hashed; per host, the documents that hold a line are
 counted; a line in more than ``min_docs`` documents and more than ``share`` of the host's
 documents is removed; a document of which less than ``min_left`` of the words remains is
-rejected. Documents that are copies of one another count once: a document is told from others
-by the least hash among its *other* lines, so the lines of a passage that was copied a thousand
-times with its surroundings are not boilerplate, those that stand in a thousand different
-documents are.
+rejected. Copies are not many documents: the documents of such a line are told apart by the
+least hash among their *other* lines, for three hash functions, and the line is removed only if
+more than ``min_docs`` and half of its different texts differ there. So the lines of a passage
+that was copied a thousand times with its surroundings are no boilerplate, those that stand in
+a thousand different documents are.
 
 The lines to remove are one row per host: by the share rule there are at most (lines per
 document / share) of them, whatever the size of the table. Texts are not shuffled where that
@@ -27,6 +28,8 @@ from pagesmith.llm.common import let, stored, whole, words
 MIN_DOCS = 50
 SHARE = 0.001
 MIN_LEFT = 0.3
+SEEDS = (1, 2, 3)
+DIFFERENT = 0.5
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -85,23 +88,37 @@ def frequent_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, host_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """``_host, _frequent``: the hashes of the lines to remove, a row per host that has any."""
-    hashes = F.array_distinct(F.transform(F.array_remove(lines_of(F.col(text_col)), ""), line_hash))
-    own = docs.select(F.col(host_col).alias("_host"), hashes.alias("_lines"))
-    least = F.slice(F.sort_array("_lines"), 1, 2)
-    lines = own.select("_host", least.alias("_least"), F.explode("_lines").alias("_line")).select(
-        "_host", "_line",
-        # the least hash among the other lines; a document of one line stands for itself
-        F.when(F.get("_least", F.lit(0)) != F.col("_line"), F.get("_least", F.lit(0)))
-        .otherwise(F.coalesce(F.get("_least", F.lit(1)), F.col("_line"))).alias("_other"),
-    )
-    counts = lines.distinct().groupBy("_host", "_line").count()
+    own = docs.select(F.col(host_col).alias("_host"), whole(F.col(text_col)).alias("_text"))
+    lines = own.select("_host", F.explode(
+        F.array_distinct(F.transform(F.array_remove(lines_of(F.col("_text")), ""), line_hash))
+    ).alias("_line"))
     sizes = docs.groupBy(F.col(host_col).alias("_of")).agg(F.count("*").alias("_docs"))
-    return stored(
-        counts.filter(F.col("count") > min_docs)
+    often = stored(
+        lines.groupBy("_host", "_line").count().filter(F.col("count") > min_docs)
         .join(sizes, F.col("_host").eqNullSafe(F.col("_of")))
         .filter(F.col("count") > share * F.col("_docs"))
-        .groupBy("_host")
-        .agg(F.sort_array(F.collect_list("_line")).alias("_frequent"))
+        .groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_frequent"))
+    )
+    # of these, those whose documents differ outside the line
+    held = with_frequent(own, often, "_host").filter("_frequent is not null").select(
+        "_host", F.xxhash64("_text").alias("_key"),
+        F.array_distinct(F.transform(F.array_remove(lines_of(F.col("_text")), ""), line_hash)).alias("_lines"), "_frequent",
+    )
+    held = held.select(
+        "_host", "_key", F.explode(F.array_intersect("_lines", "_frequent")).alias("_line"),
+        *[F.slice(F.sort_array(F.transform("_lines", lambda x, k=k: F.xxhash64(x, F.lit(k)))), 1, 2).alias(f"_least{k}") for k in SEEDS],
+    )
+    others = [
+        F.when(F.get(f"_least{k}", F.lit(0)) != F.xxhash64("_line", F.lit(k)), F.get(f"_least{k}", F.lit(0)))
+        .otherwise(F.coalesce(F.get(f"_least{k}", F.lit(1)), F.get(f"_least{k}", F.lit(0)))).alias(f"_other{k}") for k in SEEDS
+    ]
+    counts = held.select("_host", "_line", "_key", *others).groupBy("_host", "_line").agg(
+        F.countDistinct("_key").alias("_texts"), *[F.countDistinct(f"_other{k}").alias(f"_n{k}") for k in SEEDS]
+    )
+    most = F.greatest(*[F.col(f"_n{k}") for k in SEEDS])
+    return stored(
+        counts.filter((most > min_docs) & (most >= DIFFERENT * F.col("_texts")))
+        .groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_frequent"))
     )
 
 
