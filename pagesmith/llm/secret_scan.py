@@ -86,15 +86,17 @@ def train(rows: DataFrame, base: DataFrame, sample: int = SAMPLE) -> list[float]
         F.regexp_replace(F.regexp_replace(F.regexp_replace("text", PATTERNS["assign"], " "), PATTERNS["access"], " "), PATTERNS["hex"], " "),
         F.lit(r"([A-Za-z0-9_-]{4,})"), 1,
     ))
-    ordinary = chosen.select(F.explode(plain).alias("w")).select(F.lit(0).alias("random"), F.explode(pairs(F.col("w"))).alias("pair"))
+    ordinary = chosen.select(F.explode(plain).alias("w")).filter(F.length("w") < 16).select(F.lit(0).alias("random"), F.explode(pairs(F.col("w"))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["count"] for r in found.union(ordinary).groupBy("random", "pair").count().collect()}
 
     def model(random: int) -> list[float]:
+        # pairs lean on single characters, those on an even spread; random strings may hold any
         own = [counts.get((random, p), 0) for p in range(SIDE * SIDE)]
-        # random strings are rare: smoothing by one even string keeps unseen pairs likely
-        add = 1.0 if random else 0.1
-        sums = [sum(own[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)]
-        return [log((own[p] + add) / (sums[p // SIDE] + add * SIDE)) for p in range(SIDE * SIDE)]
+        firsts = [sum(own[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)]
+        even = 2.0 if random else 0.5
+        alone = [(sum(own[b::SIDE]) + even) / (sum(firsts) + even * SIDE) for b in range(SIDE)]
+        lean = 50.0 if random else 5.0
+        return [log((own[p] + lean * alone[p % SIDE]) / (firsts[p // SIDE] + lean)) for p in range(SIDE * SIDE)]
 
     return [a - b for a, b in zip(model(1), model(0), strict=True)]
 
