@@ -44,6 +44,7 @@ HOT = 400_000
 SMALL = 2_000_000
 LOW = U(1 << 62)
 BLOCK = 2048
+FEW = 64
 ELEMENTS = 2_000_000
 
 
@@ -232,18 +233,29 @@ def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(own, "c", "left").withColumn("root", F.coalesce("_root", "c")).drop("_root")
 
 
-def tile_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different roots within the bound, from the tiles of ``token, c, size, bits, root``.
+def tile_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of different roots within the bound, from the tiles of ``token, c, size, root``.
 
     A class meets those of its own size band and of the band below; bands are a factor of 1.25.
-    Large tiles are cut into blocks of about BLOCK classes, each pair of blocks a group.
+    Tiles of up to FEW classes are joined with themselves. Larger ones are cut into blocks of
+    about BLOCK classes, and each pair of blocks is compared in one group by its bitmaps.
     """
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(1.25)) + 1e-9).cast("int")
-    rows = members.withColumn("band", band)
-    tiles = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(tiles, "token").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    tiles = members.groupBy("token").agg(F.count("*").alias("n"))
+    rows = stored(members.withColumn("band", band).join(tiles, "token"))
+    few = rows.filter(F.col("n") <= FEW)
+    left = few.select("token", "band", F.col("c").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
+    right = few.select(
+        "token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("c").alias("b"),
+        F.col("size").alias("sb"), F.col("root").alias("rb"),
+    )
+    plain = left.join(right, ["token", "band"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size_fits("sa", "sb"))
+    plain = bounded(plain.select("a", "b", "sa", "sb").distinct(), sketches)
+
+    many = rows.filter(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).join(sketches.select("c", "bits"), "c")
     # to the groups (block, k) and (k, block) of its own band and of the one above
-    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+    sent = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
         "tile", F.explode(F.array("band", F.col("band") + 1))
     ).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
@@ -262,7 +274,10 @@ def tile_pairs(members: DataFrame) -> DataFrame:
         got[flip] = got[flip][:, [1, 0, 3, 2]]
         return pd.DataFrame(got, columns=["a", "b", "sa", "sb"])
 
-    return sent.groupBy("token", "tile", "lo", "hi").applyInPandas(compare, "a long, b long, sa long, sb long").distinct()
+    keys = ["token", "tile", "lo", "hi"]
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = sent.repartition(tasks, *keys).groupBy(*keys).applyInPandas(compare, "a long, b long, sa long, sb long")
+    return plain.union(blocks).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,8 +300,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = placed.groupBy("token").agg(
         F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("_sum")
     ).filter("_lo < _hi").dropDuplicates(["_n", "_lo", "_hi", "_sum"]).select("token")
-    rest = placed.join(open_, "token", "left_semi").join(sketches, "c")
-    more = linked(docs, tile_pairs(rest))
+    rest = placed.join(open_, "token", "left_semi").join(sketches.select("c", "size"), "c")
+    more = linked(docs, tile_pairs(rest, sketches))
     roots = contract(links.union(more))
     rooted = with_root(own.select("id", "c", F.col("size").alias("n_shingles")), roots)
     least = rooted.groupBy("root").agg(F.min("id").alias("_least"))
