@@ -37,7 +37,7 @@ _EXTENSION_OPEN = re.compile(
 )
 _PARSABLE = {name.encode() for name in PARSABLE_TAGS}
 _HTML_TAG = re.compile(
-    rb"<(/?)(%s)\b((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)>" % "|".join(sorted(HTML_TAGS, reverse=True)).encode()
+    rb"<(/?)(%s)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|\"(?![^\"]*\")|'(?![^']*'))*+(?=>)|[^>]*+)>" % "|".join(sorted(HTML_TAGS, reverse=True)).encode()
 )
 _RUNS = re.compile(rb"\[(?:\0*\[)+|\](?:\0*\])+|\{\{+|\}\}+")
 _BRACE_PAIR = re.compile(rb"\{\{|\}\}")

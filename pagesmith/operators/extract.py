@@ -72,7 +72,7 @@ def comments(pages: DataFrame) -> DataFrame:
 
 
 def _tag_columns(tags: DataFrame) -> DataFrame:
-    start_tag = F.regexp_extract("string", r"(?s)^<(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", 0)
+    start_tag = F.regexp_extract("string", r"(?s)^<(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", 0)
     start_tag = F.when(start_tag == "", F.regexp_extract("string", r"(?s)^<[^>]*>", 0)).otherwise(start_tag)
     end_tag = F.regexp_extract("string", r"(?s)</[^<>]*>\z", 0)
     tags = tags.withColumn("start_tag", start_tag).withColumn("end_tag", end_tag)

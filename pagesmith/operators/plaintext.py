@@ -51,7 +51,7 @@ def _element_edits(f: Column, flags: dict) -> Column:
         default = F.array(_edit(s, s + pipe), _edit(e - 3, e))
         result = result.when((kind == "Parameter") & (pipe > 0), default).when(kind == "Parameter", whole)
     if flags["replace_tags"]:
-        opening = F.length(F.regexp_extract(string, r"(?s)^<(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", 0))
+        opening = F.length(F.regexp_extract(string, r"(?s)^<(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", 0))
         closing = F.length(F.regexp_extract(string, r"(?s)</[^<>]*>\z", 0))
         paired = kind.isin("Tag", "ExtensionTag") & (closing > 0) & ~string.rlike(r"^<[^>]*/\s*>\z")
         result = result.when(paired, _keep(s, e, s + opening, e - closing)).when(kind.isin("Tag", "ExtensionTag"), whole)

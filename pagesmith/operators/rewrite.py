@@ -233,7 +233,7 @@ def set_arg(
     addition, add_start, add_end = plain, end, end
     if preserve_spacing:
         lead_ws = lambda c: F.regexp_extract(c, r"(?U)^\s*", 0)
-        tail_ws = lambda c: F.regexp_extract(c, r"(?:\n[ \t]*)*\z", 0)
+        tail_ws = lambda c: F.regexp_extract(c, r"(?:\n[ \t]*+)*+\z", 0)
         names = F.transform("args", lambda a: a["name"])
         values = F.transform("args", lambda a: a["value"])
         tails = F.transform(values, tail_ws)

@@ -137,3 +137,8 @@ def test_scalar_functions(spark):
 def test_comments_column_order(pages):
     df = pages("a<!--b-->", "x", "<!--c")
     assert column(X.comments(df), "contents") == ["b", "c"]
+
+
+def test_long_start_tag_does_not_overflow_the_stack(pages):
+    body = "<ref " + "x" * 100_000 + ">y</ref>"
+    assert column(X.extension_tags(pages(body)), "contents") == ["y"]

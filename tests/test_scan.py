@@ -1,6 +1,7 @@
 """The scan of one body against rules and against a slow restatement of them."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -142,3 +143,10 @@ def test_splice():
     assert splice_text("abcdef", [edit(1, 4, "", True), edit(2, 5, "Z", True)], 0, 6) == "af"
     assert splice_text("abc", [], 0, 3) == "abc"
     assert splice_text("abcdef", [edit(1, 3, "", True), edit(4, 5, "", True)], 2, 5) == "d"
+
+
+def test_stray_quotes_and_open_tags_stay_cheap():
+    for body in ("si a <b entonces " + "'''x''' " * 2000, "<b " + '"' * 10_000, "<b ' > c ' d"):
+        start = time.perf_counter()
+        scan_page(body)
+        assert time.perf_counter() - start < 5
