@@ -44,7 +44,7 @@ HOT = 400_000
 SMALL = 2_000_000
 LOW = U(1 << 62)
 BLOCK = 2048
-FEW = 64
+FEW = 16
 ELEMENTS = 2_000_000
 
 
@@ -85,8 +85,8 @@ def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    hot = counts.filter(F.col("n") > max(32, total // HOT)).select("token").toPandas()["token"]
-    return np.sort(hot.to_numpy(np.int64).view(U))
+    hot = counts.filter(F.col("n") > max(32, total // HOT)).select("token").toArrow()["token"]
+    return np.sort(hot.to_numpy().astype(np.int64).view(U))
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
