@@ -287,7 +287,24 @@ def test_lm_bits_are_a_distribution():
     size = lm.TABLES << lm.TABLE_BITS
     mixer = lm.Mixer(np.zeros(size), np.zeros(size))
     texts = [[bytes([a, b])] for a in range(33, 127) for b in range(33, 127)] + [[lm.END]]
-    assert 10 ** mixer.score(lm.segments(codes, index, texts), len(texts)) @ np.ones(len(texts)) <= 1
+    assert 10 ** mixer.score(lm.segments(codes, index, texts), len(texts)).sum(0) @ np.ones(len(texts)) <= 1
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """A chain of words, where the word before tells most of the next; some words are rare."""
+    rnd = random.Random(5)
+    follow = {k: [rnd.randrange(200) for _ in range(3)] for k in range(200)}
+
+    def text():
+        at, out = rnd.randrange(200), []
+        for _ in range(80):
+            out.append(f"w{at}" if rnd.random() > 0.03 else f"rare{rnd.randrange(3000)}")
+            at = rnd.choice(follow[at])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string").repartition(4)
+    held = [r for r in lm.score(docs).collect() if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
 
 
 def test_urls(spark):
