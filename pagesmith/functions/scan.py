@@ -117,7 +117,8 @@ def _brace_kind(inner, width):
 
 def _brackets(mask, lo, hi, found):
     """Links, parameters, functions and templates between lo and hi, inside out."""
-    tags = [m.span() for m in _HTML_TAG.finditer(mask, lo, hi)]
+    # A tag ends at a ">", so nothing behind the last one is searched.
+    tags = [m.span() for m in _HTML_TAG.finditer(mask, lo, mask.rfind(b">", lo, hi) + 1)]
     for s, e in tags:
         mask[s:e] = mask[s:e].translate(_TAG_BRACKETS)
     runs = [(m.start(), m.end(), mask[m.start()]) for m in _RUNS.finditer(mask, lo, hi)]
@@ -185,7 +186,7 @@ def _brackets(mask, lo, hi, found):
 def _html_pairs(shadow, found):
     """HTML tags of the page: a start tag takes the nearest unused end tag after it."""
     open_tags = {}
-    for m in _HTML_TAG.finditer(shadow):
+    for m in _HTML_TAG.finditer(shadow, 0, shadow.rfind(b">") + 1):
         if m[1]:
             if starts := open_tags.get(m[2]):
                 start = starts.pop()

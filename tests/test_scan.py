@@ -52,6 +52,14 @@ def test_tags(body, expected):
     assert found(body, "Comment", "ExtensionTag", "Tag") == expected
 
 
+@pytest.mark.parametrize("piece", ["<b ", "<b \"", "si a <b ''' "])
+def test_start_tags_without_end_are_linear(piece):
+    start = time.perf_counter()
+    assert found(piece * 50_000, "Tag") == []
+    assert found("<b>x</b>" + piece * 50_000, "Tag") == [("Tag", "<b>x</b>")]
+    assert time.perf_counter() - start < 10
+
+
 def test_tables():
     body = "a\n{|\n|a\n{|\n|b\n|}\n|}\n{| x\n"
     assert found(body, "Table", "InnerTable") == [
