@@ -3,7 +3,8 @@
 One SQL text that Spark and DuckDB both run. Every document gives one page that holds
 its whole text; the markup around it is built from the document's columns, piece by
 piece, so an oracle can compute elements and offsets from those columns and never
-parses anything.
+parses anything. Redirects are further rows: two of ten documents give one besides their page,
+with a negative number and no body.
 """
 
 from __future__ import annotations
@@ -53,17 +54,18 @@ def _offset(piece: str) -> str:
 # Tables: ``src`` the columns, ``cut`` the pieces, ``wiki`` the page with the start of
 # each piece (o_*), ``wiki_pages`` the page table.
 CTE = f"""WITH src AS (
- SELECT doc_id AS ord, doc_id % 10 AS k, text, lang, source, n_chars,
+ SELECT ord, doc_id, rd, doc_id % 10 AS k, text, lang, source, n_chars,
   concat('{{{{etimología|', lang, '}}}}') AS etim,
   concat(chr(39), chr(39)) AS q2, concat(chr(39), chr(39), chr(39)) AS q3
- FROM documents),
+ FROM (SELECT doc_id AS ord, false AS rd, doc_id, text, lang, source, n_chars FROM documents
+  UNION ALL SELECT -1 - doc_id, true, doc_id, text, lang, source, n_chars FROM documents WHERE doc_id % 10 IN (5, 9)) AS d),
 cut AS (SELECT src.*, {", ".join(f"{sql} AS {name}" for name, sql in PIECES.items())} FROM src),
-wiki AS (SELECT ord, k, text, lang, source, n_chars, etim,
+wiki AS (SELECT ord, doc_id, rd, k, text, lang, source, n_chars, etim,
  CASE k WHEN 0 THEN concat('Plantilla:Doc ', ord) WHEN 1 THEN concat('Categoría:Doc ', ord)
-  WHEN 2 THEN concat('Módulo:Doc ', ord) ELSE concat('Doc ', ord) END AS title,
+  WHEN 2 THEN concat('Módulo:Doc ', ord) ELSE concat(CASE WHEN k IN (5, 9) AND NOT rd THEN 'Texto ' ELSE 'Doc ' END, doc_id) END AS title,
  CAST(CASE k WHEN 0 THEN 10 WHEN 1 THEN 14 WHEN 2 THEN 828 ELSE 0 END AS INT) AS namespace_id,
- CASE k WHEN 5 THEN concat('Doc ', ord + 1) WHEN 9 THEN concat('Doc ', ord - 4) ELSE NULL END AS redirect_to,
- CASE WHEN k IN (5, 9) THEN NULL ELSE concat({", ".join(PIECES)}) END AS body,
+ CASE WHEN rd AND k = 5 THEN concat('Doc ', doc_id + 1) WHEN rd THEN concat('Doc ', doc_id - 4) ELSE NULL END AS redirect_to,
+ CASE WHEN rd THEN NULL ELSE concat({", ".join(PIECES)}) END AS body,
  CASE WHEN k = 2 THEN 'Scribunto' WHEN ord % 13 = 5 THEN 'css' ELSE 'wikitext' END AS model,
  {", ".join(PIECES)},
  {", ".join(f"{_offset(p)} AS {p.replace('p_', 'o_')}" for p in PIECES)}
@@ -71,7 +73,7 @@ wiki AS (SELECT ord, k, text, lang, source, n_chars, etim,
 wiki_pages AS (SELECT ord, title, namespace_id, redirect_to, body, model FROM wiki),
 live AS (SELECT * FROM wiki WHERE body IS NOT NULL),
 raw_pages AS (SELECT ord,
- concat(CASE WHEN ord % 23 = 0 THEN 'Main:' ELSE '' END, 'Doc ', ord,
+ concat(CASE WHEN ord % 23 = 0 THEN 'Main:' ELSE '' END, CASE WHEN k IN (5, 9) AND NOT rd THEN 'Texto ' ELSE 'Doc ' END, doc_id,
   CASE WHEN ord % 11 = 0 THEN '/documentation' WHEN ord % 17 = 0 THEN '/testcases/1' ELSE '' END) AS title,
  CAST(CASE WHEN ord % 19 = 0 THEN 9999 ELSE namespace_id END AS INT) AS ns,
  redirect_to AS redirect, model, body AS text FROM wiki),
