@@ -9,15 +9,19 @@ many documents last, so passages that unrelated documents share seldom count.
 1. *Stars.* Classes that share a shingle of their prefixes form a tile. Every class is compared
    with the first class of each of its tiles: as many pairs as tile members, and most tiles of
    a group of copies have the same first class.
+   This is repeated with another hub for each tile that holds several components, as long as
+   it lessens the pairs between components by a quarter, and they are more than ``LINEAR`` times
+   the rows of tiles.
 2. *Tiles.* Tiles that hold more than one component are split into size bands and blocks; in
    each, hashed bitmaps of all pairs of different components bound the overlap from above.
 3. Pairs within the bound are compared exactly by intersecting the sorted arrays, grouped so
    that a task holds a bounded number of elements; components are found by star contraction.
 
 A link's two classes share a tile, so they are compared there unless a component has them
-already: components are exact. The frequent shingles are counted over all documents among the
+already: components are exact. The frequent shingles are counted over all sets among the
 lowest quarter of hash values, where prefixes come from; they are fewer than ``HOT`` by
-construction, as each counts for more than 1/HOT of all shingles. The order decides the work,
+construction, as each counts for more than 1/HOT of all shingles; copies in one task count once.
+Texts are read once: the sets are stored, one per class and task, 8 bytes an element. The order decides the work,
 never the result. Lists of classes are broadcast up to ``SMALL`` rows, otherwise joined.
 
 Null, empty and blank texts have an empty set, no links, and are components of their own. A
@@ -46,6 +50,8 @@ LOW = U(1 << 62)
 BLOCK = 2048
 FEW = 16
 ELEMENTS = 2_000_000
+LINEAR = 8
+SLOW = 0.75
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -56,72 +62,93 @@ def _binary(items: list[bytes]) -> pa.Array:
     return pa.array(items, pa.binary())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``id, c, size, bits``: class, set size and bitmap of every document of ``id, text``."""
+def shingled(docs: DataFrame) -> DataFrame:
+    """``id, c, size, bits, s``: class and set size of every document of ``id, text``.
+
+    The sorted set ``s`` and its bitmap stand in the first row of a class in its task, else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        names = ["id", "c", "size", "bits", "s"]
         for batch in batches:
-            cs, sizes, bits = [], [], []
+            ids, at, held = batch.column("id"), 0, 0
+            cs, sizes, bits, sets = [], [], [], []
+
+            def part() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(cs)), pa.array(cs, pa.int64()), pa.array(sizes, pa.int64()), _binary(bits), _binary(sets)], names
+                )
+
             for s in shingle_sets(_texts(batch)):
-                cs.append(set_class(s))
+                c = set_class(s)
+                new = len(s) > 0 and c not in seen
+                if new:
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(c)
+                    held += s.nbytes
+                cs.append(c)
                 sizes.append(len(s))
-                bits.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(cs, pa.int64()), pa.array(sizes, pa.int64()), _binary(bits)],
-                ["id", "c", "size", "bits"],
-            )
-
-    schema = StructType([docs.schema["id"], StructField("c", LongType()), StructField("size", LongType()), StructField("bits", BinaryType())])
+                bits.append(bitmap(s) if new else None)
+                sets.append(s.tobytes() if new else None)
+                if held > 1 << 24:
+                    yield part()
+                    at, held = at + len(cs), 0
+                    cs, sizes, bits, sets = [], [], [], []
+            yield part()
+
+    schema = StructType([
+        docs.schema["id"], StructField("c", LongType()), StructField("size", LongType()),
+        StructField("bits", BinaryType()), StructField("s", BinaryType()),
+    ])
     return docs.mapInArrow(run, schema)
 
 
-def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
-    """Shingles among the lowest hash values that stand in more than ``total / HOT`` documents."""
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(s, U) for s in batch.column("s").cast(pa.large_binary()).to_pylist()]
+
+
+def frequent_shingles(sets: DataFrame, total: int) -> np.ndarray:
+    """Shingles among the lowest hash values that stand in more than ``total / HOT`` stored sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = [s[: np.searchsorted(s, LOW)] for s in shingle_sets(_texts(batch))]
+            low = [s[: np.searchsorted(s, LOW)] for s in _sets(batch)]
             tokens, n = np.unique(np.concatenate(low or [np.zeros(0, U)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = sets.select("s").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     hot = counts.filter(F.col("n") > max(32, total // HOT)).select("token").toArrow()["token"]
     return np.sort(hot.to_numpy().astype(np.int64).view(U))
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``token, c, size``: the prefix shingles of every class, once per task and class."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def prefixes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``token, c, size``: the prefix shingles of every stored set."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        seen: set[int] = set()
         for batch in batches:
-            tokens, cs, sizes = [], [], []
-            for s in shingle_sets(_texts(batch)):
-                c = set_class(s)
-                if not len(s) or c in seen:
-                    continue
-                seen.add(c)
-                if len(seen) > 1_000_000:
-                    seen.clear()
+            tokens, reps, sizes = [], [], []
+            for s in _sets(batch):
                 need = len(s) + -(-PERCENT * len(s) // 100) * -1 + 1
                 if len(last):
                     at = np.searchsorted(last, s)
                     late = last[np.minimum(at, len(last) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
                 tokens.append(s[:need])
-                cs.append(c)
-                sizes.append((need, len(s)))
-            if not cs:
+                reps.append(need)
+                sizes.append(len(s))
+            if not reps:
                 continue
-            reps = [k for k, _ in sizes]
+            cs = batch.column("c").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cs, np.int64), reps)),
-                pa.array(np.repeat(np.array([n for _, n in sizes], np.int64), reps)),
+                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(cs, reps)),
+                pa.array(np.repeat(np.array(sizes, np.int64), reps)),
             ], ["token", "c", "size"])
 
-    return docs.select("text").mapInArrow(run, "token long, c long, size long")
+    return sets.select("c", "s").mapInArrow(run, "token long, c long, size long")
 
 
 def size_fits(a: str, b: str):
@@ -151,7 +178,7 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` (sizes ``sa, sb``) whose sets link, by exact intersection.
 
     Pairs are grouped by ``a`` in parts of at most ELEMENTS elements or one set; the set of
@@ -164,24 +191,6 @@ def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sends = stored(dealt.select("a", "part", F.col("b").alias("c")).union(hubs.select("a", "part", F.col("a").alias("c"))))
     needed = sends.select("c").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            cs, sets = [], []
-            for s in shingle_sets(_texts(batch)):
-                c = set_class(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    cs.append(c)
-                    sets.append(s.tobytes())
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if sum(map(len, sets[-200:])) > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), _binary(sets)], ["c", "s"])
-                    cs, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), _binary(sets)], ["c", "s"])
-
-    sets = docs.select("text").mapInArrow(run, "c long, s binary")
     sets = sets.join(small(stored(needed)), "c", "left_semi")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -283,26 +292,30 @@ def tile_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every document."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    own = stored(classes(docs))
-    total = own.agg(F.sum("size")).first()[0] or 0
-    sketches = own.filter("size > 0").groupBy("c").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    found = prefixes(docs, frequent_shingles(docs, total)).repartition("token").distinct()
+    own = stored(shingled(docs))
+    sets = own.filter("s is not null").select("c", "size", "bits", "s")
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    sketches = sets.groupBy("c").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    sets = sets.select("c", "s")
+    found = prefixes(sets, frequent_shingles(sets, total)).repartition("token").distinct()
     tiles = found.groupBy("token").agg(
         F.min("c").alias("first"), F.max("c").alias("_last"), F.min_by("size", "c").alias("first_size")
     ).filter("first < _last").drop("_last")
     members = stored(found.join(tiles, "token"))
-    stars = members.filter((F.col("c") != F.col("first")) & size_fits("size", "first_size")).select(
+    pairs = members.filter((F.col("c") != F.col("first")) & size_fits("size", "first_size")).select(
         F.col("first").alias("a"), F.col("c").alias("b"), F.col("first_size").alias("sa"), F.col("size").alias("sb")
     ).distinct()
-    links = linked(docs, bounded(stars, sketches))
-    roots = contract(links)
-    placed = stored(with_root(members.select("token", "c"), roots))
-    open_ = placed.groupBy("token").agg(
-        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("_sum")
-    ).filter("_lo < _hi").dropDuplicates(["_n", "_lo", "_hi", "_sum"]).select("token")
-    rest = placed.join(open_, "token", "left_semi").join(sketches.select("c", "size"), "c")
-    more = linked(docs, tile_pairs(rest, sketches))
-    roots = contract(links.union(more))
+    roots = contract(linked(sets, bounded(pairs, sketches)))
+    members, before, turn = members.select("token", "c", "size"), None, 0
+    while True:
+        members = open_tiles(with_root(members, roots))
+        work = pair_work(members)
+        if work <= LINEAR * members.count() or (before is not None and work > SLOW * before):
+            break
+        before, turn = work, turn + 1
+        roots = contract(roots.union(linked(sets, bounded(star_pairs(members, turn), sketches))))
+        members = members.drop("root")
+    roots = contract(roots.union(linked(sets, tile_pairs(members, sketches))))
     rooted = with_root(own.select("id", "c", F.col("size").alias("n_shingles")), roots)
     least = rooted.groupBy("root").agg(F.min("id").alias("_least"))
     return rooted.join(least, "root").select(
@@ -311,6 +324,36 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def open_tiles(placed: DataFrame) -> DataFrame:
+    """The rows ``token, c, size, root`` of tiles with several roots; of tiles with the same rows one stays."""
+    placed = stored(placed)
+    kept = placed.groupBy("token").agg(
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("_sum")
+    ).filter("_lo < _hi").dropDuplicates(["_n", "_lo", "_hi", "_sum"]).select("token")
+    return stored(placed.join(kept, "token", "left_semi"))
+
+
+def pair_work(members: DataFrame) -> float:
+    """How many pairs of different roots the tiles hold."""
+    same = members.groupBy("token", "root").count().groupBy("token").agg(
+        F.sum("count").cast("double").alias("n"), F.sum(F.col("count") * F.col("count").cast("double")).alias("own")
+    )
+    return same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0.0
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Every class of a tile with the tile's hub of this turn, if their roots differ."""
+    hubs = members.groupBy("token").agg(F.min_by(
+        F.struct(F.col("c").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb")), F.xxhash64("c", "token", F.lit(turn))
+    ).alias("_hub"))
+    met = members.join(hubs.select("token", "_hub.*"), "token").filter((F.col("root") != F.col("rb")) & size_fits("size", "sb"))
+    less = F.col("c") < F.col("b")
+    return met.select(
+        F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b"), F.when(less, F.col("size")).otherwise(F.col("sb")).alias("sa"),
+        F.when(less, F.col("sb")).otherwise(F.col("size")).alias("sb"),
+    ).distinct()
+
+
 def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow a link."""
     a = sketches.select(F.col("c").alias("a"), F.col("bits").alias("_ba"))

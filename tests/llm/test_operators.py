@@ -212,6 +212,7 @@ def test_large_tiles_are_compared_in_blocks(spark, monkeypatch):
     plain = sorted(map(str, ngram_join.components(docs).collect()))
     monkeypatch.setattr(ngram_join, "FEW", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "LINEAR", 0)
     assert sorted(map(str, ngram_join.components(docs).collect())) == plain
 
 
