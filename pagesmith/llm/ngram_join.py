@@ -242,6 +242,55 @@ def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(own, "c", "left").withColumn("root", F.coalesce("_root", "c")).drop("_root")
 
 
+def _block_pairs(tile: int, c: np.ndarray, size: np.ndarray, root: np.ndarray, band: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """``a, b, sa, sb`` of a pair of blocks: its classes of the tile's band with each other and with those below."""
+    order = np.argsort(c)
+    c, size, root, top, bits = c[order], size[order], root[order], band[order] == tile, bits[order]
+    places, n, out = np.flatnonzero(top), len(c), []
+    step = max(1, (1 << 18) // max(n, 1))
+    for at in range(0, len(places), step):
+        i = places[at : at + step][:, None]
+        j = np.arange(n)[None, :]
+        fits = (~top[j] | (j > i)) & (root[j] != root[i])
+        fits &= (PERCENT * size[j] <= 100 * size[i]) & (PERCENT * size[i] <= 100 * size[j])
+        x, y = np.nonzero(fits)
+        x = i[x, 0]
+        near = within_bound(size[x], size[y], bits[x], bits[y])
+        x, y = x[near], y[near]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        out.append(np.stack([c[low], c[high], size[low], size[high]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs within the bound of rows that are sorted by block; a block may go on in the next batch."""
+    keys, rest = ["token", "tile", "lo", "hi"], None
+
+    def pairs_of(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        tile, *columns = [rows[k].to_numpy().astype(np.int64) for k in ("tile", "c", "size", "root", "band")]
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(tile), -1)
+        parts, start = [np.zeros((0, 4), np.int64)], 0
+        for end in ends:
+            parts.append(_block_pairs(tile[start], *[x[start:end] for x in columns], bits[start:end]))
+            start = end
+        got = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(4)], ["a", "b", "sa", "sb"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        if not len(rows):
+            continue
+        names = [rows[k].to_numpy() for k in keys]
+        ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
+        if len(ends):
+            yield pairs_of(rows, ends)
+            rows = rows.slice(ends[-1])
+        rest = rows
+    if rest is not None and len(rest):
+        yield pairs_of(rest, np.array([len(rest)]))
+
+
 def tile_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of different roots within the bound, from the tiles of ``token, c, size, root``.
 
@@ -268,24 +317,10 @@ def tile_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
         "tile", F.explode(F.array("band", F.col("band") + 1))
     ).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("c").drop_duplicates("c")
-        c, size, root, band = (rows[k].to_numpy() for k in ("c", "size", "root", "band"))
-        bits, top = _bits(rows["bits"]), band == rows["tile"].to_numpy()
-        out = []
-        for i in np.flatnonzero(top):
-            later = (~top | (np.arange(len(c)) > i)) & (root != root[i])
-            j = np.flatnonzero(later & (PERCENT * size <= 100 * size[i]) & (PERCENT * size[i] <= 100 * size))
-            j = j[within_bound(size[i], size[j], bits[i][None, :], bits[j])]
-            out.append(np.stack([np.full(len(j), c[i]), c[j], np.full(len(j), size[i]), size[j]], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        flip = got[:, 0] > got[:, 1]
-        got[flip] = got[flip][:, [1, 0, 3, 2]]
-        return pd.DataFrame(got, columns=["a", "b", "sa", "sb"])
-
     keys = ["token", "tile", "lo", "hi"]
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = sent.repartition(tasks, *keys).groupBy(*keys).applyInPandas(compare, "a long, b long, sa long, sb long")
+    sent = sent.select(*keys, "c", "size", "root", F.col("band").cast("long").alias("band"), "bits")
+    blocks = sent.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_compare_blocks, "a long, b long, sa long, sb long")
     return plain.union(blocks).distinct()
 
 
