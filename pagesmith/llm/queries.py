@@ -71,3 +71,17 @@ def op3_secrets(spark, sf):
 @query
 def op2_lm_score(spark, sf):
     return lm.score(table(spark, sf, "documents"))
+
+
+ORACLES["op7_url_filter"] = r"""WITH cut AS (SELECT page_id,
+  coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS tail FROM pages),
+named AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, concat('.', host) AS h, CASE
+  WHEN ends_with(concat('.', host), '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN ends_with(concat('.', host), '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN ends_with(concat('.', host), '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN ends_with(concat('.', host), '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM named)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN path LIKE '/%login%' OR path LIKE '/%/cart/%' OR path LIKE '%.exe' OR path LIKE '%.zip' OR path LIKE '%.apk'
+   OR h LIKE '%.ads.%' OR path LIKE '/%/wp-admin/%' THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
