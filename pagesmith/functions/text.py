@@ -97,9 +97,9 @@ def first_upper(c: Column) -> Column:
 
 def escape_nowiki(c) -> Column:
     """T5: the fifteen markup characters as entities, each character once."""
-    table = F.create_map(*[F.lit(x) for pair in NOWIKI_ESCAPES.items() for x in pair])
-    chars = F.split(_col(c), "")
-    return F.array_join(F.transform(chars, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    # Entities hold no marked character but #, so # is replaced before any entity is there.
+    order = sorted(NOWIKI_ESCAPES, key=lambda x: x != "#")
+    return reduce(lambda acc, x: F.replace(acc, F.lit(x), F.lit(NOWIKI_ESCAPES[x])), order, _col(c))
 
 
 def safe_filename(c) -> Column:
