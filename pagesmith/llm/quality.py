@@ -5,10 +5,12 @@ blanks as spaces, ends trimmed) and hashed; per host, the documents that hold a
 counted; a line in more than ``min_docs`` documents and more than ``share`` of the host's
 documents is removed; a document of which less than ``min_left`` of the words remains is
 rejected. Copies are not many documents: the documents of such a line are told apart by the
-least hash among their *other* lines, for three hash functions, and the line is removed only if
-more than ``min_docs`` and half of its different texts differ there. So the lines of a passage
-that was copied a thousand times with its surroundings are no boilerplate, those that stand in
-a thousand different documents are.
+least hash among their lines that are *not* so frequent themselves, for three hash functions, or
+by the whole text if it has no such line, and the line is removed only if more than ``min_docs``
+and half of its different texts differ there. So the lines of a passage that was copied a
+thousand times with its surroundings are no boilerplate, those that stand in a thousand
+different documents are, however many lines their template has. Near copies that differ in
+lines of their own count as different documents.
 
 The lines to remove are one row per host: by the share rule there are at most (lines per
 document / share) of them, whatever the size of the table. Texts are not shuffled where that
@@ -104,15 +106,13 @@ def frequent_lines(
         "_host", F.xxhash64("_text").alias("_key"),
         F.array_distinct(F.transform(F.array_remove(lines_of(F.col("_text")), ""), line_hash)).alias("_lines"), "_frequent",
     )
+    # what tells the texts apart: the least hash outside all of these lines, the text itself where there are none
+    own_lines = F.array_except("_lines", "_frequent")
     held = held.select(
         "_host", "_key", F.explode(F.array_intersect("_lines", "_frequent")).alias("_line"),
-        *[F.slice(F.sort_array(F.transform("_lines", lambda x, k=k: F.xxhash64(x, F.lit(k)))), 1, 2).alias(f"_least{k}") for k in SEEDS],
+        *[F.coalesce(F.array_min(F.transform(own_lines, lambda x, k=k: F.xxhash64(x, F.lit(k)))), "_key").alias(f"_other{k}") for k in SEEDS],
     )
-    others = [
-        F.when(F.get(f"_least{k}", F.lit(0)) != F.xxhash64("_line", F.lit(k)), F.get(f"_least{k}", F.lit(0)))
-        .otherwise(F.coalesce(F.get(f"_least{k}", F.lit(1)), F.get(f"_least{k}", F.lit(0)))).alias(f"_other{k}") for k in SEEDS
-    ]
-    counts = held.select("_host", "_line", "_key", *others).groupBy("_host", "_line").agg(
+    counts = held.groupBy("_host", "_line").agg(
         F.countDistinct("_key").alias("_texts"), *[F.countDistinct(f"_other{k}").alias(f"_n{k}") for k in SEEDS]
     )
     most = F.greatest(*[F.col(f"_n{k}") for k in SEEDS])

@@ -151,6 +151,18 @@ def test_boilerplate_and_copies(spark):
     assert kept[100] == copied
 
 
+@pytest.mark.parametrize(("template", "body"), [(10, 5), (20, 5), (20, 10)])
+def test_long_templates_do_not_shield_themselves(spark, template, body):
+    menu = [f"menu {k} of the site" for k in range(template)]
+    own = lambda i: [" ".join(f"w{i}x{k}y{j}" for j in range(20)) for k in range(body)]
+    table = [(i, "\n".join([*menu[: template // 2], *own(i), *menu[template // 2 :]]), "h") for i in range(200)]
+    copied = "\n".join([*menu, *own(-1)])
+    table += [(1000 + i, copied, "copies") for i in range(60)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["text"] for r in quality.clean(docs, min_docs=50, share=0.1).collect()}
+    assert kept == {i: "\n".join(own(i)) for i in range(200)} | {1000 + i: copied for i in range(60)}
+
+
 def brute_deletions(table, limit):
     """Lines inside a run of ``limit`` words or more that stands at an earlier position."""
     order = sorted({(i is not None, i or 0, t or "") for i, t, _ in table})
