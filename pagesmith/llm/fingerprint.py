@@ -7,11 +7,11 @@ sample is ln a = ln c - r (t - b) - r; the slot keeps the smallest sample, which
 exactly if term and t are the same. The chance of that is the generalised Jaccard similarity
 sum(min weights) / sum(max weights).
 
-The ``GROUPS * BINS`` slots are drawn bin-wise: in each of the groups a term falls into one bin
-by its hash and is sampled there, so a term costs one sample per group, not per slot, and a
-slot estimates the similarity of the terms of its bin. A slot is written as 4 hexadecimal
-digits, dots if the bin is empty. The likeness of two fingerprints is the share of equal slots
-among those that are not empty in both; it is 1 if both are empty throughout.
+Every one of the ``GROUPS * EACH`` slots takes its least sample over all terms of the text. A
+term's rows are one per group, each with the samples of the group's slots, so that the code of a
+row stays small. A slot is written as 4 hexadecimal digits, dots if the text has no terms. The
+likeness of two fingerprints is the share of equal slots among those that are not empty in both;
+it is 1 if both are empty throughout.
 
 Edited texts need the next document's beginning. Documents are dealt out by blocks of CELL ids,
 so every document but the last of a block has the next one in its task; the first document of
@@ -31,7 +31,7 @@ from pagesmith.llm.common import let, lower_ascii, numbered, stored, whole, word
 
 WIDTH = 5
 GROUPS = 8
-BINS = 8
+EACH = 8
 CELL = 256
 
 
@@ -53,15 +53,14 @@ def _unit(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def samples(term: Column, weight: Column, group: int) -> Column:
-    """The term's bin and its sample in a group."""
-    one, two = F.xxhash64(term, F.lit(2 * group)), F.xxhash64(term, F.lit(2 * group + 1))
+def sample(term: Column, log_weight: Column, slot: Column) -> Column:
+    """The term's sample in a slot."""
+    one, two = F.xxhash64(term, 2 * slot), F.xxhash64(term, 2 * slot + 1)
     r = -F.log(_unit(one, 0) * _unit(one, 21))
     c = -F.log(_unit(two, 0) * _unit(two, 21))
     b = _unit(one, 42)
-    t = F.floor(F.log(weight) / r + b)
-    bin_ = F.shiftrightunsigned(two, 42).bitwiseAND(F.lit(BINS - 1)).cast("int")
-    return F.struct(bin_.alias("bin"), (F.log(c) - r * (t - b) - r).alias("a"))
+    t = F.floor(log_weight / r + b)
+    return F.log(c) - r * (t - b) - r
 
 
 def fingerprints(texts: DataFrame, keys: list[str], term_arrays: str) -> DataFrame:
@@ -78,18 +77,22 @@ def fingerprints(texts: DataFrame, keys: list[str], term_arrays: str) -> DataFra
 
     some = F.when(F.size(term_arrays) > 0, let(F.sort_array(term_arrays), counted))
     terms = texts.select(*keys, F.explode_outer(some).alias("_t")).select(
-        *keys, *[samples(F.col("_t.term"), F.col("_t.weight"), g).alias(f"_g{g}") for g in range(GROUPS)]
-    ).select(*keys, *[F.col(f"_g{g}.{x}").alias(f"_{x}{g}") for g in range(GROUPS) for x in ("bin", "a")])
-    slots = [(g, b) for g in range(GROUPS) for b in range(BINS)]
-    least = terms.groupBy(*keys).agg(*[F.min(F.when(F.col(f"_bin{g}") == b, F.col(f"_a{g}"))).alias(f"_m{g}_{b}") for g, b in slots])
-    digits = [F.coalesce(F.substring(F.lpad(F.hex(F.xxhash64(f"_m{g}_{b}")), 16, "0"), 13, 4), F.lit("....")) for g, b in slots]
-    digits = [F.when(F.col(f"_m{g}_{b}").isNull(), "....").otherwise(d) for (g, b), d in zip(slots, digits, strict=True)]
-    return least.select(*keys, F.concat(*digits).alias("fingerprint"))
+        *keys, F.col("_t.term").alias("_term"), F.log("_t.weight").alias("_log"),
+        F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("_group"),
+    ).select(*keys, "_group", *[
+        sample(F.col("_term"), F.col("_log"), F.col("_group") * EACH + k).alias(f"_a{k}") for k in range(EACH)
+    ])
+    least = terms.groupBy(*keys, "_group").agg(*[F.min(f"_a{k}").alias(f"_m{k}") for k in range(EACH)])
+    digits = [F.when(F.col(f"_m{k}").isNull(), "....").otherwise(
+        F.substring(F.lpad(F.hex(F.xxhash64(f"_m{k}")), 16, "0"), 13, 4)
+    ) for k in range(EACH)]
+    groups = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_group", F.concat(*digits).alias("_part")))).alias("_parts"))
+    return groups.select(*keys, F.array_join(F.col("_parts._part"), "").alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal slots."""
-    slots = F.sequence(F.lit(0), F.lit(GROUPS * BINS - 1))
+    slots = F.sequence(F.lit(0), F.lit(GROUPS * EACH - 1))
     pair = F.transform(slots, lambda i: F.struct(F.substr(a, i * 4 + 1, F.lit(4)).alias("x"), F.substr(b, i * 4 + 1, F.lit(4)).alias("y")))
     return let(F.filter(pair, lambda p: (p["x"] != "....") | (p["y"] != "....")), lambda p: F.when(F.size(p) == 0, 1.0).otherwise(
         F.size(F.filter(p, lambda q: q["x"] == q["y"])) / F.size(p)

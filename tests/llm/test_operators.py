@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 from math import log10
 
@@ -255,6 +256,20 @@ def test_fingerprint_estimates_jaccard(spark):
     assert near[1] == near[2] == pytest.approx(296 / 496, abs=0.2)
 
 
+@pytest.mark.parametrize(("heavy", "others"), [(1000, 70), (300, 30), (10, 200)])
+def test_fingerprint_counts_heavy_terms_by_their_weight(spark, heavy, others):
+    def shingles(text):
+        w = words(lower(text))
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+    texts = [f"same{i // 2} " * (heavy + 4) + " ".join(f"w{i}x{j}" for j in range(others)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprint_edits(docs).collect()}
+    a, b = shingles(texts[0]), shingles(texts[1])
+    exact = sum((a & b).values()) / sum((a | b).values())
+    assert np.mean([near[i] for i in range(1, 40, 2)]) == pytest.approx(exact, abs=0.05)
+
+
 def test_secrets(spark):
     rnd = random.Random(3)
     key = lambda n: "".join(rnd.choice(secret_scan.ALPHABET[:62]) for _ in range(n))
