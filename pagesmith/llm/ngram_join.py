@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from pagesmith.llm.common import stored
+from pagesmith.llm.common import stored, whole
 from pagesmith.llm.shingles import U, bitmap, set_class, shingle_sets
 
 PERCENT = 80
@@ -397,14 +397,20 @@ def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component; those without words all stay.
+    """One document of each component, that of the smallest id; those without words all stay.
 
-    Of repeated rows of a kept document with words one stays.
+    Rows are told apart by the id and a hash of the text, so different texts with the same id, or
+    without one, are documents of their own. Of equal ids in a component the one with the least
+    hash stays, of repeated rows one.
     """
-    groups = stored(components(docs, id_col, text_col))
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(small(kept), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    if groups.filter("n_shingles > 0").groupBy(id_col).count().filter("count > 1").limit(1).count():
+    digest = F.xxhash64(whole(F.col(text_col)))
+    # null ids come last
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), digest.alias("digest"))
+    groups = stored(components(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text"))
+    kept = groups.filter("component_id = _key").select(F.col("_key.id").alias("_kept"), F.col("_key.digest").alias("_digest")).distinct()
+    rows = docs.join(small(kept), F.col(id_col).eqNullSafe(F.col("_kept")) & (digest == F.col("_digest")), "left_semi")
+    if groups.filter("n_shingles > 0").groupBy("_key").count().filter("count > 1").limit(1).count():
         filled = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        rows = rows.filter(filled).dropDuplicates([id_col]).union(rows.filter(~filled))
+        rows = rows.withColumn("_digest", digest)
+        rows = rows.filter(filled).dropDuplicates([id_col, "_digest"]).union(rows.filter(~filled)).drop("_digest")
     return rows

@@ -218,6 +218,17 @@ def test_ngram_join(docs, rows):
     assert sorted(str(tuple(r)) for r in ngram_join.components(docs).collect()) == expected
 
 
+def test_different_texts_with_one_id_or_none_all_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    near = text(1).replace("w1x0 ", "changed ")
+    table = [(None, text(k)) for k in (2, 3, 4)] + [(5, text(5)), (5, text(6)), (7, text(7)), (7, text(7)), (None, text(2)), (8, ""), (8, None)]
+    table += [(10, text(1)), (11, near), (10, text(8)), (11, text(8)), (11, text(9)), (None, near), (12, text(4))]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    expected = [(None, text(2)), (None, text(3)), (12, text(4)), (5, text(5)), (5, text(6)), (7, text(7)), (8, ""), (8, None)]
+    expected += [(10, text(1)), (10, text(8)), (11, text(9))]
+    assert sorted(map(str, ngram_join.keep_one(docs).collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in expected)
+
+
 def test_large_tiles_are_compared_in_blocks(spark, monkeypatch):
     base = [f"w{j}" for j in range(60)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 60, 2)]
