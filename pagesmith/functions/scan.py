@@ -1,246 +1,56 @@
 """Arrow helpers for what Spark SQL functions cannot express on one string.
 
-* ``scan_elements``  - bracket matching of one page body (comments, tags, links,
-  parameters, functions, templates, tables), one left-to-right pass with a stack.
+* ``scan_elements``  - the elements of one page body (``brackets.scan_page``) as an array.
 * ``match_positions``, ``match_in`` - regex matches *with offsets*, cut from a second string.
+* ``arguments_in``   - arguments of templates and functions, numbered and told from duplicates.
+* ``sections_of``, ``segments_of`` - sections and top-level pieces of one page.
 * ``splice``, ``splice_parts``, ``cut_spans`` - cut or replace many spans of one string.
 * ``table_layout``   - slots of the cells of one table.
 * ``quotes_in``      - apostrophe balancing of bold and italic, line by line.
 
 All offsets are code points, as in Spark's ``length`` and ``substring``. Spark
-partitions and shuffles the pages; a helper only ever sees one page's text.
-
-A *mask* is a string of the same length as its text in which inner elements are
-blanked: comments become NUL, templates ``X``, parameters and opaque tags ``_``;
-links keep their text but lose their markup characters. Non-ASCII is ``?``.
+partitions and shuffles the pages; a helper only ever sees one page's text. All are
+deterministic, so filters on other columns pass below them to the scan of the table;
+``bound`` keeps what several expressions use a column of its own.
 """
 
 from __future__ import annotations
 
-import html
 import re
 import sys
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagesmith.constants import HTML_TAGS, MAGIC_WORDS, OPAQUE_TAGS, PARSABLE_TAGS, URL_SCHEMES
+from pagesmith.functions import brackets, grids
+from pagesmith.functions.brackets import KINDS, scan_marked, scan_page  # noqa: F401
+from pagesmith.functions.grids import table_layout_of, table_rectangles, table_text_of  # noqa: F401
 
 # Ship the helper code inside the UDFs, so executors need no extra files.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(brackets)
+cloudpickle.register_pickle_by_value(grids)
 
-_EXTENSION_OPEN = re.compile(
-    rb"<(?:(!--)|(%s)(?=[\s>/])([^>]*)>)" % "|".join(sorted(PARSABLE_TAGS + OPAQUE_TAGS, reverse=True)).encode(),
-    re.I,
-)
-_PARSABLE = {name.encode() for name in PARSABLE_TAGS}
-_HTML_TAG = re.compile(
-    rb"<(/?)(%s)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|\"(?![^\"]*\")|'(?![^']*'))*+(?=>)|[^>]*+)>" % "|".join(sorted(HTML_TAGS, reverse=True)).encode()
-)
-_RUNS = re.compile(rb"\[(?:\0*\[)+|\](?:\0*\])+|\{\{+|\}\}+")
-_BRACE_PAIR = re.compile(rb"\{\{|\}\}")
-_BLANK_NAME = re.compile(rb"[\s\0_]*\Z")
-_FUNCTION = re.compile(rb"[\s\0]*(?:#[^{}\s:|]+|%s)(?::|\Z)" % "|".join(sorted(MAGIC_WORDS, reverse=True)).encode())
-_URL_START = re.compile(rb"[ \0]*(?:%s)[^ \t\n\"<>\[\]]" % "|".join(map(re.escape, URL_SCHEMES)).encode())
-_TABLE_EDGE = re.compile(rb"^[ :\0]*(\{\|)|\n\s*(\|\})", re.M)
-_LINK_MASK = bytes.maketrans(b"|[]'{}:", b"_\2\3___\4")
-_TAG_BRACKETS = bytes.maketrans(b"[]", b"__")
-_TAG_MARKUP = bytes.maketrans(b"|{}\n", b"____")
-
-
-def _extension_tags(mask, lo, hi, found):
-    """Comments and extension tags between lo and hi; contents of opaque tags are blanked."""
-    pos, unclosed = lo, set()
-    while m := _EXTENSION_OPEN.search(mask, pos, hi):
-        start = m.start()
-        if m[1]:
-            close = mask.find(b"-->", m.end(), hi)
-            pos = hi if close < 0 else close + 3
-            found.append(("Comment", start, pos, bytes(mask[start:pos])))
-            mask[start:pos] = b"\0" * (pos - start)
-            continue
-        name = m[2].lower()
-        inner = None
-        if m[3].endswith(b"/"):
-            pos = m.end()
-        else:
-            close = None
-            if name not in unclosed:
-                close = re.compile(rb"</%s\s*>" % name, re.I).search(mask, m.end(), hi)
-            if close is None:
-                unclosed.add(name)
-                pos = start + 1
-                continue
-            inner, pos = (m.end(), close.start()), close.end()
-        if name in _PARSABLE:
-            if inner:
-                _extension_tags(mask, *inner, found)
-            _brackets(mask, start, pos, found)
-            found.append(("ExtensionTag", start, pos, bytes(mask[start:pos])))
-            _tables(bytes(mask[start:pos]), start, found)
-            if inner:
-                mask[inner[0]:inner[1]] = b"_" * (inner[1] - inner[0])
-        else:
-            found.append(("ExtensionTag", start, pos, bytes(mask[start:pos])))
-            mask[start:pos] = b"_" * (pos - start)
-
-
-def _link_ok(inner):
-    """Is this the inside of a wikilink? The title is strict, the text may hold one [pair]."""
-    title, *parts = inner.split(b"|")
-    if any(c in title for c in b"{}[]\2\3<>\n") or _URL_START.match(title):
-        return False
-    for part in parts:
-        rest = part.removeprefix(b"[").removeprefix(b"]")
-        if not any(bytes(c for c in p if c in b"[]") in (b"", b"[]") for p in (part, rest)):
-            return False
-    return True
-
-
-def _brace_kind(inner, width):
-    """Kind of a closed brace pair, "" for a nameless one, None when it is plain text."""
-    if _BRACE_PAIR.search(inner):
-        return None
-    if width == 3:
-        return "Parameter" if inner else None
-    if _FUNCTION.match(inner):
-        return "ParserFunction"
-    name = inner.split(b"|", 1)[0]
-    if _BLANK_NAME.match(name):
-        return ""
-    if any(c in name.strip(b" \t\r\n\f\v\0") for c in b"{}[]\2\3<>\n"):
-        return None
-    return "Template"
-
-
-def _brackets(mask, lo, hi, found):
-    """Links, parameters, functions and templates between lo and hi, inside out."""
-    # A tag ends at a ">", so nothing behind the last one is searched.
-    tags = [m.span() for m in _HTML_TAG.finditer(mask, lo, mask.rfind(b">", lo, hi) + 1)]
-    for s, e in tags:
-        mask[s:e] = mask[s:e].translate(_TAG_BRACKETS)
-    runs = [(m.start(), m.end(), mask[m.start()]) for m in _RUNS.finditer(mask, lo, hi)]
-    # Which link openers have a closer at all, looking at square brackets only.
-    closable, open_links = set(), []
-    for s, e, char in runs:
-        if char == 91:
-            open_links.append(s)
-        elif char == 93 and open_links:
-            closable.add(open_links.pop())
-    stack = []  # [is_link, run start, position of innermost bracket, count]
-    for s, e, char in runs:
-        if char == 91:
-            at = [i for i in range(s, e) if mask[i] == 91]
-            if len(at) % 2 == 0:
-                stack.append([True, s, at[-2], at[-1] + 1])
-        elif char == 123:
-            stack.append([False, s, s, e - s])
-        elif char == 93:
-            at = [i for i in range(s, e) if mask[i] == 93]
-            while len(at) >= 2:
-                top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0]), None)
-                if top is None:
-                    break
-                start, inner = stack[top][2:]
-                # A run of three closes a single bracket opened in the link text first.
-                lone = len(at) > 2 and mask.count(b"[", inner, at[0]) > mask.count(b"]", inner, at[0])
-                first, last = at[lone], at[lone + 1]
-                if _link_ok(mask[inner:first]):
-                    found.append(("WikiLink", start, last + 1, bytes(mask[start:last + 1])))
-                    mask[start:last + 1] = mask[start:last + 1].translate(_LINK_MASK)
-                    del stack[top:]
-                    at = at[lone + 2:]
-                else:
-                    del stack[top]
-                    at = at[2:]
-        else:
-            while e - s >= 2:
-                top = next((i for i in range(len(stack) - 1, -1, -1) if not stack[i][0]), None)
-                if top is None:
-                    break
-                above = stack[top + 1:]
-                if any(a[1] in closable and mask.find(b"|", a[3], s) >= 0 for a in above):
-                    break  # these braces are text of a link that closes later
-                run, count = stack[top][1], stack[top][3]
-                width = 3 if count >= 3 and e - s >= 3 else 2
-                start = run + count - width
-                kind = _brace_kind(bytes(mask[start + width:s]), width)
-                if kind is None:
-                    del stack[top:]
-                else:
-                    if kind:
-                        found.append((kind, start, s + width, bytes(mask[start:s + width])))
-                    fill = b"X" if kind in ("Template", "ParserFunction") else b"_"
-                    mask[start:s + width] = fill * (s + width - start)
-                    del stack[top + 1:]
-                    stack[top][3] = count - width
-                    if count - width < 2:
-                        del stack[top]
-                s += width
-    for s, e in tags:
-        mask[s:e] = mask[s:e].translate(_TAG_MARKUP)
-
-
-def _html_pairs(shadow, found):
-    """HTML tags of the page: a start tag takes the nearest unused end tag after it."""
-    open_tags = {}
-    for m in _HTML_TAG.finditer(shadow, 0, shadow.rfind(b">") + 1):
-        if m[1]:
-            if starts := open_tags.get(m[2]):
-                start = starts.pop()
-                found.append(("Tag", start.start(), m.end(), shadow[start.start():m.end()]))
-        elif m[3].rstrip().endswith(b"/"):
-            found.append(("Tag", *m.span(), m[0]))
-        else:
-            open_tags.setdefault(m[2], []).append(m)
-    found.extend(("Tag", *m.span(), m[0]) for starts in open_tags.values() for m in starts)
-
-
-def _tables(shadow, offset, found):
-    """Table blocks, innermost first; an unclosed one runs to a final line end."""
-    if b"{|" not in shadow:
-        return
-    mask, starts = bytearray(shadow), []
-
-    def close(start, end):
-        found.append(("Table", offset + start, offset + end, bytes(mask[start:end])))
-        mask[start:end] = b"#" * (end - start)
-
-    for m in _TABLE_EDGE.finditer(shadow):
-        if m[1]:
-            starts.append(m.start(1))
-        elif starts:
-            close(starts.pop(), m.end())
-    if starts and re.search(rb"\n\s*\Z", shadow[starts[-1]:]):
-        close(starts.pop(), len(shadow))
-
-
-def scan_page(body):
-    """[(kind, start, end, mask)] with the page itself first, then by start."""
-    mask, found = bytearray(body, "ascii", "replace"), []
-    _extension_tags(mask, 0, len(mask), found)
-    _brackets(mask, 0, len(mask), found)
-    shadow = bytes(mask)
-    _html_pairs(shadow, found)
-    _tables(shadow, 0, found)
-    found.sort(key=lambda f: (f[1], -f[2]))
-    # Tables that end inside an earlier one are told apart.
-    frontier = 0
-    for i, (kind, start, end, text) in enumerate(found):
-        if kind == "Table":
-            if end < frontier:
-                found[i] = ("InnerTable", start, end, text)
-            frontier = max(frontier, end)
-    return [("Page", 0, len(body), shadow), *found]
+
+def bound(rows, keep, **made):
+    """``keep`` and the made columns, each computed once, wherever it is used.
+
+    The optimizer merges projections, and an expression that is put into the call of a Python function is
+    computed for it alone. A generator of one row stands between: filters on the kept columns pass it, and
+    columns nobody reads are dropped.
+    """
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
 
 
 def _structs(**fields):
     return T.ArrayType(T.StructType([T.StructField(k, t()) for k, t in fields.items()]))
 
 
-SPANS_TYPE = _structs(kind=T.StringType, start=T.IntegerType, end=T.IntegerType, string=T.StringType, mask=T.StringType)
+MARKS = ("opening", "split", "anchor", "closing")
+_SPAN_TYPES = {"string": T.StringType, "mask": T.StringType} | dict.fromkeys(MARKS, T.IntegerType)
 QUOTES_TYPE = _structs(kind=T.StringType, start=T.IntegerType, end=T.IntegerType, string=T.StringType, text=T.StringType)
 MATCHES_TYPE = _structs(
     start=T.IntegerType,
@@ -249,71 +59,90 @@ MATCHES_TYPE = _structs(
     starts=lambda: T.ArrayType(T.IntegerType()),
     mask=T.StringType,
     which=T.IntegerType,
+    item=T.IntegerType,
 )
-LAYOUT_TYPE = _structs(row=T.IntegerType, col=T.IntegerType, cell=T.IntegerType)
+LAYOUT_TYPE = _structs(**dict.fromkeys(("row", "rows", "col", "cols", "cell"), T.LongType))
 
 
 def _nested(counts, names, columns):
     """ListArray of structs from flat columns and the number of structs per row."""
-    offsets = [0]
-    for n in counts:
-        offsets.append(offsets[-1] + n)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names))
-
-
-@F.arrow_udf(SPANS_TYPE)
-def _scan(body: pa.Array) -> pa.Array:
-    counts, kinds, starts, ends, strings, masks = [], [], [], [], [], []
-    for text in body.to_pylist():
-        spans = scan_page(text) if text is not None else []
-        counts.append(len(spans))
-        for kind, s, e, mask in spans:
-            kinds.append(kind)
-            starts.append(s)
-            ends.append(e)
-            strings.append(text[s:e])
-            masks.append(mask.decode("ascii"))
-    return _nested(
-        counts,
-        ["kind", "start", "end", "string", "mask"],
-        [
-            pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
-            pa.array(strings, pa.string()), pa.array(masks, pa.string()),
-        ],
-    )
+    return _lists(counts, pa.StructArray.from_arrays(columns, names))
 
 
-# Non-deterministic only in name: it keeps the optimizer from running a scan twice.
-scan_elements = _scan.asNondeterministic()
+def scan_elements(
+    body, kinds: Sequence[str] = KINDS, fields: Sequence[str] = ("string", "mask"), masked: Sequence[str] | None = None
+):
+    """array<struct<kind,start,end,...>>: the elements of these kinds, the page first, then by start.
 
-
-def _find(compiled, rows) -> pa.Array:
-    """Matches per row; a row is a list of (offset of the text, text, mask)."""
-    counts, starts, ends, texts, positions, masks, which = [], [], [], [], [], [], []
+    ``fields``: ``string``; ``mask``, see ``brackets``; and the offsets of ``MARKS`` inside parameters, functions,
+    templates and links (-1 where there is none). Only what is asked for is made; with ``masked`` only these kinds
+    have their mask.
+    """
+    kinds, fields = tuple(kinds), tuple(fields)
+    types = {"kind": T.StringType, "start": T.IntegerType, "end": T.IntegerType} | {f: _SPAN_TYPES[f] for f in fields}
+    masked = () if "mask" not in fields else kinds if masked is None else tuple(masked)
+
+    @F.arrow_udf(_structs(**types))
+    def run(body: pa.Array) -> pa.Array:
+        counts, columns = [], {name: [] for name in types}
+        for text in body.to_pylist():
+            spans = scan_marked(text, kinds, masked) if text is not None else []
+            counts.append(len(spans))
+            for kind, s, e, mask, marks in spans:
+                columns["kind"].append(kind)
+                columns["start"].append(s)
+                columns["end"].append(e)
+                for name in fields:
+                    if name == "string":
+                        value = text[s:e]
+                    elif name == "mask":
+                        value = None if mask is None else mask.decode("ascii")
+                    else:
+                        value = marks[MARKS.index(name)] if marks else -1
+                    columns[name].append(value)
+        arrays = [pa.array(v, pa.string() if types[n] is T.StringType else pa.int32()) for n, v in columns.items()]
+        return _nested(counts, list(columns), arrays)
+
+    return run(body)
+
+
+def _find(compiled, rows, groups, each=False) -> pa.Array:
+    """Matches per row; a row is a list of (offset of the text, text, mask). With ``each`` a list per text."""
+    counts, starts, ends, texts, positions, masks, which, items, per_item = [], [], [], [], [], [], [], [], []
     for row in rows:
         before = len(starts)
-        for base, full, masked in row:
-            if full is None or masked is None:
-                continue
-            for number, pattern in enumerate(compiled):
+        for item, (base, full, masked) in enumerate(row):
+            inside = len(starts)
+            for number, pattern in enumerate(compiled) if full is not None and masked is not None else ():
                 for m in pattern.finditer(masked):
-                    spans = m.regs
+                    spans = m.regs if groups else m.regs[:1]
                     starts.append(base + spans[0][0])
                     ends.append(base + spans[0][1])
-                    texts.append([full[s:e] if s >= 0 else None for s, e in spans])
-                    positions.append([base + s if s >= 0 else None for s, _ in spans])
-                    masks.append(m[0])
+                    texts.append([full[s:e] if s >= 0 else None for s, e in spans] if groups else None)
+                    positions.append([base + s if s >= 0 else None for s, _ in spans] if groups else None)
+                    masks.append(m[0] if groups else None)
                     which.append(number)
-        counts.append(len(starts) - before)
-    return _nested(
-        counts,
-        ["start", "end", "texts", "starts", "mask", "which"],
+                    items.append(item)
+            per_item.append(len(starts) - inside)
+        counts.append(len(row) if each else len(starts) - before)
+    found = _nested(
+        per_item if each else counts,
+        ["start", "end", "texts", "starts", "mask", "which", "item"],
         [
             pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
             pa.array(texts, pa.list_(pa.string())), pa.array(positions, pa.list_(pa.int32())),
-            pa.array(masks, pa.string()), pa.array(which, pa.int32()),
+            pa.array(masks, pa.string()), pa.array(which, pa.int32()), pa.array(items, pa.int32()),
         ],
     )
+    return _lists(counts, found) if each else found
+
+
+def _lists(counts, values) -> pa.Array:
+    """ListArray of so many values per row."""
+    offsets = [0]
+    for n in counts:
+        offsets.append(offsets[-1] + n)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
 def _rows_of(items: pa.Array):
@@ -327,34 +156,195 @@ def _compile(patterns):
     return [re.compile(p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
 
 
-def match_positions(patterns, text, mask=None):
-    """array<struct<start,end,texts,starts,mask,which>>: matches in mask, cut from text.
+def match_positions(patterns, text, mask=None, groups: bool = True):
+    """array<struct<start,end,texts,starts,mask,which,item>>: matches in mask, cut from text.
 
     Index 0 of ``texts`` is the whole match; a group that took no part is null. Start
     positions are code points. Patterns are Python ``re`` syntax; of a list each one is
-    searched by itself and ``which`` is its index.
+    searched by itself and ``which`` is its index. Without ``groups`` texts, starts and mask are null.
     """
     compiled = _compile(patterns)
 
     @F.arrow_udf(MATCHES_TYPE)
     def run(text: pa.Array, mask: pa.Array) -> pa.Array:
-        return _find(compiled, [[(0, t, m)] for t, m in zip(text.to_pylist(), mask.to_pylist())])
+        return _find(compiled, [[(0, t, m)] for t, m in zip(text.to_pylist(), mask.to_pylist())], groups)
 
-    return run.asNondeterministic()(text, text if mask is None else mask)
+    return run(text, text if mask is None else mask)
 
 
-def match_in(patterns, items):
+def match_in(patterns, items, groups: bool = True):
     """As ``match_positions``, over all texts of an array<struct<base,text,mask>>.
 
-    Positions are moved by ``base``, the place of the text in its page.
+    Positions are moved by ``base``, the place of the text in its page; ``item`` is its index.
     """
     compiled = _compile(patterns)
 
     @F.arrow_udf(MATCHES_TYPE)
     def run(items: pa.Array) -> pa.Array:
-        return _find(compiled, _rows_of(items))
+        return _find(compiled, _rows_of(items), groups)
+
+    return run(items)
+
+
+def match_each(patterns, items):
+    """As ``match_in``, with an array of matches for every text of the array."""
+    compiled = _compile(patterns)
+
+    @F.arrow_udf(T.ArrayType(MATCHES_TYPE))
+    def run(items: pa.Array) -> pa.Array:
+        return _find(compiled, _rows_of(items), True, True)
+
+    return run(items)
+
+
+_ARGUMENT = re.compile(r"\|(?:((?:(?:(?m:^={1,6}[^\n|]+?={1,6}[ \t]*\n)|[^|=])*+))=)?([^|]*)")
+_NAME_END = re.compile(r"[^:|]*:")
+_WHITE = "\r\n\t "
+ARGUMENTS_TYPE = _structs(
+    ord=T.IntegerType, name=T.StringType, value=T.StringType, positional=T.BooleanType,
+    arg_start=T.IntegerType, arg_end=T.IntegerType, value_start=T.IntegerType, arg_string=T.StringType,
+    is_last=T.BooleanType, fate=T.StringType,
+)
+
+
+def arguments_of(base, text, mask, is_function):
+    """Arguments of one template or function given by its place, text and mask, braces included.
 
-    return run.asNondeterministic()(items)
+    Unnamed ones are 1, 2, ... counting only earlier unnamed ones. ``is_last``: no later argument has the
+    trimmed name. ``fate``: what a careful removal of duplicates does: ``drop`` one that is empty or equal to a
+    later one, ``tag`` one that stays beside a later one, else null. An empty last one makes way for the nearest
+    filled one, which is then not compared with those before it.
+    """
+    inner = mask[2:-2]
+    if is_function and (m := _NAME_END.match(inner)):
+        inner = inner[:m.end() - 1] + "|" + inner[m.end():]
+    out, unnamed, by_name = [], 0, {}
+    for ord_, m in enumerate(_ARGUMENT.finditer(inner)):
+        (s, e), name, (vs, ve) = m.span(), m.span(1), m.span(2)
+        positional = name[0] < 0
+        unnamed += positional
+        given = str(unnamed) if positional else text[2 + name[0]:2 + name[1]]
+        value = text[2 + vs:2 + ve]
+        out.append([ord_, given, value, positional, base + 2 + s, base + 2 + e, base + 2 + vs, text[2 + s:2 + e], True, None])
+        by_name.setdefault(given.strip(_WHITE), []).append((ord_, value if positional else value.strip(_WHITE)))
+    for same in by_name.values():
+        for ord_, _ in same[:-1]:
+            out[ord_][8] = False
+        last, last_value = same[-1]
+        seen, moved = set(), False
+        if last_value:
+            seen.add(last_value)
+        elif any(v for _, v in same):
+            out[last][9] = "drop"
+        for ord_, value in reversed(same[:-1]):
+            if not value or value in seen:
+                out[ord_][9] = "drop"
+            elif not last_value and not moved:
+                moved = True
+            else:
+                seen.add(value)
+                out[ord_][9] = "tag"
+    return out
+
+
+@F.arrow_udf(T.ArrayType(ARGUMENTS_TYPE))
+def _arguments_in(owners: pa.Array) -> pa.Array:
+    per_owner, rows = [], []
+    flat = owners.flatten()
+    for owner in zip(*[flat.field(i).to_pylist() for i in range(4)]):
+        found = arguments_of(*owner)
+        rows += found
+        per_owner.append(len(found))
+    types = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
+    names = [f.name for f in ARGUMENTS_TYPE.elementType]
+    inner = _nested(per_owner, names, [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)])
+    return _lists([n or 0 for n in owners.value_lengths().to_pylist()], inner)
+
+
+def arguments_in(owners):
+    """Arguments of all templates and functions of an array, an array for each."""
+    return _arguments_in(F.transform(owners, lambda o: F.struct(
+        o["start"].alias("base"), o["string"].alias("text"), o["mask"].alias("mask"), (o["kind"] == "ParserFunction").alias("is_function"))))
+
+
+SECTIONS_TYPE = _structs(
+    ord=T.IntegerType, start=T.IntegerType, end=T.IntegerType, level=T.IntegerType,
+    section_title=T.StringType, contents=T.StringType, depth=T.IntegerType,
+)
+
+
+def section_extents(levels, starts, length):
+    """(end, depth) of every section with its subsections: up to the next heading of its level or higher."""
+    ends, depths, stack = [length] * len(levels), [1] * len(levels), []
+    for i, level in enumerate(levels):
+        while stack and levels[stack[-1]] >= level:
+            ends[stack.pop()] = starts[i]
+        depths[i] = len(stack) + 1
+        stack.append(i)
+    return list(zip(ends, depths))
+
+
+def sections_of(body, headings, nested: bool):
+    """array of sections, the lead first (level 0, maybe empty), from the matches of heading lines.
+
+    With ``nested`` a section reaches over its subsections, else it ends at the next heading.
+    """
+
+    @F.arrow_udf(SECTIONS_TYPE)
+    def run(body: pa.Array, headings: pa.Array) -> pa.Array:
+        counts, rows = [], []
+        for text, found in zip(body.to_pylist(), headings.to_pylist()):
+            if text is None:
+                counts.append(0)
+                continue
+            starts = [h["start"] for h in found] + [len(text)]
+            rows.append((0, 0, starts[0], 0, None, text[:starts[0]], 1))
+            levels = [len(h["texts"][1]) for h in found]
+            extents = section_extents(levels, starts, len(text)) if nested else [(s, 1) for s in starts[1:]]
+            for i, (h, level, (end, depth)) in enumerate(zip(found, levels, extents)):
+                inner = min(h["end"] + 1, len(text))  # the line feed belongs to the heading
+                rows.append((i + 1, h["start"], end, level, h["texts"][2], text[inner:end], depth))
+            counts.append(len(found) + 1)
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+        return _nested(counts, [f.name for f in SECTIONS_TYPE.elementType], [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)])
+
+    return run(body, headings)
+
+
+SEGMENTS_TYPE = _structs(kind=T.StringType, start=T.IntegerType, end=T.IntegerType, string=T.StringType)
+
+
+def top_segments(elements, length):
+    """(kind, start, end) of the kept elements and the text between them, for elements in order.
+
+    An element is kept when it starts at or behind the furthest end of all before it; a dropped one still
+    moves that frontier.
+    """
+    out, frontier = [], 0
+    for kind, start, end in elements:
+        if start >= frontier:
+            if start > frontier:
+                out.append(("Text", frontier, start))
+            out.append((kind, start, end))
+        frontier = max(frontier, end)
+    if length > frontier:
+        out.append(("Text", frontier, length))
+    return out
+
+
+@F.arrow_udf(SEGMENTS_TYPE)
+def segments_of(body: pa.Array, elements: pa.Array) -> pa.Array:
+    """Top-level segments of an array<struct<kind,start,end,..>> in document order."""
+    counts, rows = [], []
+    for text, found in zip(body.to_pylist(), elements.to_pylist()):
+        if text is None:
+            counts.append(0)
+            continue
+        segments = top_segments([(f["kind"], f["start"], f["end"]) for f in found or ()], len(text))
+        rows += [(kind, s, e, text[s:e]) for kind, s, e in segments]
+        counts.append(len(segments))
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string()]
+    return _nested(counts, ["kind", "start", "end", "string"], [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)])
 
 
 def splice_text(text, edits, lo, hi):
@@ -374,27 +364,23 @@ def splice_text(text, edits, lo, hi):
 
 
 @F.arrow_udf(T.StringType())
-def _splice(body: pa.Array, edits: pa.Array) -> pa.Array:
-    pairs = zip(body.to_pylist(), edits.to_pylist())
-    return pa.array([t if t is None or not e else splice_text(t, e, 0, len(t)) for t, e in pairs], pa.string())
-
-
-def splice(body, edits):
+def splice(body: pa.Array, edits: pa.Array) -> pa.Array:
     """Replace [start, end) by new for each struct<start,end,..,new,merge> of a sorted array.
 
     An edit that starts inside an earlier one is skipped; with ``merge`` it still
     extends the earlier deletion.
     """
-    return _splice(body, edits)
+    pairs = zip(body.to_pylist(), edits.to_pylist())
+    return pa.array([t if t is None or not e else splice_text(t, e, 0, len(t)) for t, e in pairs], pa.string())
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def splice_parts(body: pa.Array, edits: pa.Array, bounds: pa.Array) -> pa.Array:
+def splice_parts(body: pa.Array, bounds: pa.Array, edits: pa.Array) -> pa.Array:
     """The spliced text of every struct<start,end> of ``bounds``."""
     return pa.array(
         [
             None if t is None else [splice_text(t, e or [], b["start"], b["end"]) for b in bs]
-            for t, e, bs in zip(body.to_pylist(), edits.to_pylist(), bounds.to_pylist())
+            for t, bs, e in zip(body.to_pylist(), bounds.to_pylist(), edits.to_pylist())
         ],
         pa.list_(pa.string()),
     )
@@ -471,7 +457,8 @@ def _demote_bold(line, bolds):
 
 
 @F.arrow_udf(QUOTES_TYPE)
-def _quotes_in(items: pa.Array) -> pa.Array:
+def quotes_in(items: pa.Array) -> pa.Array:
+    """Bold and italic text of all texts of an array<struct<base,text,mask>>, as page positions."""
     counts, flat = [], []
     for row in _rows_of(items):
         before = len(flat)
@@ -484,78 +471,59 @@ def _quotes_in(items: pa.Array) -> pa.Array:
     return _nested(counts, names, columns)
 
 
-# Bold and italic text of all texts of an array<struct<base,text,mask>>, as page positions.
-quotes_in = _quotes_in.asNondeterministic()
-
-
-def table_layout_of(cells, expand):
-    """[(row, col, cell number)] of one table; a null cell number is a hole.
-
-    ``cells`` lists row breaks and cells in text order. Rows without cells do not
-    count. With ``expand`` a cell fills its colspan x rowspan slots, a rowspan of
-    zero grows to the last row, and a later cell overwrites an earlier one.
-    """
-    rows, fresh = [], True
-    for number, cell in enumerate(cells):
-        if cell["is_break"]:
-            fresh = True
-            continue
-        if fresh:
-            rows.append([])
-            fresh = False
-        rows[-1].append((number, cell["colspan"], cell["rowspan"]))
-    if not expand:
-        return [(y, x, cell[0]) for y, row in enumerate(rows) for x, cell in enumerate(row)]
-    slots, width, height, growing = {}, 0, 0, []
-    for y, row in enumerate(rows):
-        height = max(height, y + 1)
-        slots.update({(y, x): number for number, left, span in growing for x in range(left, left + span)})
-        x = 0
-        for number, colspan, rowspan in row:
-            while (y, x) in slots:
-                x += 1
-            colspan, deep = max(colspan, 1), max(rowspan, 1)
-            for dy in range(deep):
-                slots.update({(y + dy, x + dx): number for dx in range(colspan)})
-            width, height = max(width, x + colspan), max(height, y + deep)
-            if rowspan == 0:
-                growing.append((number, x, colspan))
-            x += colspan
-    for y in range(len(rows), height):
-        slots.update({(y, x): number for number, left, span in growing for x in range(left, left + span)})
-    return [(y, x, slots.get((y, x))) for y in range(height) for x in range(width)]
-
-
 def table_layout(cells, expand):
-    """array<struct<row,col,cell>> from array<struct<is_break,colspan,rowspan>>."""
+    """array<struct<row,rows,col,cols,cell>> from array<struct<is_break,colspan,rowspan>>."""
 
     @F.arrow_udf(LAYOUT_TYPE)
     def run(cells: pa.Array) -> pa.Array:
-        layouts = [table_layout_of(c, expand) if c else [] for c in cells.to_pylist()]
-        flat = [slot for layout in layouts for slot in layout]
-        columns = [pa.array([f[i] for f in flat], pa.int32()) for i in range(3)]
-        return _nested([len(layout) for layout in layouts], ["row", "col", "cell"], columns)
+        layouts = [table_rectangles(c, expand) if c else [] for c in cells.to_pylist()]
+        flat = [r for layout in layouts for r in layout]
+        columns = [pa.array([f[i] for f in flat], pa.int64()) for i in range(5)]
+        return _nested([len(layout) for layout in layouts], ["row", "rows", "col", "cols", "cell"], columns)
 
     return run(cells)
 
 
+@F.arrow_udf(T.ArrayType(LAYOUT_TYPE))
+def plain_layouts(tables: pa.Array) -> pa.Array:
+    """Layouts without spans of an array<array<struct<is_break,..>>>, one per table."""
+    per_row, per_table, flat = [], [], []
+    for cells_of in tables.to_pylist():
+        per_row.append(len(cells_of or ()))
+        for cells in cells_of or ():
+            tiles = table_rectangles(cells, False) if cells else []
+            per_table.append(len(tiles))
+            flat += tiles
+    columns = [pa.array([f[i] for f in flat], pa.int64()) for i in range(5)]
+    return _lists(per_row, _nested(per_table, ["row", "rows", "col", "cols", "cell"], columns))
+
+
 @F.arrow_udf(T.StringType())
-def grid_text(slots: pa.Array, values: pa.Array) -> pa.Array:
-    """Rows of tab-joined slots; all columns but the last are padded to their width."""
-    texts = []
-    for layout, cells in zip(slots.to_pylist(), values.to_pylist()):
-        if not layout:
-            texts.append(None)
-            continue
-        rows = [[] for _ in range(layout[-1]["row"] + 1)]
-        for slot in layout:
-            rows[slot["row"]].append(cells[slot["cell"]] if slot["cell"] is not None else "")
-        widths = [max(map(len, column)) for column in zip(*rows)][:-1] + [0]
-        texts.append("\n".join("\t".join(v.ljust(w) for v, w in zip(row, widths)) for row in rows))
-    return pa.array(texts, pa.string())
+def table_texts(text: pa.Array, mask: pa.Array) -> pa.Array:
+    """Plain text of a table from its text and mask."""
+    return pa.array([None if t is None else table_text_of(t, m) for t, m in zip(text.to_pylist(), mask.to_pylist())], pa.string())
 
 
 @F.arrow_udf(T.StringType())
-def unescape_entities(text: pa.Array) -> pa.Array:
-    """HTML entities to characters."""
-    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
+def plain_pages(body: pa.Array, tables: pa.Array, edits: pa.Array) -> pa.Array:
+    """Bodies with their edits applied and their outer tables, array<struct<start,end>>, as plain text.
+
+    What the edits leave of a table is scanned again, as markup inside it is gone.
+    """
+    out = []
+    for text, spans, changes in zip(body.to_pylist(), tables.to_pylist(), edits.to_pylist()):
+        if text is None:
+            out.append(None)
+            continue
+        parts, at = [], 0
+        for span in spans or ():
+            parts.append(splice_text(text, changes or [], at, span["start"]))
+            at = span["end"]
+            left = splice_text(text, changes or [], span["start"], at)
+            found = [f for f in scan_marked(left, ("Table",), ("Table",)) if f[1] == 0]
+            if found:
+                end, mask = found[0][2], found[0][3].decode("ascii")
+                parts.append(table_text_of(left[:end], mask))
+        parts.append(splice_text(text, changes or [], at, len(text)))
+        out.append("".join(parts))
+    return pa.array(out, pa.string())

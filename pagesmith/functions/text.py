@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,9 +63,15 @@ def attr_map(text: Column) -> Column:
     """Map of attributes, empty without a text; the last duplicate wins."""
 
     def last_of_name(pairs: Column) -> Column:
-        return F.filter(
-            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["name"] == p["name"])
-        )
+        # Sorted by name and place, a pair is the last of its name when the next one has another name.
+        ranked = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["name"].alias("name"), i.alias("i"), p["value"].alias("value"))))
+
+        def chosen(rows: Column) -> Column:
+            last = F.filter(rows, lambda r, i: ~F.coalesce(F.get(rows, i + 1)["name"] == r["name"], F.lit(False)))
+            in_order = F.array_sort(F.transform(last, lambda r: F.struct(r["i"], r["name"], r["value"])))
+            return F.transform(in_order, lambda r: F.struct(r["name"], r["value"]))
+
+        return bind(ranked, chosen)
 
     nothing = F.array().cast("array<struct<name:string,value:string>>")
     return F.map_from_entries(F.when(F.length(text) > 0, bind(attr_pairs(text), last_of_name)).otherwise(nothing))
@@ -114,6 +122,78 @@ def codepoint_char(c) -> Column:
 
 
 def unescape_basic(c) -> Column:
-    """T4, native part: the entities of < > " and &, in one pass each, & last."""
+    """T4, the four basic entities: < > " and &, in one pass each, & last."""
     pairs = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, _col(c))
+
+
+# What follows an ampersand in an entity: a number, or up to 32 characters of a name.
+_ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _names_by_length() -> Column:
+    """Constant: for every length the names of that length (without &) and their texts."""
+    longest = max(map(len, html5))
+    return F.array(*[
+        F.from_json(F.lit(json.dumps({n: t for n, t in html5.items() if len(n) == length})), "map<string,string>")
+        for length in range(1, longest + 1)
+    ])
+
+
+def _number_text(entity: Column) -> Column:
+    """Text of #123; or #x1F;, as browsers read it."""
+    is_hex = entity.rlike("^#[xX]")
+    digits = F.regexp_replace(F.regexp_replace(entity, "^#[xX]?0*", ""), ";", "")
+    long_ = F.length(digits) > F.when(is_hex, 6).otherwise(7)
+    given = F.when(digits == "", "0").otherwise(digits)
+    value = F.when(is_hex, F.conv(given, 16, 10)).otherwise(F.conv(given, 10, 10))
+    number = F.when(long_, F.lit(0x110000)).otherwise(value.cast("long"))
+    windows = F.array(*[F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)])
+
+    def text(n: Column) -> Column:
+        control = n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F)
+        no_character = n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.between(0x80, 0x9F), F.get(windows, (n - 0x80).cast("int")))
+            .when(control | no_character, "")
+            .otherwise(codepoint_char(n))
+        )
+
+    return bind(number, text)
+
+
+def unescape_entities(c) -> Column:
+    """T4: entities to characters.
+
+    A name is looked up at its whole length, then at ever shorter ones, so that an entity without its semicolon
+    is found in front of other letters. Names of one length are one constant map.
+    """
+    c = _col(c)
+    names = _names_by_length()
+
+    def resolved(piece: Column) -> Column:
+        """What stands behind an ampersand, with the ampersand."""
+
+        def of(entity: Column) -> Column:
+            lengths = F.when(F.length(entity) > 1, F.sequence(F.length(entity), F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+
+            def of_length(n: Column) -> Column:
+                name = F.left(entity, n)
+                return F.struct(n.alias("n"), F.try_element_at(F.get(names, n - 1), name).alias("text"))
+
+            # Stops at the first length that has the name.
+            found = F.aggregate(
+                lengths, F.lit(None).cast("struct<n:int,text:string>"),
+                lambda best, n: F.when(best["text"].isNotNull(), best).otherwise(of_length(n)),
+            )
+            named = bind(found, lambda f: F.when(
+                f["text"].isNotNull(), F.concat(f["text"], piece.substr(f["n"] + 1, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece)))
+            number = F.concat(_number_text(entity), piece.substr(F.length(entity) + 1, F.length(piece)))
+            return F.when(entity.rlike("^#"), number).otherwise(named)
+
+        return bind(F.regexp_extract(piece, _ENTITY, 1), of)
+
+    pieces = F.split(c, "&")
+    whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(resolved(p))), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)

@@ -1,55 +1,82 @@
 """Elements of wikitext as tables.
 
 ``texts`` runs one scan over each body and explodes it: a ``Page`` row plus one row
-per comment, tag, parameter, function, template, link and table, each with its text
-and its mask. Everything else is column logic over those rows, so a page is scanned
-once per job and nothing is shuffled unless a window or a group asks for it.
+per comment, tag, parameter, function, template, link and table, with the kinds and
+fields the job asks for. Everything else is column logic over those rows, so a page is
+scanned once per job and nothing is shuffled unless a group asks for it. Pages without
+the opening characters of the wanted kinds are filtered by the table scan.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagesmith.constants import URL_SCHEMES
-from pagesmith.functions.scan import cut_spans, grid_text, match_in, match_positions, quotes_in, scan_elements, table_layout
+from pagesmith.functions.brackets import LINK_CLOSE, LINK_COLON, LINK_OPEN
+from pagesmith.functions.grids import CAPTION, CELL
+from pagesmith.functions.scan import (
+    KINDS, MARKS, arguments_in, bound, cut_spans, match_in, match_positions, quotes_in, scan_elements, sections_of,
+    table_layout, table_texts,
+)
 from pagesmith.operators.intervals import KEY
 from pagesmith.functions.text import attr_map, attr_pairs, cut, trim_ws
 
 NESTED = ["Comment", "ExtensionTag", "Parameter", "ParserFunction", "Template", "WikiLink"]
 
 _SCHEMES = "|".join(re.escape(s) for s in URL_SCHEMES)
-_URL_TAIL = r'(?:\[[0-9a-fA-F:.]+\][^ \t\n"<>\[\]\x02\x03]*|[^ \t\n"<>\[\]\x02\x03]+)'
+# What a URL may hold: no blank, quote, angle bracket or square bracket, shown or masked; a host may be [IPv6].
+_URL_CHAR = rf'[^ \t\n"<>\[\]{LINK_OPEN}{LINK_CLOSE}]'
+_URL_TAIL = rf"(?:\[[0-9a-fA-F:.]+\]{_URL_CHAR}*|{_URL_CHAR}+)"
 _LINK_URL = rf"\[((?:{_SCHEMES}|//){_URL_TAIL})([^\]\n]*)\]|\b((?:{_SCHEMES}){_URL_TAIL})"
 _HEADING = r"(?m)^(={1,6})([^\n]+?)\1[ \t]*$"
-_ARGUMENT = r"\|(?:((?:(?m:^={1,6}[^\n|]+?={1,6}[ \t]*\n)|[^|=])*+)=)?([^|]*)"
 LIST_PATTERNS = (r"\#", r"\*", "[:;]")
 
 
 # --- X0, X20 ---------------------------------------------------------------------
 
 
-def texts(pages: DataFrame, kinds: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Page key, kind, start, end, string, mask: the page itself and its elements."""
-    scanned = pages.select(*KEY, *keep, scan_elements("body").alias("found"))
-    found = F.col("found")
-    if kinds is not None:
-        found = F.filter(found, lambda f: f["kind"].isin(kinds))
-    return scanned.select(*KEY, *keep, F.explode(found).alias("f")).select(*KEY, *keep, "f.*")
+_OPENINGS = {
+    "Comment": "<!--", "ExtensionTag": "<", "Tag": "<", "Parameter": "{{{", "ParserFunction": "{{", "Template": "{{",
+    "WikiLink": "[", "Table": "{|", "InnerTable": "{|",
+}
+
+
+def with_any(pages: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Pages that may have an element of these kinds; the test reaches the scan of the table."""
+    if "Page" in kinds:
+        return pages
+    tests = [F.col("body").contains(mark) for mark in sorted({_OPENINGS[k] for k in kinds})]
+    return pages.where(reduce(lambda a, b: a | b, tests))
+
+
+def texts(
+    pages: DataFrame, kinds: Sequence[str] | None = None, keep: tuple[str, ...] = (), fields: Sequence[str] = ("string", "mask")
+) -> DataFrame:
+    """Page key, kind, start, end and ``fields`` (string, mask): the page itself and its elements."""
+    chosen = KINDS if kinds is None else kinds
+    scanned = with_any(pages, chosen).select(*KEY, *keep, scan_elements("body", chosen, fields).alias("found"))
+    return scanned.select(*KEY, *keep, F.explode("found").alias("f")).select(*KEY, *keep, "f.*")
 
 
-def spans(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def spans(pages: DataFrame, kinds: Sequence[str] | None = None, fields: Sequence[str] = ("string", "mask")) -> DataFrame:
     """The nested elements of every page."""
-    return texts(pages, kinds or NESTED)
+    return texts(pages, kinds or NESTED, fields=fields)
+
+
+def with_shadow(pages: DataFrame, *keep: str) -> DataFrame:
+    """Page key, ``keep``, body and ``shadow``, the masked body."""
+    scanned = bound(pages, [*KEY, *keep, "body"], found=scan_elements("body", ("Page",), ("mask",)))
+    return scanned.select(*KEY, *keep, "body", F.try_element_at("found", F.lit(1))["mask"].alias("shadow"))
 
 
 def masked(pages: DataFrame) -> DataFrame:
     """Every page with its masked body."""
-    scanned = pages.withColumn("found", scan_elements("body"))
-    return scanned.withColumn("shadow", F.try_element_at("found", F.lit(1))["mask"]).drop("found")
+    return with_shadow(pages, *[c for c in pages.columns if c not in (*KEY, "body")]).select(*pages.columns, "shadow")
 
 
 def element_string(spans: DataFrame, pages: DataFrame) -> DataFrame:
@@ -66,35 +93,39 @@ def element_string(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
 def comments(pages: DataFrame) -> DataFrame:
     """Contents of comments; an unclosed comment runs to the end."""
-    return spans(pages.where(F.col("body").contains("<!--")), ["Comment"]).select(
-        *KEY, "start", "end", F.regexp_replace(F.col("string").substr(F.lit(5), F.length("string")), r"-->\z", "").alias("contents")
-    )
+    found = spans(pages, ["Comment"], ("string",))
+    return found.select(*KEY, "start", "end", comment_contents(F.col("string")).alias("contents"))
+
+
+def comment_contents(string: Column) -> Column:
+    return F.regexp_replace(string.substr(F.lit(5), F.length(string)), r"-->\z", "")
+
+
+def tag_fields(string: Column) -> dict[str, Column]:
+    """Start tag, end tag, name and contents (null when there are none) of a tag."""
+    start_tag = F.regexp_extract(string, r"(?s)^<(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", 0)
+    start_tag = F.when(start_tag == "", F.regexp_extract(string, r"(?s)^<[^>]*>", 0)).otherwise(start_tag)
+    end_tag = F.regexp_extract(string, r"(?s)</[^<>]*>\z", 0)
+    open_ended = (end_tag == "") | start_tag.rlike(r"/\s*>\z")
+    inner = string.substr(F.length(start_tag) + 1, F.length(string) - F.length(start_tag) - F.length(end_tag))
+    return {
+        "start_tag": start_tag, "end_tag": end_tag, "name": F.regexp_extract(string, r"^<([^\s>/]+)", 1),
+        "contents": F.when(~open_ended, inner),
+    }
 
 
 def _tag_columns(tags: DataFrame) -> DataFrame:
-    start_tag = F.regexp_extract("string", r"(?s)^<(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", 0)
-    start_tag = F.when(start_tag == "", F.regexp_extract("string", r"(?s)^<[^>]*>", 0)).otherwise(start_tag)
-    end_tag = F.regexp_extract("string", r"(?s)</[^<>]*>\z", 0)
-    tags = tags.withColumn("start_tag", start_tag).withColumn("end_tag", end_tag)
-    open_ended = (F.col("end_tag") == "") | F.col("start_tag").rlike(r"/\s*>\z")
-    inner = F.col("string").substr(
-        F.length("start_tag") + 1, F.length("string") - F.length("start_tag") - F.length("end_tag")
-    )
-    return (
-        tags.withColumn("name", F.regexp_extract("string", r"^<([^\s>/]+)", 1))
-        .withColumn("contents", F.when(~open_ended, inner))
-        .withColumn("attrs", attr_map(F.col("start_tag")))
-    )
+    return tags.withColumns(tag_fields(F.col("string"))).withColumn("attrs", attr_map(F.col("start_tag")))
 
 
 def extension_tags(pages: DataFrame) -> DataFrame:
     """Extension tags with name, contents (null when self-closing) and attributes."""
-    return _tag_columns(spans(pages, ["ExtensionTag"]))
+    return _tag_columns(spans(pages, ["ExtensionTag"], ("string",)))
 
 
 def html_tags(pages: DataFrame, name: str | None = None) -> DataFrame:
     """HTML and extension tags; contents are null for self-closing and start-only tags."""
-    tags = _tag_columns(texts(pages, ["ExtensionTag", "Tag"]))
+    tags = _tag_columns(texts(pages, ["ExtensionTag", "Tag"], fields=("string",)))
     return tags if name is None else tags.where(F.col("name") == name)
 
 
@@ -114,30 +145,38 @@ def get_attr(tags: DataFrame, attr: str) -> DataFrame:
 
 def parameters(pages: DataFrame) -> DataFrame:
     """Name, whether a default exists, and the default (null without a pipe)."""
-    pipe = F.instr("mask", "|")
-    return spans(pages, ["Parameter"]).select(
-        "*",
-        cut("string", F.lit(3), F.when(pipe > 0, pipe - 1).otherwise(F.length("string") - 3)).alias("name"),
-        (pipe > 0).alias("has_default"),
-        F.when(pipe > 0, cut("string", pipe, F.length("string") - 3)).alias("default"),
-    )
+    found = spans(pages, ["Parameter"], ("string", "split", "closing"))
+    return found.select(*KEY, "kind", "start", "end", "string", *[v.alias(n) for n, v in parameter_fields(F.col).items()])
 
 
-def _named(elements: DataFrame, separator: str) -> DataFrame:
-    at = F.instr("mask", separator)
-    return elements.withColumn(
-        "name", cut("string", F.lit(2), F.when(at > 0, at - 1).otherwise(F.length("string") - 2))
-    )
+def parameter_fields(e) -> dict[str, Column]:
+    """Name and default of a parameter; ``e`` gives a field of the scanned element by name."""
+    has_default = e("split") >= 0
+    return {
+        "name": cut(e("string"), F.lit(3), F.when(has_default, e("split")).otherwise(e("closing"))),
+        "has_default": has_default,
+        "default": F.when(has_default, cut(e("string"), e("split") + 1, e("closing"))),
+    }
+
+
+def name_of(e) -> Column:
+    """Name of a template or function, up to its first separator."""
+    return cut(e("string"), F.lit(2), F.when(e("split") >= 0, e("split")).otherwise(e("closing")))
+
+
+def _named(pages: DataFrame, kind: str) -> DataFrame:
+    found = spans(pages, [kind], ("string", "mask", "split", "closing"))
+    return found.withColumn("name", name_of(F.col)).drop("split", "closing")
 
 
 def parser_functions(pages: DataFrame) -> DataFrame:
     """Functions; the name ends at the first colon."""
-    return _named(spans(pages, ["ParserFunction"]), ":")
+    return _named(pages, "ParserFunction")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """Templates; the name, white space kept, ends at the first pipe."""
-    return _named(spans(pages, ["Template"]), "|")
+    return _named(pages, "Template")
 
 
 def template_args(owners: DataFrame) -> DataFrame:
@@ -147,32 +186,15 @@ def template_args(owners: DataFrame) -> DataFrame:
     and ``value_start`` the text after it. Unnamed arguments are numbered among
     themselves (W4).
     """
-    length = F.length("string") - 4
-    mask = F.regexp_replace(F.col("mask").substr(F.lit(3), length), r"(?s)\A([^:|]*):", "$1|")
-    mask = F.when(F.col("kind") == "ParserFunction", mask).otherwise(F.col("mask").substr(F.lit(3), length))
-    base = F.col("start") + 2
-    args = (
-        owners.withColumn("found", match_positions(_ARGUMENT, F.col("string").substr(F.lit(3), length), mask))
-        .select(*KEY, "kind", "start", "end", F.trim("name").alias("owner"), F.posexplode("found").alias("ord", "m"))
+    one = F.array(F.struct("kind", "start", "string", "mask"))
+    return (
+        owners.select(*KEY, "kind", "start", "end", F.trim("name").alias("owner"), F.flatten(arguments_in(one)).alias("found"))
+        .select(*KEY, "kind", "start", "end", "owner", F.explode("found").alias("a"))
         .select(
-            *KEY, "kind", "start", "end", "owner", "ord",
-            F.col("m.texts")[1].alias("given_name"),
-            F.col("m.texts")[2].alias("value"),
-            F.col("m.texts")[1].isNull().alias("positional"),
-            (base + F.col("m.start")).alias("arg_start"),
-            (base + F.col("m.end")).alias("arg_end"),
-            (base + F.col("m.starts")[2]).alias("value_start"),
-            F.col("m.texts")[0].alias("arg_string"),
+            *KEY, "kind", "start", "end", "owner", "a.ord", "a.value", "a.positional", "a.arg_start", "a.arg_end",
+            "a.value_start", "a.arg_string", "a.name", "a.is_last", "a.fate",
         )
     )
-    return number_arguments(args)
-
-
-def number_arguments(args: DataFrame) -> DataFrame:
-    """Unnamed arguments are 1, 2, ... counting only earlier unnamed ones."""
-    order = Window.partitionBy(*KEY, "start").orderBy("ord")
-    position = F.sum(F.col("positional").cast("int")).over(order).cast("string")
-    return args.withColumn("name", F.coalesce("given_name", position)).drop("given_name")
 
 
 def get_arg(args: DataFrame, name: str) -> DataFrame:
@@ -202,35 +224,34 @@ def has_arg(args: DataFrame, name: str, value: str | None = None) -> DataFrame:
 
 def wikilinks(pages: DataFrame) -> DataFrame:
     """X11: target, title, fragment and text of every wikilink, nested ones included."""
-    opening = F.length(F.regexp_extract("mask", r"^\[\x00*\[", 0))
-    closing = F.length(F.regexp_extract("mask", r"\]\x00*\]$", 0))
-    links = spans(pages, ["WikiLink"]).withColumn("open_len", opening).withColumn(
-        "inner_end", F.length("mask") - closing
-    )
-    pipe = F.instr(F.col("mask").substr(F.col("open_len") + 1, F.col("inner_end") - F.col("open_len")), "|")
-    links = links.withColumn("has_text", pipe > 0).withColumn(
-        "target_end", F.when(pipe > 0, F.col("open_len") + pipe - 1).otherwise(F.col("inner_end"))
-    )
-    mark = F.instr(F.col("mask").substr(F.col("open_len") + 1, F.col("target_end") - F.col("open_len")), "#")
-    links = links.withColumn("has_fragment", mark > 0).withColumn(
-        "title_end", F.when(mark > 0, F.col("open_len") + mark - 1).otherwise(F.col("target_end"))
-    )
-    return links.select(
-        *KEY, "kind", "start", "end", "string", "mask", "open_len", "title_end", "target_end", "inner_end",
-        cut("string", F.col("open_len"), F.col("target_end")).alias("target"),
-        cut("string", F.col("open_len"), F.col("title_end")).alias("link_title"),
-        F.when(F.col("has_fragment"), cut("string", F.col("title_end") + 1, F.col("target_end"))).alias("fragment"),
-        F.when(F.col("has_text"), cut("string", F.col("target_end") + 1, F.col("inner_end"))).alias("text"),
-    )
+    found = spans(pages, ["WikiLink"], ("string", *MARKS))
+    return found.select(*KEY, "kind", "start", "end", "string", *[v.alias(n) for n, v in link_fields(F.col).items()])
+
 
+def link_fields(e) -> dict[str, Column]:
+    """Parts of a wikilink and where they end; ``e`` gives a field of the scanned element by name."""
+    inner_end = e("closing")
+    target_end = F.when(e("split") >= 0, e("split")).otherwise(inner_end)
+    title_end = F.when(e("anchor") >= 0, e("anchor")).otherwise(target_end)
+    return {
+        "open_len": e("opening"), "title_end": title_end, "target_end": target_end, "inner_end": inner_end,
+        "target": cut(e("string"), e("opening"), target_end),
+        "link_title": cut(e("string"), e("opening"), title_end),
+        "fragment": F.when(e("anchor") >= 0, cut(e("string"), title_end + 1, target_end)),
+        "text": F.when(e("split") >= 0, cut(e("string"), target_end + 1, inner_end)),
+    }
 
-def link_items(found: Column) -> Column:
+
+LINKABLE = ("Page", "ExtensionTag", "Template", "ParserFunction", "Parameter")
+
+
+def link_items(found: Column, text: str = "string") -> Column:
     """Texts in which external links are searched: pages, tags, and what stands in braces."""
     return _items(
         found,
-        lambda f: f["kind"].isin("Page", "ExtensionTag", "Template", "ParserFunction", "Parameter"),
+        lambda f: f["kind"].isin(*LINKABLE),
         lambda f: F.struct(
-            f["start"].alias("base"), f["string"].alias("text"),
+            f["start"].alias("base"), f[text].alias("text"),
             F.lower(F.when(f["kind"].isin("Page", "ExtensionTag"), f["mask"]).otherwise(F.translate(f["mask"], "{}", "  "))).alias("mask"),
         ),
     )
@@ -242,22 +263,20 @@ def _items(found: Column, chosen, item) -> Column:
 
 def external_links(pages: DataFrame) -> DataFrame:
     """Bare and bracketed links of pages, tags, templates, functions and parameters."""
-    scanned = pages.select(*KEY, scan_elements("body").alias("found"))
-    rest = F.col("m.texts")[2]
-    return (
-        scanned.select(*KEY, match_in(_LINK_URL, link_items(F.col("found"))).alias("links"))
-        .select(*KEY, F.explode("links").alias("m"))
-        .select(
-            *KEY,
-            F.lit("ExternalLink").alias("kind"),
-            "m.start",
-            "m.end",
-            F.col("m.texts")[0].alias("string"),
-            F.coalesce(F.col("m.texts")[1], F.col("m.texts")[3]).alias("url"),
-            F.when(rest == "", None).when(rest.startswith(" "), rest.substr(F.lit(2), F.length(rest))).otherwise(rest).alias("text"),
-            F.col("m.texts")[1].isNotNull().alias("in_brackets"),
-        )
-    )
+    scanned = bound(pages, KEY, found=scan_elements("body", LINKABLE))
+    links = scanned.select(*KEY, match_in(_LINK_URL, link_items(F.col("found"))).alias("links"))
+    return links.select(*KEY, F.explode("links").alias("m")).select(
+        *KEY, F.lit("ExternalLink").alias("kind"), *[v.alias(n) for n, v in external_fields(F.col("m")).items()])
+
+
+def external_fields(m: Column) -> dict[str, Column]:
+    """Columns of X12 from a match."""
+    rest = m["texts"][2]
+    return {
+        "start": m["start"], "end": m["end"], "string": m["texts"][0], "url": F.coalesce(m["texts"][1], m["texts"][3]),
+        "text": F.when(rest == "", None).when(rest.startswith(" "), rest.substr(F.lit(2), F.length(rest))).otherwise(rest),
+        "in_brackets": m["texts"][1].isNotNull(),
+    }
 
 
 # --- X13, X14: sections -------------------------------------------------------------
@@ -265,99 +284,39 @@ def external_links(pages: DataFrame) -> DataFrame:
 
 def section_titles(pages: DataFrame) -> DataFrame:
     """Heading lines; the level is the usable equal count on both sides."""
-    return section_titles_of(texts(pages, ["Page"]))
+    found = with_shadow(pages.where(F.col("body").contains("=")))
+    lines = found.select(*KEY, F.explode(match_positions(_HEADING, F.col("body"), F.col("shadow"))).alias("m"))
+    return lines.select(*KEY, F.lit("SectionTitle").alias("kind"), *[v.alias(n) for n, v in heading_fields(F.col("m")).items()])
 
 
-def section_titles_of(rows: DataFrame) -> DataFrame:
-    found = match_positions(_HEADING, F.col("string"), F.col("mask"))
-    return (
-        rows.withColumn("found", found)
-        .select(*KEY, F.explode("found").alias("m"))
-        .select(
-            *KEY,
-            F.lit("SectionTitle").alias("kind"),
-            "m.start",
-            "m.end",
-            F.col("m.texts")[0].alias("string"),
-            F.length(F.col("m.texts")[1]).alias("level"),
-            F.col("m.texts")[2].alias("section_title"),
-        )
-    )
+def heading_fields(m: Column) -> dict[str, Column]:
+    """Columns of X13 from a match."""
+    return {
+        "start": m["start"], "end": m["end"], "string": m["texts"][0], "level": F.length(m["texts"][1]),
+        "section_title": m["texts"][2],
+    }
 
 
-def section_pieces(pages: DataFrame) -> DataFrame:
-    """The lead (level 0, maybe empty) and every section without its subsections."""
-    found = match_positions(_PIECE, F.col("string"), F.col("mask"))
-    rows = texts(pages, ["Page"]).withColumn("found", found)
-    lead_end = F.when(F.size("found") == 0, F.length("string")).otherwise(F.col("found")[0]["start"])
-    lead = F.struct(
-        F.lit(0).alias("start"), lead_end.alias("end"), F.lit(0).alias("level"),
-        F.lit(None).cast("string").alias("section_title"), cut("string", F.lit(0), lead_end).alias("piece"),
-        cut("string", F.lit(0), lead_end).alias("contents"),
-    )
-    sections = F.transform(
-        "found",
-        lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), F.length(m["texts"][1]).alias("level"),
-            m["texts"][2].alias("section_title"), m["texts"][0].alias("piece"), m["texts"][3].alias("contents"),
-        ),
-    )
-    pieces = F.concat(F.array(lead), sections)
-    return rows.select(*KEY, F.posexplode(pieces).alias("ord", "p")).select(*KEY, "ord", "p.*")
-
-
-# A heading, its line end, and the lines up to the next heading.
-_PIECE = (
-    r"(?m)^(={1,6})([^\n]+?)\1[ \t]*(?:\n|\Z)"
-    r"((?:(?!(?P<eq>={1,6})[^\n]+?(?P=eq)[ \t]*$)(?:[^\n]+(?:\n|\Z)|\n))*)"
-)
-
-
-def section_ancestry(pieces: DataFrame) -> DataFrame:
-    """For every piece the sections it lies in, itself included.
-
-    A section reaches over following deeper ones, so at each piece the sections still
-    open are the last ones of level <= 1, <= 2, ... <= 6.
-    """
-    order = Window.partitionBy(*KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    open_at = [
-        F.last(F.when(F.col("level").between(1, level), F.col("ord")), ignorenulls=True).over(order)
-        for level in range(1, 7)
-    ]
-    return pieces.withColumn(
-        "open", F.when(F.col("level") == 0, F.array(F.col("ord"))).otherwise(F.array_compact(F.array_distinct(F.array(*open_at))))
-    )
+def section_array(pages: DataFrame, nested: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Page key, ``keep``, body and ``sections``, the lead (level 0, maybe empty) first."""
+    headings = match_positions(_HEADING, F.col("body"), F.col("shadow"))
+    found = bound(with_shadow(pages, *keep), [*KEY, *keep, "body"], headings=headings)
+    return found.select(*KEY, *keep, "body", sections_of(F.col("body"), F.col("headings"), nested).alias("sections"))
 
 
 def sections(
     pages: DataFrame, include_subsections: bool = True, level: int | None = None, top_levels_only: bool = False
 ) -> DataFrame:
-    """Lead first, then sections, with or without their subsections."""
+    """Lead first, then sections, with or without their subsections."""
     if top_levels_only and (level is not None or not include_subsections):
         raise ValueError("top_levels_only excludes level and needs include_subsections")
-    pieces = section_pieces(pages)
-    if include_subsections:
-        pieces = section_ancestry(pieces)
-        members = pieces.select(*KEY, F.col("ord").alias("member"), "start", "end", "level", "section_title",
-                                "piece", "contents", F.size("open").alias("depth"), F.explode("open").alias("ord"))
-        own = F.col("member") == F.col("ord")
-        grouped = members.groupBy(*KEY, "ord").agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.max(F.when(own, F.col("level"))).alias("level"),
-            F.max(F.when(own, F.col("section_title"))).alias("section_title"),
-            F.max(F.when(own, F.col("depth"))).alias("depth"),
-            F.array_sort(F.collect_list(F.struct("member", F.when(own, F.col("contents")).otherwise(F.col("piece")).alias("text")))).alias("parts"),
-        )
-        result = grouped.withColumn("contents", F.array_join(F.col("parts.text"), "")).drop("parts")
-        if top_levels_only:
-            result = result.where(F.col("depth") == 1)
-        result = result.drop("depth")
-    else:
-        result = pieces.drop("piece")
+    chosen = F.col("sections")
+    if top_levels_only:
+        chosen = F.filter(chosen, lambda s: s["depth"] == 1)
     if level is not None:
-        result = result.where(F.col("level") == level)
-    return result.select(*KEY, "ord", "start", "end", "level", "section_title", "contents")
+        chosen = F.filter(chosen, lambda s: s["level"] == level)
+    rows = section_array(pages, include_subsections).select(*KEY, F.explode(chosen).alias("s"))
+    return rows.select(*KEY, "s.ord", "s.start", "s.end", "s.level", "s.section_title", "s.contents")
 
 
 # --- X15: bold and italic -----------------------------------------------------------
@@ -366,7 +325,7 @@ def sections(
 _QUOTABLE = ["Page", "Template", "ParserFunction", "Parameter", "WikiLink", "ExtensionTag"]
 
 
-def quote_items(found: Column, kinds: list[str] = _QUOTABLE) -> Column:
+def quote_items(found: Column, kinds: list[str] = _QUOTABLE, text: str = "string") -> Column:
     """Contents of the elements in which bold and italic text is searched."""
 
     def contents(f):
@@ -386,7 +345,7 @@ def quote_items(found: Column, kinds: list[str] = _QUOTABLE) -> Column:
             .otherwise(F.lit(0))
         )
         return F.struct(
-            (f["start"] + head).alias("base"), cut(f["string"], head, F.length(mask) - tail).alias("text"),
+            (f["start"] + head).alias("base"), cut(f[text], head, F.length(mask) - tail).alias("text"),
             cut(mask, head, F.length(mask) - tail).alias("mask"),
         )
 
@@ -395,8 +354,9 @@ def quote_items(found: Column, kinds: list[str] = _QUOTABLE) -> Column:
 
 def bold_italic(pages: DataFrame, kind: str | None = None, recursive: bool = True) -> DataFrame:
     """Bold and italic text, also inside other elements when ``recursive``."""
-    scanned = pages.select(*KEY, scan_elements("body").alias("found"))
-    runs = quotes_in(quote_items(F.col("found"), _QUOTABLE if recursive else ["Page"]))
+    kinds = _QUOTABLE if recursive else ["Page"]
+    scanned = bound(pages.where(F.col("body").contains("''")), KEY, found=scan_elements("body", kinds))
+    runs = quotes_in(quote_items(F.col("found"), kinds))
     result = scanned.select(*KEY, runs.alias("runs")).select(*KEY, F.explode("runs").alias("q")).select(*KEY, "q.*")
     return result if kind is None else result.where(F.col("kind") == kind)
 
@@ -404,11 +364,16 @@ def bold_italic(pages: DataFrame, kind: str | None = None, recursive: bool = Tru
 # --- X16, X17: lists ----------------------------------------------------------------
 
 
+def list_patterns(patterns, prefixes=("",)) -> list[str]:
+    """Runs of lines that start with prefix + pattern."""
+    # (?=...) captures the start of the first line: its length is the level.
+    return [rf"(?m)(?=^({p + q}))(?:^(?:{p + q})[^\n]*(?:\n|\Z))+" for p in prefixes for q in patterns]
+
+
 def _list_runs(patterns, text, mask, prefixes=("",), prefix_column=None):
-    """Runs of lines that start with prefix + pattern, as one array."""
+    """Those runs as one array."""
     full = [prefix + pattern for prefix in prefixes for pattern in patterns]
-    # (?=...) captures the start of the first line: its length is the level.
-    runs = [rf"(?m)(?=^({f}))(?:^(?:{f})[^\n]*(?:\n|\Z))+" for f in full]
+    runs = list_patterns(patterns, prefixes)
     found = match_positions(runs, text, mask)
     if prefix_column is not None:
         first = [i * len(patterns) for i in range(len(prefixes))]
@@ -440,23 +405,28 @@ def lists_of(rows: DataFrame, pattern=LIST_PATTERNS) -> DataFrame:
     )
 
 
-def list_items(lists: DataFrame, patterns=LIST_PATTERNS) -> DataFrame:
-    """Items without their sub-items, and full items with prefix and sub-items.
-
-    ``; a : b`` gives two items. ``patterns`` are those the lists may have.
-    """
+def item_patterns(patterns=LIST_PATTERNS) -> list[str]:
+    """Items of the lists of each pattern."""
     url = rf"\[(?:{_SCHEMES}|//)[^\]\n]*\]|\b(?:{_SCHEMES})[^\s\"<>\[\]]+"
     expressions = []
     for p in patterns:
         deeper = rf"(?:^(?:{p})[:;#*][^\n]*(?:\n|\Z))*"
         expressions.append(
             rf"(?m)^({p})(?:"
-            rf"(?<=;)((?:{url}|[^:\x04\n])*+)(?:([:\x04][^\n]*))?(?:\n|\Z){deeper}"
+            rf"(?<=;)((?:{url}|[^:{LINK_COLON}\n])*+)(?:([:{LINK_COLON}][^\n]*))?(?:\n|\Z){deeper}"
             rf"|(?=[:;#*])()[^\n]*(?:\n|\Z){deeper}"
             rf"|([^\n]*)(?:\n|\Z){deeper})"
         )
+    return expressions
+
+
+def list_items(lists: DataFrame, patterns=LIST_PATTERNS) -> DataFrame:
+    """Items without their sub-items, and full items with prefix and sub-items.
+
+    ``; a : b`` gives two items. ``patterns`` are those the lists may have.
+    """
     mine = F.array_position(F.array(*[F.lit(p) for p in patterns]), F.col("pattern")) - 1
-    found = F.filter(match_positions(expressions, F.col("string"), F.col("mask")), lambda m: m["which"] == mine)
+    found = F.filter(match_positions(item_patterns(patterns), F.col("string"), F.col("mask")), lambda m: m["which"] == mine)
     base = F.col("start")
     rows = lists.withColumn("found", found).select(
         *KEY, "start", "end", "pattern", "level", F.explode("found").alias("m")
@@ -499,16 +469,7 @@ def sublists(lists: DataFrame, item_span: bool = False, patterns=LIST_PATTERNS)
 
 # --- X18, X19: tables ---------------------------------------------------------------
 
-_CAPTION = (
-    r"\A\{\|(?:[^\n]|\n(?!\s*\|))*\n\s*\|\+"
-    r"(?:([^\n|]*)\|(?!\|))?((?s:.*?))(?=\n[|!]|\|\|)"
-)
-# Row break, caption or table end, or a cell with optional attributes before one pipe.
-_CELL = (
-    r"(\n\s*\|-[^\n]*)|(\n\s*\|[+}](?:(?!\n\s*[|!])[\s\S])*)"
-    r"|(?:\n\s*(\||!)|(\|?\x05\x05|\|\|))"
-    r"(?:([^|\n\x05]*)\|(?![|\x05]))?((?:(?!\|\||\x05\x05|\|\x05\x05|\n\s*[|!])[\s\S])*)"
-)
+_ROW_BREAK = r"\|-([^\n]*)"
 
 
 def tables(pages: DataFrame, recursive: bool = False) -> DataFrame:
@@ -520,25 +481,29 @@ def tables(pages: DataFrame, recursive: bool = False) -> DataFrame:
     return table_columns(found.withColumn("kind", F.lit("Table")))
 
 
+def table_fields(t, caption_match: Column) -> dict[str, Column]:
+    """Caption, its attributes and the table's attribute text; ``t`` gives a field of the scanned table by name."""
+    line_end = F.instr(t("mask"), "\n")
+    return {
+        "caption": caption_match["texts"][2], "caption_attrs": caption_match["texts"][1],
+        "caption_starts": caption_match["starts"],
+        "attrs_string": cut(t("string"), F.lit(2), F.when(line_end > 0, line_end - 1).otherwise(F.length(t("string")))),
+    }
+
+
 def table_columns(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    found = found.withColumn("caption_match", match_positions(_CAPTION, F.col("string"), F.col("mask"))).withColumn(
-        "caption_match", F.try_element_at("caption_match", F.lit(1))
-    )
-    line_end = F.instr("mask", "\n")
-    first_line = cut("string", F.lit(2), F.when(line_end > 0, line_end - 1).otherwise(F.length("string")))
+    matches = match_positions(CAPTION, F.col("string"), F.col("mask"))
+    found = bound(found, found.columns, caption_match=F.try_element_at(matches, F.lit(1)))
+    fields = table_fields(F.col, F.col("caption_match"))
     return found.select(
-        *KEY, *keep, "kind", "start", "end", "string", "mask",
-        F.col("caption_match.texts")[2].alias("caption"),
-        F.col("caption_match.texts")[1].alias("caption_attrs"),
-        F.col("caption_match.starts").alias("caption_starts"),
-        first_line.alias("attrs_string"),
-        attr_map(first_line).alias("attrs"),
+        *KEY, *keep, "kind", "start", "end", "string", "mask", *[v.alias(n) for n, v in fields.items()],
+        attr_map(fields["attrs_string"]).alias("attrs"),
     )
 
 
 def table_row_attrs(tables: DataFrame) -> DataFrame:
     """One row per row separator of each table, with its attributes."""
-    found = match_positions(r"\|-([^\n]*)", F.col("string"), F.col("mask"))
+    found = match_positions(_ROW_BREAK, F.col("string"), F.col("mask"))
     return (
         tables.withColumn("found", found)
         .select(*KEY, F.col("start").alias("table_start"), F.posexplode("found").alias("row", "m"))
@@ -549,21 +514,44 @@ def table_row_attrs(tables: DataFrame) -> DataFrame:
     )
 
 
-def _cell_pieces(tables: DataFrame, span: bool) -> DataFrame:
-    """Row breaks and cells of each table as ``pieces`` and their layout as ``slots``."""
-    # In header cells !! separates like ||; mark it so that it is told from text.
-    mask = F.regexp_replace("mask", r"(\G(?!\A)|\n\s*!)((?:(?!\n\s*[|!])[\s\S])*?)!!", "$1$2\x05\x05")
-    found = match_positions(_CELL, F.col("string"), mask)
-    cells = F.transform(
-        "pieces",
+def cell_mask(mask: Column) -> Column:
+    """In header cells !! separates like ||; mark it so that it is told from text."""
+    return F.regexp_replace(mask, r"(\G(?!\A)|\n\s*!)((?:(?!\n\s*[|!])[\s\S])*?)!!", "$1$2\x05\x05")
+
+
+def cell_pieces(matches: Column) -> Column:
+    """Row breaks and cells among the matches of ``CELL``."""
+    return F.filter(matches, lambda m: m["texts"][2].isNull())
+
+
+def cell_spans(pieces: Column) -> Column:
+    """array<struct<is_break,colspan,rowspan>> of row breaks and cells."""
+    return F.transform(
+        pieces,
         lambda m: F.struct(
             m["texts"][1].isNotNull().alias("is_break"),
             head_int(m["texts"][5], "colspan").alias("colspan"),
             head_int(m["texts"][5], "rowspan").alias("rowspan"),
         ),
     )
-    rows = tables.withColumn("pieces", F.filter(found, lambda m: m["texts"][2].isNull()))
-    return rows.withColumn("slots", table_layout(cells, span))
+
+
+def _cell_pieces(tables: DataFrame, span: bool) -> DataFrame:
+    """Row breaks and cells of each table as ``pieces`` and their layout as ``slots``."""
+    found = match_positions(CELL, F.col("string"), cell_mask(F.col("mask")))
+    rows = bound(tables, tables.columns, pieces=cell_pieces(found))
+    return bound(rows, rows.columns, slots=table_layout(cell_spans(F.col("pieces")), span))
+
+
+def cell_fields(m: Column, strip: bool = True) -> dict[str, Column]:
+    """Value, attributes and places (inside the table) of a cell from its match."""
+    header = (m["texts"][3] == "!") | m["texts"][4].eqNullSafe("!!")
+    return {
+        "value": cell_value(m["texts"], strip),
+        "is_header": F.when(m.isNotNull(), F.coalesce(header, F.lit(False))),
+        "attrs_string": m["texts"][5], "cell_start": m["start"], "attrs_start": m["starts"][5], "value_start": m["starts"][6],
+        "value_end": m["end"], "mark_length": F.length(F.regexp_extract(m["mask"], r"^(?:\n\s*[|!]|\|?\x05\x05|\|\|)", 0)),
+    }
 
 
 def cell_value(texts: Column, strip: bool = True) -> Column:
@@ -575,43 +563,44 @@ def table_cells(
     tables: DataFrame, span: bool = True, strip: bool = True, row: int | None = None, column: int | None = None
 ) -> DataFrame:
     """Row, col, value, is_header and attributes of every slot of every table."""
-    slots = F.col("slots")
-    if row is not None:
-        slots = F.filter(slots, lambda s: s["row"] == row)
-    if column is not None:
-        slots = F.filter(slots, lambda s: s["col"] == column)
-    # A slot takes its cell along, so that the list of cells is not copied per slot.
-    filled = F.transform(
-        slots, lambda s: F.struct(s["row"].alias("row"), s["col"].alias("col"), F.col("pieces")[s["cell"]].alias("m"))
-    )
-    rows = _cell_pieces(tables, span).select(
-        *KEY, F.col("start").alias("table_start"), F.explode(filled).alias("s")
-    ).select(*KEY, "table_start", "s.*")
-    header = (F.col("m.texts")[3] == "!") | F.col("m.texts")[4].eqNullSafe("!!")
+    tiles = F.col("slots")
+    for name, size, wanted in (("row", "rows", row), ("col", "cols", column)):
+        if wanted is not None:
+            inside = F.filter(tiles, lambda t: (t[name] <= wanted) & (wanted < t[name] + t[size]))
+            tiles = F.transform(inside, lambda t: t.withField(name, F.lit(wanted).cast("long")).withField(size, F.lit(1).cast("long")))
+    # A tile takes its cell along, so that the list of cells is not copied per slot.
+    filled = F.transform(tiles, lambda t: F.struct(t.alias("t"), F.get(F.col("pieces"), t["cell"].cast("int")).alias("m")))
+    rows = _cell_pieces(tables, span).select(*KEY, F.col("start").alias("table_start"), F.explode(filled).alias("s"))
+    rows = rows.select(*KEY, "table_start", "s.t.*", "s.m")
+    rows = _slots(_slots(rows, "row", "rows"), "col", "cols").select(
+        *KEY, "table_start", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "m")
+    fields = cell_fields(F.col("m"), strip)
+    places = ["cell_start", "attrs_start", "value_start", "value_end"]
     return rows.select(
-        *KEY, "table_start", "row", "col", cell_value(F.col("m.texts"), strip).alias("value"),
-        F.when(F.col("m").isNotNull(), F.coalesce(header, F.lit(False))).alias("is_header"),
-        F.col("m.texts")[5].alias("attrs_string"),
-        attr_map(F.col("m.texts")[5]).alias("attrs"),
-        (F.col("table_start") + F.col("m.start")).alias("cell_start"),
-        (F.col("table_start") + F.col("m.starts")[5]).alias("attrs_start"),
-        (F.col("table_start") + F.col("m.starts")[6]).alias("value_start"),
-        (F.col("table_start") + F.col("m.end")).alias("value_end"),
-        F.length(F.regexp_extract(F.col("m.mask"), r"^(?:\n\s*[|!]|\|?\x05\x05|\|\|)", 0)).alias("mark_length"),
+        *KEY, "table_start", "row", "col", fields["value"].alias("value"), fields["is_header"].alias("is_header"),
+        fields["attrs_string"].alias("attrs_string"), attr_map(fields["attrs_string"]).alias("attrs"),
+        *[(F.col("table_start") + fields[n]).alias(n) for n in places], fields["mark_length"].alias("mark_length"),
     )
 
 
+_AT_ONCE = 4096
+
+
+def _slots(rows: DataFrame, name: str, size: str) -> DataFrame:
+    """A row per row (column) of a tile, listed in parts, so that no array is as long as the tile."""
+    first, n = F.col(name), F.col(size)
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(_AT_ONCE).cast("long"))))
+    last = F.least(F.col("_part") + _AT_ONCE, n) - 1
+    return parts.withColumn("_slot", F.explode(F.sequence(first + F.col("_part"), first + last))).withColumn(
+        name, F.col("_slot")).drop("_part", "_slot")
+
+
 def table_text(tables: DataFrame) -> DataFrame:
     """The rows of X18 with ``text``: caption line, then rows of tab-joined padded cells.
 
     The width of a text is its number of characters; the last column is not padded.
     """
-    rows = _cell_pieces(tables, span=True)
-    values = F.transform("pieces", lambda m: cell_value(m["texts"]))
-    grid = grid_text(F.col("slots"), values)
-    head = F.when(F.col("caption").isNotNull(), F.concat(F.lit("\n"), "caption", F.lit("\n"))).otherwise("")
-    text = F.when(F.col("grid").isNull(), F.lit("")).otherwise(F.concat(head, F.lit("\n"), "grid", F.lit("\n")))
-    return rows.withColumn("grid", grid).withColumn("text", text).drop("pieces", "slots", "grid")
+    return tables.withColumn("text", table_texts("string", "mask"))
 
 
 def head_int(attrs: Column, name: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagesmith.functions.text import first_upper
 from pagesmith.operators.ingest import strip_main
+from pagesmith.operators.joins import skew_join
 
 PAGE_COLUMNS = ("redirect_to", "body", "model")
 ASKED = ["asked_title", "asked_ns"]
@@ -133,3 +134,19 @@ def resolve_redirects(
         "h.asked_title", "h.asked_ns", "s.found_title", "s.found_ns"
     )
     return _answer(requests, keys, _with_columns(direct.unionByName(resolved), pages, columns))
+
+
+def redirect_targets(titles: DataFrame, pages: DataFrame) -> DataFrame:
+    """J5 for the titles of links: ``link_title, new`` for every redirect that resolves, in any namespace.
+
+    ``titles`` has each ``link_title`` once. Missing pages, redirects to missing pages and double
+    redirects have no row.
+    """
+    nowhere = F.lit(None).cast("int")
+    none = pages.sparkSession.createDataFrame([], "id int, canonical_name string, name string")
+    keys = titles.select(F.col("link_title").alias("asked_title"), nowhere.alias("asked_ns"))
+    hops = _find(keys, pages, none, no_redirect=False).where(F.col("redirect_to").isNotNull()).select("asked_title", "redirect_to")
+    targets = hops.select(F.col("redirect_to").alias("asked_title"), nowhere.alias("asked_ns")).distinct()
+    second = _find(targets, pages, none, no_redirect=True).select(
+        F.col("asked_title").alias("redirect_to"), F.col("found_title").alias("new"))
+    return skew_join(hops, second, ["redirect_to"], ["asked_title"]).select(F.col("asked_title").alias("link_title"), "new")

@@ -1,66 +1,71 @@
-"""All elements of a page in document order, and its segmentation."""
+"""All elements of a page in document order, and its segmentation.
+
+The elements of a page are one array in its row, from one scan of the body; order, frontier and
+cuts are worked out inside the row, so nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesmith.functions.scan import cut_spans, match_in, match_positions, quotes_in, scan_elements
+from pagesmith.functions.scan import bound, cut_spans, match_in, match_positions, quotes_in, scan_elements, segments_of
 from pagesmith.operators.extract import (
     _HEADING,
     _LINK_URL,
+    _QUOTABLE,
     LIST_PATTERNS,
-    _list_runs,
     link_items,
+    list_patterns,
     quote_items,
 )
-from pagesmith.operators.intervals import KEY, frontier
+from pagesmith.operators.intervals import KEY
 
 # Which kind comes first among elements that start at the same place.
 RANKS = {
     "Comment": 1, "ExternalLink": 2, "Parameter": 3, "ParserFunction": 4, "Template": 5, "WikiLink": 6,
     "SectionTitle": 7, "Bold": 8, "Italic": 8, "WikiList": 9, "Table": 10, "Tag": 11, "ExtensionTag": 11,
 }
+_SCANNED = ("Page", "Comment", "ExtensionTag", "Parameter", "ParserFunction", "Template", "WikiLink", "Tag", "Table")
 
 
-def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Every element of every kind as one table, from one scan of each body.
-
-    Tables nested in tables are left out, as in the listing of outer tables.
-    """
+def element_arrays(pages: DataFrame, kinds: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Page key, ``keep``, body and ``elements``: array<struct<start,rank,end,kind>> in document order."""
     found = F.col("found")
-    body, shadow = F.col("body"), F.col("shadow")
+    scanned = bound(pages, [*KEY, *keep, "body"], found=scan_elements("body", _SCANNED, ("mask",), masked=_QUOTABLE))
+    scanned = scanned.withColumn("shadow", F.try_element_at("found", F.lit(1))["mask"])
+    # Only places are needed, so masks stand in for the texts.
+    matched = bound(
+        scanned, [*KEY, *keep, "body"], found=F.transform(found, lambda f: F.struct(f["kind"], f["start"], f["end"])),
+        links=match_in(_LINK_URL, link_items(found, "mask"), groups=False),
+        lines=match_positions([_HEADING, *list_patterns(LIST_PATTERNS)], F.col("shadow"), groups=False),
+        quotes=quotes_in(quote_items(found, text="mask")),
+    )
+    rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
 
-    def named(array, kind=None, text=lambda m: m["string"]):
-        return F.transform(
-            array,
-            lambda m: F.struct((F.lit(kind) if kind else m["kind"]).alias("kind"), m["start"].alias("start"),
-                               m["end"].alias("end"), text(m).alias("string")),
-        )
+    def named(array: Column, kind) -> Column:
+        return F.transform(array, lambda m: F.struct(
+            m["start"].alias("start"), rank[kind(m)].alias("rank"), m["end"].alias("end"), kind(m).alias("kind")))
 
-    whole = {"text": lambda m: m["texts"][0]}
-    scanned = pages.select(*KEY, "body", scan_elements("body").alias("found"))
-    scanned = scanned.withColumn("shadow", F.try_element_at("found", F.lit(1))["mask"])
     everything = F.concat(
-        named(F.filter(found, lambda f: ~f["kind"].isin("Page", "InnerTable"))),
-        named(match_in(_LINK_URL, link_items(found)), "ExternalLink", **whole),
-        named(match_positions(_HEADING, body, shadow), "SectionTitle", **whole),
-        named(_list_runs(LIST_PATTERNS, body, shadow), "WikiList"),
-        named(quotes_in(quote_items(found))),
+        named(F.filter("found", lambda f: f["kind"] != "Page"), lambda f: f["kind"]),
+        named(F.col("links"), lambda m: F.lit("ExternalLink")),
+        named(F.col("lines"), lambda m: F.when(m["which"] == 0, "SectionTitle").otherwise("WikiList")),
+        named(F.col("quotes"), lambda q: q["kind"]),
     )
     if kinds is not None:
         everything = F.filter(everything, lambda e: e["kind"].isin(kinds))
-    rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
-    return (
-        scanned.select(*KEY, F.explode(everything).alias("e"))
-        .select(*KEY, "e.*")
-        .withColumn("rank", rank[F.col("kind")])
-    )
+    return bound(matched, [*KEY, *keep, "body"], elements=F.array_sort(everything))
 
 
-def top_level(pages: DataFrame) -> DataFrame:
-    """W1, first half: all elements, whether the segmentation keeps them, and the frontier before them."""
-    return frontier(elements(pages))
+def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Every element of every kind as one table, from one scan of each body.
+
+    Tables nested in tables are left out, as in the listing of outer tables.
+    """
+    cut = element_arrays(pages, kinds).withColumn("strings", cut_spans("body", "elements"))
+    rows = cut.select(*KEY, F.explode(F.arrays_zip("elements", "strings")).alias("z"))
+    return rows.select(*KEY, "z.elements.kind", "z.elements.start", "z.elements.end", F.col("z.strings").alias("string"), "z.elements.rank")
 
 
 def document_order(elements: DataFrame) -> DataFrame:
@@ -68,31 +73,17 @@ def document_order(elements: DataFrame) -> DataFrame:
     return elements.orderBy(*KEY, "start", "end", "rank")
 
 
-def segment(pages: DataFrame) -> DataFrame:
-    """Top-level elements and the text between them, in order.
+def segment_arrays(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """W1 as ``segments``: array<struct<kind,start,end,string>> beside page key, ``keep`` and body.
 
     An element is kept when it starts at or after the furthest end of all earlier
     elements; a dropped one still moves that frontier.
     """
-    swept = top_level(pages)
-    gap = F.struct(F.lit("Text").alias("kind"), F.col("frontier").alias("start"), F.col("start").alias("end"))
-    own = F.struct("kind", "start", "end")
-    emitted = (
-        F.when(F.col("kept") & (F.col("start") > F.col("frontier")), F.array(gap, own))
-        .when(F.col("kept"), F.array(own))
-        .otherwise(F.array())
-    )
-    grouped = swept.groupBy(*KEY).agg(F.flatten(F.collect_list(emitted)).alias("kept"), F.max("end").alias("last"))
-    last = F.coalesce("last", F.lit(0))
-    tail = F.struct(F.lit("Text").alias("kind"), last.alias("start"), F.length("body").alias("end"))
-    order = F.array_sort(
-        F.transform(
-            F.concat(F.coalesce("kept", F.array()), F.when(F.length("body") > last, F.array(tail)).otherwise(F.array())),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
-        )
-    )
-    joined = pages.where(F.col("body").isNotNull()).select(*KEY, "body").join(grouped, KEY, "left")
-    cuts = joined.select(*KEY, "body", order.alias("segments")).withColumn("strings", cut_spans("body", "segments"))
-    return cuts.select(*KEY, F.posexplode(F.arrays_zip("segments", "strings")).alias("ord", "z")).select(
-        *KEY, "ord", "z.segments.kind", "z.segments.start", "z.segments.end", F.col("z.strings").alias("string")
-    )
+    found = element_arrays(pages, keep=keep)
+    return bound(found, [*KEY, *keep, "body"], segments=segments_of("body", "elements"))
+
+
+def segment(pages: DataFrame) -> DataFrame:
+    """Top-level elements and the text between them, in order."""
+    cut = segment_arrays(pages.where(F.col("body").isNotNull()))
+    return cut.select(*KEY, F.posexplode("segments").alias("ord", "s")).select(*KEY, "ord", "s.*")

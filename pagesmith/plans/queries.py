@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.functions import scan, text
+from pagesmith.functions import text
 from pagesmith.operators import corrections as K
 from pagesmith.operators import extract as X
 from pagesmith.operators import ingest as B
@@ -397,7 +397,7 @@ def u1_elements(spark, sf):
 
 @query
 def x0_spans(spark, sf):
-    return X.spans(wiki(spark, sf)).drop("mask")
+    return X.spans(wiki(spark, sf), fields=("string",))
 
 
 @query
@@ -608,7 +608,7 @@ def t3_table_text(spark, sf):
 
 @query
 def t4_unescape_entities(spark, sf):
-    return web(spark, sf).select("title", scan.unescape_entities("body").alias("text"))
+    return web(spark, sf).select("title", text.unescape_entities("body").alias("text"))
 
 
 @query
