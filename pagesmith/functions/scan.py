@@ -45,6 +45,13 @@ def bound(rows, keep, **made):
     return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
 
 
+def exploded(rows, keep, array, name, position=None):
+    """A row per element of an array that is made once: explode alone would test its size by making it again."""
+    made = bound(rows, keep, _array=array)
+    each = F.explode("_array").alias(name) if position is None else F.posexplode("_array").alias(position, name)
+    return made.select(*keep, each)
+
+
 def _structs(**fields):
     return T.ArrayType(T.StructType([T.StructField(k, t()) for k, t in fields.items()]))
 

@@ -17,7 +17,7 @@ from pagesmith.constants import (
     SYLLABLE_PATTERN,
     TEMPLATE_PREFIX_PATTERN,
 )
-from pagesmith.functions.scan import bound
+from pagesmith.functions.scan import bound, exploded
 from pagesmith.functions.text import codepoint_char
 from pagesmith.operators.intervals import KEY
 from pagesmith.operators.rewrite import edited
@@ -48,7 +48,7 @@ def label_hits() -> Column:
 
 def label_suggestions(pages: DataFrame) -> DataFrame:
     """K1: one row per page and rule that matches, with the suggested template."""
-    return pages.select(*KEY, F.explode(label_hits()).alias("r")).select(*KEY, "r.*")
+    return exploded(pages, KEY, label_hits(), "r").select(*KEY, "r.*")
 
 
 _CLASSES = ["desambiguación", "unicode", "pronunciación", "lengua", "estructura", "Carácter Oriental", "TRANSLIT", "TAXO"]
@@ -150,7 +150,7 @@ def ref_flags() -> Column:
 def syllable_refs(pages: DataFrame) -> DataFrame:
     """K3: ``ref`` tags that hold a syllable division or stand before one."""
     found = segment_arrays(pages.where(F.col("body").contains("<ref")))
-    return found.select(*KEY, F.explode(ref_flags()).alias("r")).select(*KEY, "r.*")
+    return exploded(found, KEY, ref_flags(), "r").select(*KEY, "r.*")
 
 
 def corrections_table(spark) -> DataFrame:
@@ -169,7 +169,7 @@ def page_corrections(pages: DataFrame) -> DataFrame:
         F.transform(ref_flags(), lambda r: F.lit(DROP_TAG)), F.transform(label_hits(), lambda h: rule_code[h["kind"]]),
     )
     labels = F.array(*[F.lit(label) for label in CORRECTION_LABELS])
-    found = rows.select(*KEY, F.explode(F.array_distinct(F.array_compact(codes))).alias("code"))
+    found = exploded(rows, KEY, F.array_distinct(F.array_compact(codes)), "code")
     return found.withColumn("label", F.get(labels, F.col("code")))
 
 

@@ -20,8 +20,8 @@ from pagesmith.constants import URL_SCHEMES
 from pagesmith.functions.brackets import LINK_CLOSE, LINK_COLON, LINK_OPEN
 from pagesmith.functions.grids import CAPTION, CELL
 from pagesmith.functions.scan import (
-    KINDS, MARKS, arguments_in, bound, cut_spans, match_in, match_positions, quotes_in, scan_elements, sections_of,
-    table_layout, table_texts,
+    KINDS, MARKS, arguments_in, bound, cut_spans, exploded, match_in, match_positions, quotes_in, scan_elements,
+    sections_of, table_layout, table_texts,
 )
 from pagesmith.operators.intervals import KEY
 from pagesmith.functions.text import attr_map, attr_pairs, cut, trim_ws
@@ -59,8 +59,8 @@ def texts(
 ) -> DataFrame:
     """Page key, kind, start, end and ``fields`` (string, mask): the page itself and its elements."""
     chosen = KINDS if kinds is None else kinds
-    scanned = with_any(pages, chosen).select(*KEY, *keep, scan_elements("body", chosen, fields).alias("found"))
-    return scanned.select(*KEY, *keep, F.explode("found").alias("f")).select(*KEY, *keep, "f.*")
+    found = exploded(with_any(pages, chosen), [*KEY, *keep], scan_elements("body", chosen, fields), "f")
+    return found.select(*KEY, *keep, "f.*")
 
 
 def spans(pages: DataFrame, kinds: Sequence[str] | None = None, fields: Sequence[str] = ("string", "mask")) -> DataFrame:
@@ -83,7 +83,7 @@ def element_string(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Cut elements given by page key, start and end from the bodies."""
     rest = [c for c in spans.columns if c not in KEY and c != "string"]
     grouped = spans.groupBy(*KEY).agg(F.collect_list(F.struct(*rest)).alias("spans"))
-    joined = grouped.join(pages.select(*KEY, "body"), KEY).withColumn("strings", cut_spans("body", "spans"))
+    joined = bound(grouped.join(pages.select(*KEY, "body"), KEY), [*KEY, "spans"], strings=cut_spans("body", "spans"))
     zipped = F.explode(F.arrays_zip("spans", "strings")).alias("z")
     return joined.select(*KEY, zipped).select(*KEY, "z.spans.*", F.col("z.strings").alias("string"))
 
@@ -187,13 +187,11 @@ def template_args(owners: DataFrame) -> DataFrame:
     themselves (W4).
     """
     one = F.array(F.struct("kind", "start", "string", "mask"))
-    return (
-        owners.select(*KEY, "kind", "start", "end", F.trim("name").alias("owner"), F.flatten(arguments_in(one)).alias("found"))
-        .select(*KEY, "kind", "start", "end", "owner", F.explode("found").alias("a"))
-        .select(
-            *KEY, "kind", "start", "end", "owner", "a.ord", "a.value", "a.positional", "a.arg_start", "a.arg_end",
-            "a.value_start", "a.arg_string", "a.name", "a.is_last", "a.fate",
-        )
+    rows = owners.select(*KEY, "kind", "start", "end", "string", "mask", F.trim("name").alias("owner"))
+    keep = [*KEY, "kind", "start", "end", "owner"]
+    return exploded(rows, keep, F.flatten(arguments_in(one)), "a").select(
+        *keep, "a.ord", "a.value", "a.positional", "a.arg_start", "a.arg_end", "a.value_start", "a.arg_string", "a.name",
+        "a.is_last", "a.fate",
     )
 
 
@@ -264,8 +262,7 @@ def _items(found: Column, chosen, item) -> Column:
 def external_links(pages: DataFrame) -> DataFrame:
     """Bare and bracketed links of pages, tags, templates, functions and parameters."""
     scanned = bound(pages, KEY, found=scan_elements("body", LINKABLE))
-    links = scanned.select(*KEY, match_in(_LINK_URL, link_items(F.col("found"))).alias("links"))
-    return links.select(*KEY, F.explode("links").alias("m")).select(
+    return exploded(scanned, KEY, match_in(_LINK_URL, link_items(F.col("found"))), "m").select(
         *KEY, F.lit("ExternalLink").alias("kind"), *[v.alias(n) for n, v in external_fields(F.col("m")).items()])
 
 
@@ -285,7 +282,7 @@ def external_fields(m: Column) -> dict[str, Column]:
 def section_titles(pages: DataFrame) -> DataFrame:
     """Heading lines; the level is the usable equal count on both sides."""
     found = with_shadow(pages.where(F.col("body").contains("=")))
-    lines = found.select(*KEY, F.explode(match_positions(_HEADING, F.col("body"), F.col("shadow"))).alias("m"))
+    lines = exploded(found, KEY, match_positions(_HEADING, F.col("body"), F.col("shadow")), "m")
     return lines.select(*KEY, F.lit("SectionTitle").alias("kind"), *[v.alias(n) for n, v in heading_fields(F.col("m")).items()])
 
 
@@ -301,7 +298,7 @@ def section_array(pages: DataFrame, nested: bool, keep: tuple[str, ...] = ()) ->
     """Page key, ``keep``, body and ``sections``, the lead (level 0, maybe empty) first."""
     headings = match_positions(_HEADING, F.col("body"), F.col("shadow"))
     found = bound(with_shadow(pages, *keep), [*KEY, *keep, "body"], headings=headings)
-    return found.select(*KEY, *keep, "body", sections_of(F.col("body"), F.col("headings"), nested).alias("sections"))
+    return bound(found, [*KEY, *keep, "body"], sections=sections_of(F.col("body"), F.col("headings"), nested))
 
 
 def sections(
@@ -357,7 +354,7 @@ def bold_italic(pages: DataFrame, kind: str | None = None, recursive: bool = Tru
     kinds = _QUOTABLE if recursive else ["Page"]
     scanned = bound(pages.where(F.col("body").contains("''")), KEY, found=scan_elements("body", kinds))
     runs = quotes_in(quote_items(F.col("found"), kinds))
-    result = scanned.select(*KEY, runs.alias("runs")).select(*KEY, F.explode("runs").alias("q")).select(*KEY, "q.*")
+    result = exploded(scanned, KEY, runs, "q").select(*KEY, "q.*")
     return result if kind is None else result.where(F.col("kind") == kind)
 
 
@@ -397,12 +394,9 @@ def lists(pages: DataFrame, pattern=LIST_PATTERNS) -> DataFrame:
 def lists_of(rows: DataFrame, pattern=LIST_PATTERNS) -> DataFrame:
     patterns = (pattern,) if isinstance(pattern, str) else tuple(pattern)
     runs = _list_runs(patterns, F.col("string"), F.col("mask"))
-    return (
-        rows.withColumn("found", runs)
-        .select(*KEY, F.col("start").alias("base"), F.explode("found").alias("l"))
-        .select(*KEY, F.lit("WikiList").alias("kind"), (F.col("base") + F.col("l.start")).alias("start"),
-                (F.col("base") + F.col("l.end")).alias("end"), "l.string", "l.mask", "l.pattern", "l.level")
-    )
+    found = exploded(rows.withColumn("base", F.col("start")), [*KEY, "base"], runs, "l")
+    return found.select(*KEY, F.lit("WikiList").alias("kind"), (F.col("base") + F.col("l.start")).alias("start"),
+                        (F.col("base") + F.col("l.end")).alias("end"), "l.string", "l.mask", "l.pattern", "l.level")
 
 
 def item_patterns(patterns=LIST_PATTERNS) -> list[str]:
@@ -428,9 +422,7 @@ def list_items(lists: DataFrame, patterns=LIST_PATTERNS) -> DataFrame:
     mine = F.array_position(F.array(*[F.lit(p) for p in patterns]), F.col("pattern")) - 1
     found = F.filter(match_positions(item_patterns(patterns), F.col("string"), F.col("mask")), lambda m: m["which"] == mine)
     base = F.col("start")
-    rows = lists.withColumn("found", found).select(
-        *KEY, "start", "end", "pattern", "level", F.explode("found").alias("m")
-    )
+    rows = exploded(lists, [*KEY, "start", "end", "pattern", "level"], found, "m")
     whole = F.struct(
         (base + F.col("m.start")).alias("item_start"), (base + F.col("m.end")).alias("item_end"),
         F.coalesce(F.col("m.texts")[2], F.col("m.texts")[4], F.col("m.texts")[5]).alias("item"),
@@ -456,12 +448,9 @@ def sublists(lists: DataFrame, item_span: bool = False, patterns=LIST_PATTERNS)
     """
     extra = ["item_start", "item_end"] if item_span else []
     runs = _list_runs(patterns, F.col("string"), F.col("mask"), patterns, F.col("pattern"))
-    found = (
-        lists.withColumn("found", runs)
-        .select(*KEY, F.col("start").alias("list_start"), *extra, F.explode("found").alias("l"))
-        .select(*KEY, "list_start", *extra, (F.col("list_start") + F.col("l.start")).alias("start"),
-                (F.col("list_start") + F.col("l.end")).alias("end"), "l.string", "l.mask", "l.pattern", "l.level")
-    )
+    rows = exploded(lists.withColumn("list_start", F.col("start")), [*KEY, "list_start", *extra], runs, "l")
+    found = rows.select(*KEY, "list_start", *extra, (F.col("list_start") + F.col("l.start")).alias("start"),
+                        (F.col("list_start") + F.col("l.end")).alias("end"), "l.string", "l.mask", "l.pattern", "l.level")
     if item_span:
         found = found.where((F.col("item_start") <= F.col("start")) & (F.col("end") <= F.col("item_end")))
     return found
@@ -504,13 +493,10 @@ def table_columns(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def table_row_attrs(tables: DataFrame) -> DataFrame:
     """One row per row separator of each table, with its attributes."""
     found = match_positions(_ROW_BREAK, F.col("string"), F.col("mask"))
-    return (
-        tables.withColumn("found", found)
-        .select(*KEY, F.col("start").alias("table_start"), F.posexplode("found").alias("row", "m"))
-        .select(
-            *KEY, "table_start", "row", (F.col("table_start") + F.col("m.starts")[1]).alias("attrs_start"),
-            (F.col("table_start") + F.col("m.end")).alias("attrs_end"), attr_map(F.col("m.texts")[1]).alias("attrs"),
-        )
+    rows = exploded(tables.withColumn("table_start", F.col("start")), [*KEY, "table_start"], found, "m", "row")
+    return rows.select(
+        *KEY, "table_start", "row", (F.col("table_start") + F.col("m.starts")[1]).alias("attrs_start"),
+        (F.col("table_start") + F.col("m.end")).alias("attrs_end"), attr_map(F.col("m.texts")[1]).alias("attrs"),
     )
 
 

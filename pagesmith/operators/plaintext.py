@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesmith.constants import FILE_EXTENSIONS
-from pagesmith.functions.scan import MARKS, bound, match_in, plain_pages, quotes_in, scan_elements, splice, splice_parts
+from pagesmith.functions.scan import MARKS, bound, exploded, match_in, plain_pages, quotes_in, scan_elements, splice, splice_parts
 from pagesmith.functions.text import normal_name, unescape_entities
 from pagesmith.operators.extract import _LINK_URL, link_fields, link_items, name_of, quote_items
 from pagesmith.operators.intervals import KEY
@@ -151,7 +151,7 @@ def _with_replacements(pages: DataFrame, table: DataFrame) -> DataFrame:
     body = F.when(F.col("body").contains("{{"), F.col("body"))
     found = bound(pages, KEY, found=scan_elements(body, ("Template",), ("string", "split", "closing")))
     used = F.array_distinct(F.transform("found", lambda f: normal_name(name_of(lambda n: f[n]))))
-    names = found.select(*KEY, F.explode(used).alias("name"))
+    names = exploded(found, KEY, used, "name")
     once = table.groupBy("name").agg(F.min("text").alias("text"))
     listed = skew_join(names, once, ["name"], KEY).groupBy(*KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("replacements"))

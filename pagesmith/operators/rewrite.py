@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from pagesmith.functions.grids import CAPTION, CELL
 from pagesmith.functions.scan import (
-    MARKS, arguments_in, bound, match_each, match_in, match_positions, plain_layouts, scan_elements, splice,
+    MARKS, arguments_in, bound, exploded, match_each, match_in, match_positions, plain_layouts, scan_elements, splice,
 )
 from pagesmith.functions.text import attr_map, bind, trim_ws
 from pagesmith.operators import extract
@@ -77,7 +77,7 @@ def _each(pages: DataFrame, found: DataFrame, where, edits: Callable, *values) -
         chosen = F.col("elements") if where is None else F.filter("elements", where)
         made = F.transform(chosen, lambda x: edits(lambda n: x[n], *[value(v, x) for v in values]).cast(_EDITS))
         return edited(found, F.flatten(made), pages.columns)
-    rows = found.select(*KEY, F.explode("elements").alias("x")).select(*KEY, "x.*", "x")
+    rows = exploded(found, KEY, F.col("elements"), "x").select(*KEY, "x.*", "x")
     if where is not None:
         rows = rows.where(value(where, F.col("x")))
     made = edits(F.col, *[value(v, F.col("x")) for v in values]).cast(_EDITS)
@@ -159,7 +159,7 @@ def rename_template(pages: DataFrame, renames: DataFrame, kind: str = "Template"
         owners = owners.withColumn("rules", known)
         new = lambda e: F.try_element_at(F.col("rules"), trim_ws(e["name"]))
         return _each(pages, owners, lambda e: new(e).isNotNull(), renamed, new)
-    rows = owners.select(*KEY, F.explode("elements").alias("x")).select(*KEY, "x.start", "x.name", trim_ws("x.name").alias("old"))
+    rows = exploded(owners, KEY, F.col("elements"), "x").select(*KEY, "x.start", "x.name", trim_ws("x.name").alias("old"))
     table = renames.groupBy(F.col("name").alias("old")).agg(F.min("new").alias("new"))
     hits = skew_join(rows, table, ["old"], [*KEY, "start"])
     return apply_edits(pages, hits.select(*KEY, F.explode(renamed(F.col, F.col("new"))).alias("e")).select(*KEY, "e.*"))
@@ -291,7 +291,7 @@ def set_arg(
         made = F.transform(F.filter("elements", lambda e: mine(e).isNotNull()),
                            lambda e: F.flatten(F.transform(mine(e), lambda rule: edits(e, rule))))
         return edited(found, F.flatten(made), pages.columns)
-    rows = found.select(*KEY, F.explode("elements").alias("e")).select(*KEY, "e", F.col("e.start").alias("start"), F.col("e.owner").alias("owner"))
+    rows = exploded(found, KEY, F.col("elements"), "e").select(*KEY, "e", F.col("e.start").alias("start"), F.col("e.owner").alias("owner"))
     hits = skew_join(rows, table, ["owner"], [*KEY, "start"]).select(*KEY, "e", F.explode("rules").alias("rule"))
     made = hits.select(*KEY, F.explode(edits(F.col("e"), F.col("rule"))).alias("x")).select(*KEY, "x.*")
     return apply_edits(pages, made)

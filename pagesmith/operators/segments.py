@@ -63,7 +63,7 @@ def elements(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
     Tables nested in tables are left out, as in the listing of outer tables.
     """
-    cut = element_arrays(pages, kinds).withColumn("strings", cut_spans("body", "elements"))
+    cut = bound(element_arrays(pages, kinds), [*KEY, "elements"], strings=cut_spans("body", "elements"))
     rows = cut.select(*KEY, F.explode(F.arrays_zip("elements", "strings")).alias("z"))
     return rows.select(*KEY, "z.elements.kind", "z.elements.start", "z.elements.end", F.col("z.strings").alias("string"), "z.elements.rank")
 

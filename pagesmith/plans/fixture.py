@@ -112,9 +112,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{digest}-{name}"
     if path not in _paths:
         made = sql(spark, sf_dir, f"SELECT * FROM {name}")
-        cores = spark.sparkContext.defaultParallelism
-        if made.rdd.getNumPartitions() < cores:
-            made = made.repartition(cores)
+        # A small file is read by one task however many splits it has, so rows are dealt anew.
+        made = made.repartition(max(spark.sparkContext.defaultParallelism, made.rdd.getNumPartitions()))
         made.write.mode("overwrite").parquet(path)
         _paths[path] = made.schema
     return spark.read.schema(_paths[path]).parquet(path)
