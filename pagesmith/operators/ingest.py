@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagesmith.operators.intervals import KEY
+from pagesmith.schemas import PAGES
+from pagesmith.sources import versions
 from pagesmith.sources.dump import read_dump
-from pagesmith.sources.tables import write_pages
+from pagesmith.sources.tables import PAGE_COLUMNS, read_pages
 
 # Content models whose pages are kept.
 KEPT_MODELS = ["wikitext", "Scribunto", "json"]
@@ -101,5 +103,20 @@ def prepare(raw: DataFrame, namespaces: DataFrame) -> DataFrame:
 
 
 def ingest_dump(spark: SparkSession, path: str, namespaces: DataFrame, out: str) -> int:
-    """Dump to page table; returns the number of pages written."""
-    return write_pages(upsert_pages(None, prepare(read_dump(spark, path), namespaces)), out)
+    """Dump into the page table at ``out``; returns the number of pages the table then has.
+
+    The first dump makes the table. A later one replaces the pages it has and adds new ones: its pages are
+    staged by namespace, and only these namespaces are merged and written anew, as a new version that
+    readers see when it is complete (``sources.versions``). A run that stops leaves the table as it was.
+    """
+    pointer = versions.current(spark, out)
+    batch = upsert_pages(None, prepare(read_dump(spark, path), namespaces)).select(*PAGE_COLUMNS)
+    if pointer is None:
+        versions.replace_parts(batch, out, None, "namespace_id")
+    else:
+        staged, touched = versions.write_parts(batch, f"{out}/_staged", None, "namespace_id")
+        new = spark.read.schema(PAGES).parquet(f"{out}/_staged/v={staged}").select(*PAGE_COLUMNS)
+        old = versions.read_parts(spark, out, pointer, PAGES, touched)
+        kept = old.join(new.select(*KEY), KEY, "left_anti").select(*PAGE_COLUMNS)
+        versions.replace_parts(kept.unionByName(new), out, pointer, "namespace_id")
+    return read_pages(spark, out).count()

@@ -76,6 +76,26 @@ def _body(**changed: str) -> str:
  CASE WHEN body IS NULL THEN false ELSE body <> {new} END AS changed FROM wiki"""
 
 
+def _fixed_links(more: str = "''") -> str:
+    """R7 with J5 by joins of its own: a redirect is followed once, to a page that is none.
+
+    ``more`` is put behind every body; of its links only the one to Doc 5 may change.
+    """
+    pieces = {
+        "p_link1": "CASE WHEN new1 IS NULL THEN p_link1 ELSE concat('[[', new1, '#s|siguiente]]') END",
+        "p_link2": "CASE WHEN new2 IS NULL THEN p_link2 ELSE concat(' [[', new2, ']] ') END",
+    }
+    new = ", ".join(pieces.get(p, p) for p in PIECES)
+    return CTE + f""", hop AS (SELECT a.title AS t, b.title AS new FROM wiki_pages a JOIN wiki_pages b ON b.title = a.redirect_to AND b.redirect_to IS NULL
+ WHERE a.redirect_to IS NOT NULL),
+five AS (SELECT max(new) AS new5 FROM hop WHERE t = 'Doc 5'),
+n AS (SELECT w.*, {more} AS more, a.new AS new1, b.new AS new2, new5 FROM wiki w CROSS JOIN five
+ LEFT JOIN hop a ON a.t = concat('Doc ', ord + 1) LEFT JOIN hop b ON b.t = concat('Doc ', ord * 7 % 3000)),
+m AS (SELECT title, namespace_id, concat(body, more) AS body,
+ concat({new}, CASE WHEN new5 IS NULL THEN more ELSE replace(more, 'Main:Doc_5#', concat(new5, '#')) END) AS new_body, body IS NULL AS gone FROM n)
+SELECT title, namespace_id, CASE WHEN NOT gone THEN new_body END AS body, CASE WHEN gone THEN false ELSE body <> new_body END AS changed FROM m"""
+
+
 def _text(**changed: str) -> str:
     new = "concat(" + ", ".join(changed.get(p, p) for p in PIECES) + ")"
     return CTE + f"SELECT title, namespace_id, CASE WHEN body IS NULL THEN NULL ELSE {new} END AS text FROM wiki"
@@ -110,6 +130,14 @@ _INGESTED = CTE + ", " + _TITLED.format(
     split=f"SELECT * FROM (SELECT r.ord, r.title, r.ns AS namespace_id, r.redirect AS redirect_to, CASE WHEN r.redirect IS NULL THEN coalesce(CASE WHEN w.k = 0 THEN ({_TPL_BODY.replace('ord', 'w.ord').replace('p_comment', 'w.p_comment').replace('body', 'w.body')}) ELSE r.text END, '') END AS body, r.model, r.ns AS ns, r.redirect AS redirect FROM raw_pages r JOIN wiki w USING (ord)) WHERE {_RAW_OK} AND {_MODEL_OK}"
 ) + f", ingested AS (SELECT {_NORM} AS title, namespace_id, redirect_to, body, model FROM titled) "
 
+# A second dump on top of it: replaced and new pages win, by joins of their own.
+_SECOND = f""", second AS (SELECT title, ns AS namespace_id, concat('v2 ', ord) AS body FROM raw_pages WHERE (ns IN (10, 14) OR redirect IS NOT NULL) AND {_RAW_OK}
+ UNION ALL SELECT concat('Nuevo ', ord), 0, concat('new ', ord) FROM raw_pages WHERE ord % 7 = 0),
+second_titled AS (SELECT s.*, CASE WHEN namespace_id = 0 OR starts_with(title, concat(coalesce(n.name, ''), ':')) THEN title
+ ELSE concat(coalesce(n.name, ''), ':', title) END AS t FROM second s LEFT JOIN namespaces n ON n.id = s.namespace_id),
+newer AS (SELECT {_NORM} AS title, namespace_id, CAST(NULL AS VARCHAR) AS redirect_to, body, 'wikitext' AS model FROM second_titled),
+merged AS (SELECT * FROM newer UNION ALL SELECT * FROM ingested i WHERE NOT EXISTS (SELECT 1 FROM newer n WHERE n.title = i.title AND n.namespace_id = i.namespace_id)) """
+
 _CONTAINS_ANY = "(" + " OR ".join(f"contains(body, {_q(p)})" for p in ERROR_PATTERNS) + ")"
 _FLAGGED = f"namespace_id = 0 AND {_CONTAINS_ANY}"
 _BATCH = """, batch AS (SELECT ord, title, namespace_id, CAST(NULL AS VARCHAR) AS redirect_to, concat('v2 ', ord) AS body, model FROM wiki_pages WHERE namespace_id <> 0
@@ -231,6 +259,8 @@ ORACLES: dict[str, str] = {
       CASE WHEN ord % 3 = 0 THEN 0 ELSE namespace_id END AS namespace_id, redirect_to, concat('v2 ', ord) AS body, model FROM wiki_pages)"""),
     "b7_ingest_dump": _INGESTED + "SELECT *, count(*) OVER () AS total FROM ingested",
     "b6s_stream_upsert": _INGESTED + "SELECT * FROM ingested",
+    "b7_ingest_second_dump": _INGESTED + _SECOND + "SELECT *, count(*) OVER () AS total FROM merged",
+    "b6s_merge": _INGESTED + _SECOND + "SELECT * FROM merged",
     "c1_search_pages": CTE + "SELECT title, namespace_id, model FROM wiki_pages WHERE namespace_id IN (0, 10) AND redirect_to IS NULL AND model = 'wikitext'",
     "c2_search_pattern": CTE + "SELECT title, namespace_id FROM wiki_pages WHERE contains(body, '{ES') OR contains(body, '''''''ej') OR contains(body, 'core')",
     "c3_search_regex": CTE + r"SELECT title, namespace_id FROM wiki_pages WHERE regexp_matches(body, '\{\{ES\|src1?[0-9]\|') OR regexp_matches(body, '== (de|es) ==')",
@@ -372,12 +402,8 @@ ORACLES: dict[str, str] = {
     "r16_insert_at": CTE + """, n AS (SELECT title, namespace_id, body, CASE ord % 3 WHEN 0 THEN length(body) - 2 WHEN 1 THEN 5 ELSE least(999999, length(body)) END AS cutat FROM wiki_pages)
       SELECT title, namespace_id, CASE WHEN body IS NOT NULL THEN concat(substr(body, 1, cutat), 'INS', substr(body, cutat + 1)) END AS body, body IS NOT NULL AS changed FROM n""",
     "r16_delete_span": CTE + "SELECT title, namespace_id, CASE WHEN body IS NOT NULL THEN concat(substr(body, 1, 2), substr(body, 7)) END AS body, body IS NOT NULL AS changed FROM wiki_pages",
-    "r7_fix_redirect_links": CTE + """, to_page AS (SELECT title AS t, redirect_to AS new FROM wiki_pages WHERE namespace_id = 0 AND redirect_to IS NOT NULL),
-      n AS (SELECT w.*, a.new AS new1, b.new AS new2 FROM wiki w LEFT JOIN to_page a ON a.t = concat('Doc ', ord + 1) LEFT JOIN to_page b ON b.t = concat('Doc ', ord * 7 % 3000)),
-      m AS (SELECT title, namespace_id, body, concat(""" + ", ".join(
-        {"p_link1": "CASE WHEN new1 IS NULL THEN p_link1 ELSE concat('[[', new1, '#s|siguiente]]') END",
-         "p_link2": "CASE WHEN new2 IS NULL THEN p_link2 ELSE concat(' [[', new2, ']] ') END"}.get(p, p) for p in PIECES
-    ) + ") AS new_body FROM n) SELECT title, namespace_id, CASE WHEN body IS NOT NULL THEN new_body END AS body, coalesce(body <> new_body, false) AS changed FROM m",
+    "r7_fix_redirect_links": _fixed_links(),
+    "r7_fix_hot_redirect_links": _fixed_links("CASE WHEN ord % 3 = 0 THEN concat(' [[Main:Doc_5#x|y]] [[Doc_9]] [[Falta ', ord, ']]') ELSE '' END"),
     "k1_label_suggestions": CTE + f", suggested AS ({_SUGGEST}) SELECT title, namespace_id, rule, kind, template, n FROM suggested",
     "k2_classify_legacy_templates": CTE + f"""SELECT title, namespace_id, o_tpl AS start, 'ES' AS name, 'lengua' AS class, 1 AS nth, 'replace' AS action,
       '{{{{lengua|es}}}}' AS replacement, 18 AS code FROM live WHERE {_ES}""",

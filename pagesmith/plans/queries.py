@@ -54,12 +54,12 @@ def web(spark, sf):
     return raw.select(F.col("url").alias("title"), F.lit(0).alias("namespace_id"), F.col("html").alias("body"))
 
 
-def write_dump(spark, sf) -> str:
+def write_dump(spark, sf, raw: DataFrame | None = None, path: str | None = None) -> str:
     """Dump files of the fixture: export elements in order, text escaped, bz2."""
     def esc(c):
         return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    raw = fixture.table(spark, sf, "raw_pages")
+    raw = fixture.table(spark, sf, "raw_pages") if raw is None else raw
     redirect = F.when(F.col("redirect").isNotNull(), F.concat(F.lit('    <redirect title="'), esc("redirect"), F.lit('" />\n'))).otherwise("")
     xml = F.concat(
         F.lit("  <page>\n    <title>"), esc("title"), F.lit("</title>\n    <ns>"), F.col("ns").cast("string"),
@@ -67,8 +67,8 @@ def write_dump(spark, sf) -> str:
         F.lit("    <revision>\n      <model>"), "model", F.lit('</model>\n      <text bytes="1" xml:space="preserve">'),
         esc(F.coalesce("text", F.lit(""))), F.lit("</text>\n    </revision>\n  </page>"),
     )
-    path = new_folder(spark, "dump")
-    raw.select(xml.alias("value")).write.option("compression", "bzip2").text(path)
+    path = path or new_folder(spark, "dump")
+    raw.select(xml.alias("value")).write.mode("append").option("compression", "bzip2").text(path)
     return path
 
 
@@ -180,6 +180,34 @@ def b7_ingest_dump(spark, sf):
     return tables.read_pages(spark, path).withColumn("total", F.lit(n).cast("bigint"))
 
 
+def _second_dump(spark, sf) -> DataFrame:
+    """A later dump: the templates and categories with new texts, redirects made pages, and new pages."""
+    raw = fixture.table(spark, sf, "raw_pages")
+    some = raw.where("ns IN (10, 14) OR redirect IS NOT NULL").selectExpr(
+        "ord", "title", "ns", "CAST(NULL AS STRING) redirect", "'wikitext' model", "concat('v2 ', ord) text")
+    new = raw.where("ord % 7 = 0").selectExpr(
+        "ord", "concat('Nuevo ', ord) title", "0 ns", "CAST(NULL AS STRING) redirect", "'wikitext' model", "concat('new ', ord) text")
+    return some.unionByName(new)
+
+
+@query
+def b7_ingest_second_dump(spark, sf):
+    path = new_folder(spark, "table")
+    B.ingest_dump(spark, write_dump(spark, sf) + "/*.bz2", names(spark, sf), path)
+    n = B.ingest_dump(spark, write_dump(spark, sf, _second_dump(spark, sf)) + "/*.bz2", names(spark, sf), path)
+    return tables.read_pages(spark, path).withColumn("total", F.lit(n).cast("bigint"))
+
+
+@query
+def b6s_merge(spark, sf):
+    """Two runs of the stream, folded in between and after; the second one has the later dump."""
+    out, log, folder = new_folder(spark, "stream"), new_folder(spark, "offsets"), new_folder(spark, "dump")
+    for raw in (None, _second_dump(spark, sf)):
+        write_dump(spark, sf, raw, folder)
+        upsert.stream_upsert(spark, folder, out, log, names(spark, sf), fold_every=1).awaitTermination()
+    return upsert.current_pages(spark, out)
+
+
 @query
 def b6s_stream_upsert(spark, sf):
     out = new_folder(spark, "stream")
@@ -727,6 +755,14 @@ def r7_fix_redirect_links(spark, sf):
     return _bodies(R.fix_redirect_links(wiki(spark, sf)))
 
 
+@query
+def r7_fix_hot_redirect_links(spark, sf):
+    """A third of the pages link to one redirect, with an underscore, and to a double redirect and a missing page."""
+    more = "CASE WHEN ord % 3 = 0 THEN concat(' [[Main:Doc_5#x|y]] [[Doc_9]] [[Falta ', ord, ']]') ELSE '' END"
+    pages = wiki(spark, sf).withColumn("body", F.concat("body", F.expr(more)))
+    return _bodies(R.fix_redirect_links(pages))
+
+
 @query
 def r8_external_link_text(spark, sf):
     return _bodies(R.edit_external_links(wiki(spark, sf), text="fuente"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesmith.constants import INFLECTED_FORMS, WORD_CLASSES
 from pagesmith.schemas import NAMESPACE_ENTRY, PAGES
+from pagesmith.sources import versions
 
 
 def read_namespaces(spark: SparkSession, folder: str, lang: str = "*") -> DataFrame:
@@ -55,18 +56,27 @@ def filter_terms(df: DataFrame, col: str, kind: str) -> DataFrame:
     return df.where(F.col(col).isin(WORD_CLASSES if kind == "class" else INFLECTED_FORMS))
 
 
+PAGE_COLUMNS = ["title", "namespace_id", "redirect_to", "body", "model"]
+
+
 def write_pages(pages: DataFrame, path: str) -> int:
-    """A5: page table as Parquet by namespace; returns the number of rows."""
+    """A5: page table as Parquet by namespace; returns the number of rows.
+
+    Rows are rebalanced by namespace: a large namespace gets several files of about the advisory partition
+    size, small ones one each.
+    """
     seen = Observation("pages")
-    columns = ["title", "namespace_id", "redirect_to", "body", "model"]
-    counted = pages.select(*columns).observe(seen, F.count(F.lit(1)).alias("n"))
-    counted.write.mode("overwrite").partitionBy("namespace_id").parquet(path)
+    counted = pages.select(*PAGE_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.hint("rebalance", "namespace_id").write.mode("overwrite").partitionBy("namespace_id").parquet(path)
     return seen.get["n"]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A5: scan; filters on namespace_id prune folders, others reach the Parquet reader."""
-    return spark.read.schema(PAGES).parquet(path).select("title", "namespace_id", "redirect_to", "body", "model")
+    """A5: scan of a page table, plain or versioned; filters on namespace_id prune folders, others reach the Parquet reader."""
+    pointer = versions.current(spark, path)
+    if pointer is not None:
+        return versions.read_parts(spark, path, pointer, PAGES)
+    return spark.read.schema(PAGES).parquet(path).select(*PAGE_COLUMNS)
 
 
 def write_title_report(pages: DataFrame, path: str) -> int:
