@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagesmith.functions.text import first_upper
 from pagesmith.operators.ingest import strip_main
 from pagesmith.operators.joins import skew_join
+from pagesmith.sources.tables import local_names
 
 PAGE_COLUMNS = ("redirect_to", "body", "model")
 ASKED = ["asked_title", "asked_ns"]
@@ -32,7 +33,7 @@ def _distinct_keys(requests: DataFrame) -> DataFrame:
 def candidates(keys: DataFrame, namespaces: DataFrame) -> DataFrame:
     """Requested keys with the titles to try, best first."""
     capital = F.col("canonical_name").isin("Template", "Module")
-    ns = namespaces.select(F.col("id").alias("asked_ns"), "canonical_name", F.col("name").alias("ns_name"))
+    ns = local_names(namespaces).select(F.col("id").alias("asked_ns"), "canonical_name", F.col("name").alias("ns_name"))
     clean = strip_main(F.replace(F.col("asked_title"), F.lit("_"), F.lit(" ")))
     keys = keys.select(*ASKED, clean.alias("wanted")).where(F.col("wanted") != "").join(ns, "asked_ns", "left")
     prefix = F.concat("ns_name", F.lit(":"))

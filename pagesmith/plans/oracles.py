@@ -76,6 +76,23 @@ def _body(**changed: str) -> str:
  CASE WHEN body IS NULL THEN false ELSE body <> {new} END AS changed FROM wiki"""
 
 
+def _changed(before: str, **pieces: str) -> str:
+    """A rewrite of pages whose bodies were first changed to ``before``."""
+    new = "concat(" + ", ".join(pieces.get(p, p) for p in PIECES) + ")"
+    return CTE + f"""SELECT title, namespace_id, CASE WHEN body IS NULL THEN NULL ELSE {new} END AS body,
+ CASE WHEN body IS NULL THEN false ELSE {before} <> {new} END AS changed FROM wiki"""
+
+
+def _retargeted() -> str:
+    new = lambda n, old, made: f"CASE WHEN {n} IS NULL THEN {old} ELSE {made} END"
+    pieces = {"p_link1": new("a.ord", "p_link1", "concat('[[Nuevo ', a.ord, '#s|siguiente]]')"),
+              "p_link2": new("b.ord", "p_link2", "concat(' [[Nuevo ', b.ord, ']] ')")}
+    made = ", ".join(pieces.get(p, p) for p in PIECES)
+    return CTE + f""", five AS (SELECT ord FROM wiki WHERE ord % 5 = 0),
+m AS (SELECT w.title, w.namespace_id, w.body, concat({made}) AS new_body FROM wiki w LEFT JOIN five a ON a.ord = w.ord + 1 LEFT JOIN five b ON b.ord = w.ord * 7 % 3000)
+SELECT title, namespace_id, CASE WHEN body IS NOT NULL THEN new_body END AS body, coalesce(body <> new_body, false) AS changed FROM m"""
+
+
 def _fixed_links(more: str = "''") -> str:
     """R7 with J5 by joins of its own: a redirect is followed once, to a page that is none.
 
@@ -241,6 +258,10 @@ _ROWS1 = "CAST(start AS INT) AS start"
 
 ORACLES: dict[str, str] = {
     "a1_read_dump": CTE + "SELECT title, ns, redirect, model, coalesce(text, '') AS text FROM raw_pages",
+    "a2_read_namespaces": CTE + """, spaces AS (SELECT *, 'es' AS lang, name AS local FROM namespaces UNION ALL SELECT *, 'xx', concat('X ', canonical_name) FROM namespaces)
+      SELECT title, namespace_id, lang, canonical_name, local AS name, CASE WHEN content AND id >= 0 THEN id + 1 END AS talk_id,
+      CASE WHEN NOT (content AND id >= 0) AND istalk THEN id - 1 END AS subject_id FROM wiki_pages JOIN spaces ON id = namespace_id""",
+    "a3_read_languages": CTE + "SELECT doc_id, code, name, CAST(l.ord - 1 AS INT) AS ord FROM documents JOIN languages l ON lang = code",
     "a3_lang_name": CTE + "SELECT doc_id, lang, name AS lang_name FROM documents LEFT JOIN languages ON lang = code",
     "a3_lang_code": CTE + """SELECT doc_id, l.name, i.code AS lang_code FROM documents LEFT JOIN languages l ON lang = l.code
       LEFT JOIN (SELECT name, arg_max(code, ord) AS code FROM languages GROUP BY name) i ON i.name = l.name""",
@@ -253,6 +274,8 @@ ORACLES: dict[str, str] = {
     "b2_content_model_filter": CTE + f"SELECT ord, title, model FROM raw_pages WHERE {_MODEL_OK}",
     "b3_split_redirect": CTE + _SPLIT,
     "b4_normalise_title": CTE + ", " + _TITLED.format(split=_SPLIT) + f" SELECT ord, {_NORM} AS title, namespace_id, model FROM titled",
+    "b4_normalise_title_of_language": CTE + ", spaces AS (SELECT id, concat('X ', canonical_name) AS name FROM namespaces), " + _TITLED.format(
+        split=_SPLIT).replace("LEFT JOIN namespaces n", "LEFT JOIN spaces n") + f" SELECT ord, {_NORM} AS title, namespace_id FROM titled",
     "b5_template_body": CTE + f"SELECT title, namespace_id, CASE WHEN k = 0 THEN {_TPL_BODY} ELSE body END AS body FROM wiki",
     "b6_upsert_pages": _upsert(_BATCH),
     "b6_upsert_hot_page": _upsert(""", batch AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN 'Doc 3' ELSE title END AS title,
@@ -358,6 +381,8 @@ ORACLES: dict[str, str] = {
     "t1_plain_text_switched_off": _text(**{p: s for p, s in _RENDERED.items() if p not in ("p_tpl", "p_uso", "p_incl", "p_ref", "p_html", "p_link1", "p_link2", "p_table", "p_amp")}),
     "t2_replacement_table": _text(**{**_RENDERED, "p_table": "p_table", "p_tpl": f"CASE WHEN {_ES} THEN '<es>' ELSE '<lengua>' END"}),
     "t2_replacement_function": _text(**{**_RENDERED, "p_table": "p_table", "p_tpl": "concat('[', length(p_tpl), ']')", "p_uso": "concat('[', length(p_uso) - 1, ']', chr(10))"}),
+    "t2_replacement_rows": _text(**{**_RENDERED, "p_table": "p_table", "p_tpl": f"CASE WHEN {_ES} THEN '<es>' ELSE '<lengua>' END"}),
+    "t2_table_function": _text(**{**_RENDERED, "p_table": "concat('[', length(p_table), ']')"}),
     "t3_table_text": CTE + f"SELECT title, namespace_id, {_CELL_START}, {_RENDERED['p_table']} AS text FROM live",
     "t4_unescape_entities": "SELECT url AS title, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g') AS text FROM pages",
     "t4_unescape_basic": CTE + "SELECT title, namespace_id, replace(body, '&amp;', '&') AS text FROM wiki_pages",
@@ -374,17 +399,29 @@ ORACLES: dict[str, str] = {
     "r2_set_arg_update": _body(p_tpl=f"CASE WHEN {_ES} THEN concat('{{{{ES|', source, '|n=', n_chars, '|n=nuevo}}}}') ELSE p_tpl END"),
     "r2_set_arg_append": _body(p_tpl=f"CASE WHEN {_ES} THEN concat(substr(p_tpl, 1, length(p_tpl) - 2), '|m=nuevo}}}}') ELSE p_tpl END"),
     "r2_set_arg_spacing": _body(p_tpl=f"CASE WHEN {_ES} THEN p_tpl ELSE concat(substr(p_tpl, 1, length(p_tpl) - 2), '|m=nuevo}}}}') END"),
+    "r2_set_arg_after": _body(p_tpl=f"CASE WHEN {_ES} THEN concat('{{{{ES|', source, '|m=nuevo', substr(p_tpl, 6 + length(source))) ELSE p_tpl END"),
+    "r2_set_arg_positional": _body(p_tpl=f"CASE WHEN {_ES} THEN concat('{{{{ES|', source, '|n=', n_chars, '|nuevo}}}}') ELSE p_tpl END"),
+    "r2_set_arg_many_rules": _body(p_tpl=f"CASE WHEN {_ES} THEN concat('{{{{ES|', source, '|n=', n_chars, '|n=nuevo}}}}') ELSE p_tpl END"),
+    "r1_rename_many": _body(p_tpl=_tpl(f"CASE WHEN {_ES} THEN 'lengua es' ELSE 'lengua' END")),
     "r2_set_arg_before": _body(p_tpl=f"CASE WHEN {_ES} THEN concat('{{{{ES|m=nuevo', substr(p_tpl, 5)) ELSE p_tpl END"),
     "r3_del_arg": _body(p_tpl=_tpl(rest="concat('|', source)")),
     "r4_rm_first_of_dup_args": _body(p_tpl=_tpl(rest=f"concat('|', source, '|n=', {_EQ})")),
     "r5_rm_dup_args_safe": _body(p_tpl=_tpl(rest="concat('|', source, '|n=', n_chars)")),
+    "r5_rm_dup_args_tag": _changed("replace(body, '|n=', '|n=a|n=')", p_tpl=_tpl(rest=
+        "concat('|', source, '|n=a<!-- dup -->|n=', n_chars, CASE WHEN ord % 2 = 0 THEN '' ELSE '<!-- dup -->|n=a' END)")),
+    "r6_edit_args_by_column": _body(p_uso="concat('{{Uso|{{etimología|k=v}}}}', chr(10))"),
     "r6_edit_args": _body(p_uso="concat('{{Uso|{{etimología|k=v}}}}', chr(10))"),
     "r7_edit_links": _body(p_link1="concat('[[Doc ', ord + 1, '#s|a Doc ', ord + 1, ']]')", p_link2="concat(' [[Doc ', ord * 7 % 3000, '|a Doc ', ord * 7 % 3000, ']] ')"),
+    "r7_edit_targets": _body(p_link2="concat(' [[BDoc ', ord * 7 % 3000, ']] ')"),
+    "r7_edit_titles": _body(p_link1="'[[T#s|siguiente]]'"),
+    "r7_delete_text": _body(p_link1="concat('[[Doc ', ord + 1, '#s]]')"),
+    "r7_retarget_links": _retargeted(),
     "r7_delete_fragment": _body(p_link1="concat('[[Doc ', ord + 1, '|siguiente]]')"),
     "r8_external_link_text": _body(p_ext="concat('[https://example.org/', ord, ' fuente]')"),
     "r8_external_link_url": _body(p_ext="concat('[https://example.org/', ord, '/x]')"),
     "r9_relevel_sections": _body(p_h1="CASE WHEN k = 0 THEN p_h1 ELSE concat('=== ', lang, ' ===', chr(10)) END", p_h2="concat('==== Ejemplo ====', chr(10))", p_h3="concat('=== Fin ===', chr(10))"),
     "r9_drop_titles": _body(p_h3="''"),
+    "r9_set_title": _body(p_h3="concat('== Final ==', chr(10))"),
     "r9_set_contents": _body(**{p: "''" for p in list(PIECES)[list(PIECES).index("p_quote") + 1: list(PIECES).index("p_h3")]}, p_quote="concat('nada', chr(10))"),
     "r10_convert_lists": _body(p_list2="concat(': tres', chr(10))"),
     "r11_rename_tags": _body(p_html="replace(p_html, 'small', 'big')"),
@@ -394,9 +431,12 @@ ORACLES: dict[str, str] = {
     "r12_set_table_attr": _body(p_table="replace(p_table, '{| class=\"t\"', '{| class=\"t\" id=\"t1\"')"),
     "r12_set_cell_attr": _body(p_table="""replace(replace(p_table, '! a !! b', '! class="c" | a !! class="c" | b'), 'colspan="2" |', 'colspan="2" class="c" |')"""),
     "r13_set_cell": _body(p_table="replace(p_table, concat('| colspan=\"2\" | ', n_chars), '| colspan=\"2\" | x')"),
+    "r13_set_caption_attrs": _changed("""CASE WHEN ord % 3 = 0 THEN body ELSE replace(body, '|+ ', '|+ id="c" | ') END""",
+        p_table="""CASE WHEN ord % 3 = 0 THEN p_table ELSE replace(p_table, '|+ ', '|+ class="k" | ') END"""),
     "r13_set_caption": _body(p_table="replace(p_table, concat('|+ ', source), '|+ nuevo')"),
     "r13_set_row_attrs": _body(p_table="replace(p_table, concat('|-', chr(10)), concat('|- class=\"r\"', chr(10)))"),
     "r14_rename_parameters": _body(p_param="'{{{q|d}}}'"),
+    "r14_delete_default": _body(p_param="'{{{p}}}'"),
     "r14_append_default": _body(p_param="concat('{{{p|{{{p3|', lang, '}}}}}}')"),
     "r15_strip_comments": _body(p_comment="''"),
     "r16_insert_at": CTE + """, n AS (SELECT title, namespace_id, body, CASE ord % 3 WHEN 0 THEN length(body) - 2 WHEN 1 THEN 5 ELSE least(999999, length(body)) END AS cutat FROM wiki_pages)

@@ -80,6 +80,35 @@ def a1_read_dump(spark, sf):
     return dump.read_dump(spark, write_dump(spark, sf) + "/*.bz2").drop("ord")
 
 
+def _namespace_files(spark, sf) -> str:
+    """Files of two languages, ``<lang>/namespaces.json``, written from the fixture's namespaces."""
+    folder = new_folder(spark, "languages")
+    for lang, name in (("es", F.col("name")), ("xx", F.concat(F.lit("X "), "canonical_name"))):
+        entry = F.struct("id", name.alias("name"), "content", F.array().cast("array<string>").alias("aliases"), "issubject", "istalk")
+        whole = F.to_json(F.map_from_entries(F.collect_list(F.struct("canonical_name", entry))))
+        names(spark, sf).agg(whole.alias("value")).coalesce(1).write.text(f"{folder}/{lang}/namespaces.json")
+    return folder
+
+
+@query
+def a2_read_namespaces(spark, sf):
+    """Every page with the names of its namespace in two languages."""
+    spaces = tables.read_namespaces(spark, _namespace_files(spark, sf))
+    named = spaces.select("lang", F.col("id").alias("namespace_id"), "canonical_name", "name", "talk_id", "subject_id")
+    return wiki(spark, sf).select(*KEY).join(named, "namespace_id")
+
+
+@query
+def a3_read_languages(spark, sf):
+    """Languages read from a file, and the documents in them."""
+    path = new_folder(spark, "codes")
+    listed = fixture.table(spark, sf, "languages").agg(F.to_json(F.map_from_entries(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "code", "name"))), lambda l: F.struct(l["code"], l["name"])))).alias("value"))
+    listed.coalesce(1).write.text(path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("code"))
+    return docs.join(tables.read_languages(spark, path), "code")
+
+
 @query
 def a3_lang_name(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -142,6 +171,14 @@ def b4_normalise_title(spark, sf):
     return B.normalise_title(pages, names(spark, sf)).select("ord", *KEY, "model")
 
 
+@query
+def b4_normalise_title_of_language(spark, sf):
+    """One of two languages of a namespace table."""
+    pages = B.split_redirect(fixture.table(spark, sf, "raw_pages"))
+    spaces = tables.read_namespaces(spark, _namespace_files(spark, sf))
+    return B.normalise_title(pages, spaces, "xx").select("ord", *KEY)
+
+
 @query
 def b5_template_body(spark, sf):
     return B.transclude_templates(wiki(spark, sf), names(spark, sf)).select(*KEY, "body")
@@ -629,6 +666,19 @@ def t2_replacement_function(spark, sf):
         F.lit("["), F.length(f["string"]).cast("string"), F.lit("]")))
 
 
+@query
+def t2_replacement_rows(spark, sf):
+    """Texts from a table: one name for every source, and the two of the fixture."""
+    pages = wiki(spark, sf)
+    rows = pages.select(F.explode(F.expr("array(named_struct('name', concat('Doc ', ord), 'text', 'x'), named_struct('name', 'ES', 'text', '<es>'), named_struct('name', 'lengua', 'text', '<lengua>'))")).alias("r"))
+    return T.plain_text(pages, replacements=rows.select("r.*").distinct(), replace_tables=False)
+
+
+@query
+def t2_table_function(spark, sf):
+    return T.plain_text(wiki(spark, sf), replace_tables=lambda t: F.concat(F.lit("["), F.length(t).cast("string"), F.lit("]")))
+
+
 @query
 def t3_table_text(spark, sf):
     return X.table_text(X.tables(wiki(spark, sf))).select(*KEY, F.col("start").alias("table_start"), "text")
@@ -714,6 +764,33 @@ def r2_set_arg_spacing(spark, sf):
     return _bodies(R.set_arg(pages, _rules(pages, "lengua", "m", "nuevo"), preserve_spacing=True))
 
 
+@query
+def r2_set_arg_after(spark, sf):
+    pages = wiki(spark, sf)
+    return _bodies(R.set_arg(pages, _rules(pages, "ES", "m", "nuevo"), after="1"))
+
+
+@query
+def r2_set_arg_positional(spark, sf):
+    pages = wiki(spark, sf)
+    return _bodies(R.set_arg(pages, _rules(pages, "ES", "n", "nuevo"), positional=True))
+
+
+@query
+def r2_set_arg_many_rules(spark, sf):
+    """More rules than ride along as a constant: one for a name per page, and the template of a third of them."""
+    pages = wiki(spark, sf)
+    many = pages.select(F.concat(F.lit("Doc "), "ord").alias("owner"), F.lit("n").alias("name"), F.lit("x").alias("value"))
+    return _bodies(R.set_arg(pages, many.unionByName(_rules(pages, "ES", "n", "nuevo"))))
+
+
+@query
+def r1_rename_many(spark, sf):
+    pages = wiki(spark, sf)
+    many = pages.select(F.concat(F.lit("Doc "), "ord").alias("name"), F.lit("x").alias("new"))
+    return _bodies(R.rename_template(pages, many.unionByName(pages.select(F.lit("ES").alias("name"), F.lit("lengua es").alias("new")).distinct())))
+
+
 @query
 def r2_set_arg_before(spark, sf):
     pages = wiki(spark, sf)
@@ -735,14 +812,49 @@ def r5_rm_dup_args_safe(spark, sf):
     return _bodies(R.rm_dup_args_safe(wiki(spark, sf)))
 
 
+@query
+def r5_rm_dup_args_tag(spark, sf):
+    """Duplicates that differ are tagged: every value has another one before it."""
+    pages = wiki(spark, sf).withColumn("body", F.replace(F.col("body"), F.lit("|n="), F.lit("|n=a|n=")))
+    return _bodies(R.rm_dup_args_safe(pages, tag="<!-- dup -->"))
+
+
 @query
 def r6_edit_args(spark, sf):
+    return _bodies(R.edit_args(wiki(spark, sf), new_name="k", new_value="v", where=lambda e: e["owner"] == "etimología"))
+
+
+@query
+def r6_edit_args_by_column(spark, sf):
     return _bodies(R.edit_args(wiki(spark, sf), new_name="k", new_value="v", where=F.col("owner") == "etimología"))
 
 
 @query
 def r7_edit_links(spark, sf):
-    return _bodies(R.edit_links(wiki(spark, sf), "text", F.concat(F.lit("a "), "link_title")))
+    return _bodies(R.edit_links(wiki(spark, sf), "text", lambda e: F.concat(F.lit("a "), e["link_title"])))
+
+
+@query
+def r7_edit_targets(spark, sf):
+    return _bodies(R.edit_links(wiki(spark, sf), "target", lambda e: F.concat(F.lit("B"), e["target"]), where=lambda e: e["text"].isNull()))
+
+
+@query
+def r7_edit_titles(spark, sf):
+    return _bodies(R.edit_links(wiki(spark, sf), "title", "T", where=lambda e: e["fragment"].isNotNull()))
+
+
+@query
+def r7_delete_text(spark, sf):
+    return _bodies(R.edit_links(wiki(spark, sf), "text", None))
+
+
+@query
+def r7_retarget_links(spark, sf):
+    """A rule for every fifth page."""
+    pages = wiki(spark, sf)
+    rules = pages.where("ord % 5 = 0").select(F.concat(F.lit("Doc "), "ord").alias("link_title"), F.concat(F.lit("Nuevo "), "ord").alias("new"))
+    return _bodies(R.retarget_links(pages, rules))
 
 
 @query
@@ -770,22 +882,27 @@ def r8_external_link_text(spark, sf):
 
 @query
 def r8_external_link_url(spark, sf):
-    return _bodies(R.edit_external_links(wiki(spark, sf), url=F.concat("url", F.lit("/x")), delete_text=True))
+    return _bodies(R.edit_external_links(wiki(spark, sf), url=lambda e: F.concat(e["url"], F.lit("/x")), delete_text=True))
 
 
 @query
 def r9_relevel_sections(spark, sf):
-    return _bodies(R.edit_section_titles(wiki(spark, sf), level=F.col("level") + 1))
+    return _bodies(R.edit_section_titles(wiki(spark, sf), level=lambda e: e["level"] + 1))
 
 
 @query
 def r9_drop_titles(spark, sf):
-    return _bodies(R.edit_section_titles(wiki(spark, sf), drop=True, where=F.trim("section_title") == "Fin"))
+    return _bodies(R.edit_section_titles(wiki(spark, sf), drop=True, where=lambda e: F.trim(e["section_title"]) == "Fin"))
 
 
 @query
 def r9_set_contents(spark, sf):
-    return _bodies(R.set_section_contents(wiki(spark, sf), "nada\n", F.trim("section_title") == "Ejemplo"))
+    return _bodies(R.set_section_contents(wiki(spark, sf), "nada\n", lambda e: F.trim(e["section_title"]) == "Ejemplo"))
+
+
+@query
+def r9_set_title(spark, sf):
+    return _bodies(R.set_section_title(wiki(spark, sf), " Final ", lambda e: F.trim(e["section_title"]) == "Fin"))
 
 
 @query
@@ -825,7 +942,15 @@ def r12_set_cell_attr(spark, sf):
 
 @query
 def r13_set_cell(spark, sf):
-    return _bodies(R.set_cell(wiki(spark, sf), " x", F.col("row") == 1))
+    return _bodies(R.set_cell(wiki(spark, sf), " x", lambda e: e["row"] == 1))
+
+
+@query
+def r13_set_caption_attrs(spark, sf):
+    """Captions get attributes first; those of a third of the pages stay without."""
+    with_attrs = F.replace(F.col("body"), F.lit("|+ "), F.lit('|+ id="c" | '))
+    pages = wiki(spark, sf).withColumn("body", F.when(F.col("ord") % 3 == 0, F.col("body")).otherwise(with_attrs))
+    return _bodies(R.set_caption_attrs(pages, ' class="k" '))
 
 
 @query
@@ -843,6 +968,11 @@ def r14_rename_parameters(spark, sf):
     return _bodies(R.edit_parameters(wiki(spark, sf), name="q", default="d"))
 
 
+@query
+def r14_delete_default(spark, sf):
+    return _bodies(R.edit_parameters(wiki(spark, sf), delete_default=True))
+
+
 @query
 def r14_append_default(spark, sf):
     return _bodies(R.append_default(wiki(spark, sf), "p3"))

@@ -14,7 +14,7 @@ def read_namespaces(spark: SparkSession, folder: str, lang: str = "*") -> DataFr
     """A2: ``<folder>/<lang>/namespaces.json`` to one row per namespace."""
     files = spark.read.text(f"{folder}/{lang}/namespaces.json", wholetext=True)
     entries = F.from_json("value", f"map<string,{NAMESPACE_ENTRY}>")
-    code = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/namespaces\.json$", 1)
+    code = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/namespaces\.json(?:/[^/]+)?$", 1)
     rows = files.select(code.alias("lang"), F.explode(entries).alias("canonical_name", "n"))
     return with_pairs(rows.select("lang", "canonical_name", "n.*"))
 
@@ -34,6 +34,27 @@ def subject_talk_pairs(namespaces: DataFrame) -> DataFrame:
     return n.withColumn("partner_id", F.coalesce("talk_id", "subject_id")).join(partner, [*by, "partner_id"], "left")
 
 
+def local_names(namespaces: DataFrame, lang: str | None = None) -> DataFrame:
+    """Namespaces of one language, each id once; an error where a page would meet two of them.
+
+    A table of several languages needs ``lang``.
+    """
+    if lang is not None:
+        namespaces = namespaces.where(F.col("lang") == lang)
+    n = F.count(F.lit(1))
+    twice = F.raise_error(F.concat(F.lit("namespace "), F.col("id").cast("string"), F.lit(" occurs more than once; name the language")))
+    rest = [c for c in ("canonical_name", "name") if c in namespaces.columns]
+    once = namespaces.groupBy("id").agg(*[F.first(c).alias(c) for c in rest], n.alias("n"))
+    return once.select(*[F.when(F.col("n") > 1, twice.cast(t)).otherwise(F.col(c)).alias(c) for c, t in once.select("id", *rest).dtypes])
+
+
+def read_languages(spark: SparkSession, path: str) -> DataFrame:
+    """A3: language table ``code, name, ord`` from a JSON object of codes and names, in its order."""
+    text = spark.read.text(path, wholetext=True)
+    entries = F.map_entries(F.from_json("value", "map<string,string>"))
+    return text.select(F.posexplode(entries).alias("ord", "e")).select("e.key", "e.value", "ord").toDF("code", "name", "ord")
+
+
 def lang_name(df: DataFrame, code: str, languages: DataFrame, out: str = "lang_name") -> DataFrame:
     """A3: language name of a code. ``languages`` is ``code, name, ord``."""
     return df.join(languages.select(F.col("code").alias(code), F.col("name").alias(out)), code, "left")
