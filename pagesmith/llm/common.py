@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -40,6 +41,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables nothing will read any more, and let go of finished shuffles.
+
+    Spark frees the shuffle files of a query when nothing refers to it; with many queries in a job that takes
+    a collection of the driver's memory.
+    """
+    for table in tables:
+        session = table.sparkSession
+        files = table.inputFiles()
+        if files:
+            path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        session.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: list[Column | str], sums: tuple[str, ...] = ()) -> DataFrame:
     """Rows with their number ``rn`` in a global order, from 0, without a global sort in one task.
 

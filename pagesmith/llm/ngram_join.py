@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from pagesmith.llm.common import stored, whole
+from pagesmith.llm.common import discard, stored, whole
 from pagesmith.llm.shingles import U, bitmap, set_class, shingle_sets
 
 PERCENT = 80
@@ -105,17 +105,34 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(s, U) for s in batch.column("s").cast(pa.large_binary()).to_pylist()]
+SLICE = 1 << 24
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of batches of about SLICE bytes of sets, and the sets as views of the batch's memory."""
+    for batch in batches:
+        column = batch.column("s").cast(pa.large_binary())
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            yield batch.slice(at, end - at), [data[ends[i] : ends[i + 1]].view(U) for i in range(at, end)]
+            at = end
 
 
 def frequent_shingles(sets: DataFrame, total: int) -> np.ndarray:
-    """Shingles among the lowest hash values that stand in more than ``total / HOT`` stored sets."""
+    """Shingles among the lowest hash values that stand in more than about ``total / HOT`` stored sets.
+
+    A slice of sets tells only of shingles it holds twice or more, so what stands once in a slice here and there
+    may be missed; that changes the work, not the result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [s[: np.searchsorted(s, LOW)] for s in _sets(batch)]
-            tokens, n = np.unique(np.concatenate(low or [np.zeros(0, U)]), return_counts=True)
+        for _, part in _slices(batches):
+            low = [s[: np.searchsorted(s, LOW)] for s in part]
+            tokens, n = np.unique(np.concatenate(low), return_counts=True)
+            tokens, n = tokens[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     counts = sets.select("s").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -129,19 +146,17 @@ def prefixes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        for batch in batches:
+        for batch, part in _slices(batches):
             tokens, reps, sizes = [], [], []
-            for s in _sets(batch):
+            for s in part:
                 need = len(s) + -(-PERCENT * len(s) // 100) * -1 + 1
                 if len(last):
                     at = np.searchsorted(last, s)
                     late = last[np.minimum(at, len(last) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
-                tokens.append(s[:need])
+                tokens.append(s[:need].copy())
                 reps.append(need)
                 sizes.append(len(s))
-            if not reps:
-                continue
             cs = batch.column("c").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(cs, reps)),
@@ -189,9 +204,9 @@ def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
     sends = stored(dealt.select("a", "part", F.col("b").alias("c")).union(hubs.select("a", "part", F.col("a").alias("c"))))
-    needed = sends.select("c").distinct()
+    needed = stored(sends.select("c").distinct())
 
-    sets = sets.join(small(stored(needed)), "c", "left_semi")
+    sets = sets.join(small(needed), "c", "left_semi")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         hub = key[0].item() if hasattr(key[0], "item") else key[0]
@@ -209,7 +224,9 @@ def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                     found.append(c)
         return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(found, np.int64)})
 
-    return stored(sets.join(small(sends), "c").groupBy("a", "part").applyInPandas(compare, "a long, b long"))
+    found = stored(sets.join(small(sends), "c").groupBy("a", "part").applyInPandas(compare, "a long, b long"))
+    discard(pairs, sends, needed)
+    return found
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -218,7 +235,7 @@ def contract(edges: DataFrame) -> DataFrame:
     Alternates large and small stars until nothing changes.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
+    before, old = None, []
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -231,9 +248,11 @@ def contract(edges: DataFrame) -> DataFrame:
             .filter("a <> b").distinct()
         )
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
+        for table in old:
+            discard(table)
         if now == before:
             return edges
-        before = now
+        before, old = now, [edges]
 
 
 def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -343,14 +362,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = contract(linked(sets, bounded(pairs, sketches)))
     members, before, turn = members.select("token", "c", "size"), None, 0
     while True:
-        members = open_tiles(with_root(members, roots))
+        opened = open_tiles(with_root(members, roots))
+        discard(members)
+        members = opened
         work = pair_work(members)
         if work <= LINEAR * members.count() or (before is not None and work > SLOW * before):
             break
         before, turn = work, turn + 1
-        roots = contract(roots.union(linked(sets, bounded(star_pairs(members, turn), sketches))))
-        members = members.drop("root")
-    roots = contract(roots.union(linked(sets, tile_pairs(members, sketches))))
+        found = linked(sets, bounded(star_pairs(members, turn), sketches))
+        joined = contract(roots.union(found))
+        discard(roots, found)
+        roots, members = joined, members.drop("root")
+    found = linked(sets, tile_pairs(members, sketches))
+    joined = contract(roots.union(found))
+    discard(roots, found, members)
+    roots = joined
     rooted = with_root(own.select("id", "c", F.col("size").alias("n_shingles")), roots)
     least = rooted.groupBy("root").agg(F.min("id").alias("_least"))
     return rooted.join(least, "root").select(
@@ -365,7 +391,9 @@ def open_tiles(placed: DataFrame) -> DataFrame:
     kept = placed.groupBy("token").agg(
         F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("_sum")
     ).filter("_lo < _hi").dropDuplicates(["_n", "_lo", "_hi", "_sum"]).select("token")
-    return stored(placed.join(kept, "token", "left_semi"))
+    opened = stored(placed.join(kept, "token", "left_semi"))
+    discard(placed)
+    return opened
 
 
 def pair_work(members: DataFrame) -> float:
