@@ -6,7 +6,7 @@ import gc
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesmith.session import shared_folder
@@ -41,21 +41,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of ``stored`` tables nothing will read any more, and let go of finished shuffles.
+def release(session: SparkSession) -> None:
+    """Let go of finished shuffles.
 
-    Spark frees the shuffle files of a query when nothing refers to it; with many queries in a job that takes
-    a collection of the driver's memory.
+    Spark deletes the shuffle files of a query when nothing in the driver refers to it any more, which only a
+    collection of its memory finds out; in a job of many queries that comes too late by itself.
     """
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables nothing will read any more, and release finished shuffles."""
     for table in tables:
         session = table.sparkSession
         files = table.inputFiles()
         if files:
             path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:
-        session.sparkContext._jvm.System.gc()
+    release(tables[0].sparkSession)
 
 
 def numbered(df: DataFrame, order: list[Column | str], sums: tuple[str, ...] = ()) -> DataFrame:

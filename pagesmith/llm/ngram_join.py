@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from pagesmith.llm.common import discard, stored, whole
+from pagesmith.llm.common import discard, release, stored, whole
 from pagesmith.llm.shingles import U, bitmap, set_class, shingle_sets
 
 PERCENT = 80
@@ -356,10 +356,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min("c").alias("first"), F.max("c").alias("_last"), F.min_by("size", "c").alias("first_size")
     ).filter("first < _last").drop("_last")
     members = stored(found.join(tiles, "token"))
+    del found, tiles  # with them goes the shuffle of all prefixes
+    release(docs.sparkSession)
     pairs = members.filter((F.col("c") != F.col("first")) & size_fits("size", "first_size")).select(
         F.col("first").alias("a"), F.col("c").alias("b"), F.col("first_size").alias("sa"), F.col("size").alias("sb")
     ).distinct()
-    roots = contract(linked(sets, bounded(pairs, sketches)))
+    found = linked(sets, bounded(pairs, sketches))
+    roots = contract(found)
+    del pairs
+    discard(found)
     members, before, turn = members.select("token", "c", "size"), None, 0
     while True:
         opened = open_tiles(with_root(members, roots))
