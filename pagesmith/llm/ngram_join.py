@@ -49,7 +49,8 @@ SMALL = 2_000_000
 LOW = U(1 << 62)
 BLOCK = 2048
 FEW = 16
-ELEMENTS = 2_000_000
+ELEMENTS = 500_000
+SLICE = 1 << 22
 LINEAR = 8
 SLOW = 0.75
 
@@ -80,11 +81,11 @@ def shingled(docs: DataFrame) -> DataFrame:
                     [ids.slice(at, len(cs)), pa.array(cs, pa.int64()), pa.array(sizes, pa.int64()), _binary(bits), _binary(sets)], names
                 )
 
-            for s in shingle_sets(_texts(batch)):
+            for s in (s for i in range(0, len(ids), 500) for s in shingle_sets(_texts(batch.slice(i, 500)))):
                 c = set_class(s)
                 new = len(s) > 0 and c not in seen
                 if new:
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(c)
                     held += s.nbytes
@@ -92,7 +93,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 bits.append(bitmap(s) if new else None)
                 sets.append(s.tobytes() if new else None)
-                if held > 1 << 24:
+                if held > SLICE:
                     yield part()
                     at, held = at + len(cs), 0
                     cs, sizes, bits, sets = [], [], [], []
@@ -105,9 +106,6 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-SLICE = 1 << 24
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of batches of about SLICE bytes of sets, and the sets as views of the batch's memory."""
     for batch in batches:
