@@ -34,11 +34,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+# Spark deletes the shuffle files of a query at its end, not when the driver's memory is next collected.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read again: cuts lineage, has a known size."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table written to the shared folder and read again: cuts lineage, has a known size, keeps no shuffle."""
+    session = df.sparkSession
+    path = f"{shared_folder(session)}/llm-{uuid4().hex}"
+    before = session.conf.get(CLEAN)
+    session.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        session.conf.set(CLEAN, before)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def release(session: SparkSession) -> None:
