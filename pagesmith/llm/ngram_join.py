@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from pagesmith.llm.common import discard, release, stored, whole
+from pagesmith.llm.common import discard, stored, whole
 from pagesmith.llm.shingles import U, bitmap, set_class, shingle_sets
 
 PERCENT = 80
@@ -344,8 +344,9 @@ def tile_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every document."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    own = stored(shingled(docs))
-    sets = own.filter("s is not null").select("c", "size", "bits", "s")
+    whole_sets = stored(shingled(docs))
+    own = stored(whole_sets.select("id", "c", "size"))
+    sets = whole_sets.filter("s is not null").select("c", "size", "bits", "s")
     total = sets.agg(F.sum("size")).first()[0] or 0
     sketches = sets.groupBy("c").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     sets = sets.select("c", "s")
@@ -355,7 +356,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).filter("first < _last").drop("_last")
     members = stored(found.join(tiles, "token"))
     del found, tiles  # with them goes the shuffle of all prefixes
-    release(docs.sparkSession)
+    # Only classes that share a prefix shingle with another class are compared from here on.
+    met = stored(members.select("c").distinct())
+    sketches = stored(sketches.join(small(met), "c", "left_semi"))
+    sets = stored(sets.join(small(met), "c", "left_semi"))
+    discard(whole_sets, met)
     pairs = members.filter((F.col("c") != F.col("first")) & size_fits("size", "first_size")).select(
         F.col("first").alias("a"), F.col("c").alias("b"), F.col("first_size").alias("sa"), F.col("size").alias("sb")
     ).distinct()
