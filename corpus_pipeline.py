@@ -9,6 +9,7 @@ SQL; the tests hold the stages against brute force.
 
 from __future__ import annotations
 
+from functools import wraps
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +26,45 @@ def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
+KNOWN = ("doc_id", "text", "source", "n_chars")
+
+
+def apart(stage):
+    """The stage on the columns it knows, all others in one struct, so that no name of theirs meets one of its own.
+
+    Null, empty and repeated rows, and empty tables, are as the stage's operator has them; see its module.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = [c for c in docs.columns if c in KNOWN]
+        others = [F.col(f"`{c}`") for c in docs.columns if c not in KNOWN]
+        packed = docs.select(*held, F.struct(*others).alias("_others")) if others else docs
+        out = stage(spark, packed, sf_dir)
+        return out.select(*[F.col(c) if c in KNOWN else F.col("_others").getField(c).alias(c) for c in docs.columns])
+
+    return run
+
+
+@apart
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that many documents of a source share; documents that fail the rules go."""
     return sized(quality.clean(docs), docs.columns)
 
 
+@apart
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without later copies of repeated runs of lines."""
     return sized(line_dedup.dedup_lines(docs), docs.columns)
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return ngram_join.keep_one(docs)
 
 
+@apart
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document as often as the mix takes its words, rounded up."""
     taken = mixing.mix_rows(docs)
@@ -47,6 +75,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and batches; the columns of the packing operator."""
     return packing.pack(docs)
 
 
