@@ -137,11 +137,11 @@ def resolve_redirects(
     return _answer(requests, keys, _with_columns(direct.unionByName(resolved), pages, columns))
 
 
-def redirect_targets(titles: DataFrame, pages: DataFrame) -> DataFrame:
+def redirect_targets(titles: DataFrame, pages: DataFrame, unresolved: bool = False) -> DataFrame:
     """J5 for the titles of links: ``link_title, new`` for every redirect that resolves, in any namespace.
 
-    ``titles`` has each ``link_title`` once. Missing pages, redirects to missing pages and double
-    redirects have no row.
+    ``titles`` has each ``link_title`` once. Missing pages have no row. Redirects to missing pages and double
+    redirects have none either; with ``unresolved`` they have the title they name.
     """
     nowhere = F.lit(None).cast("int")
     none = pages.sparkSession.createDataFrame([], "id int, canonical_name string, name string")
@@ -150,4 +150,7 @@ def redirect_targets(titles: DataFrame, pages: DataFrame) -> DataFrame:
     targets = hops.select(F.col("redirect_to").alias("asked_title"), nowhere.alias("asked_ns")).distinct()
     second = _find(targets, pages, none, no_redirect=True).select(
         F.col("asked_title").alias("redirect_to"), F.col("found_title").alias("new"))
+    if unresolved:
+        named = targets.select(F.col("asked_title").alias("redirect_to"))
+        second = named.join(second, "redirect_to", "left").withColumn("new", F.coalesce("new", "redirect_to"))
     return skew_join(hops, second, ["redirect_to"], ["asked_title"]).select(F.col("asked_title").alias("link_title"), "new")

@@ -409,16 +409,17 @@ def retarget_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
     return _retargeted(pages, _narrow_links(pages), once)
 
 
-def fix_redirect_links(pages: DataFrame) -> DataFrame:
+def fix_redirect_links(pages: DataFrame, unresolved: bool = False) -> DataFrame:
     """R7 with J5: links to a redirect point to the page it resolves to.
 
     Titles are looked up as J1 does (underscores are blanks, ``Main:`` goes), in any namespace. A link to
-    a missing page, to a redirect without target page or to a double redirect stays as it is, as does
-    one whose target is no redirect. Each distinct title is looked up once.
+    a missing page stays as it is, as does one whose target is no redirect. One to a redirect without target
+    page or to a double redirect does too; with ``unresolved`` it moves one hop, to the title the redirect names.
+    Each distinct title is looked up once.
     """
     links = _narrow_links(pages)
     titles = links.select("link_title").distinct()
-    return _retargeted(pages, links, redirect_targets(titles, pages))
+    return _retargeted(pages, links, redirect_targets(titles, pages, unresolved))
 
 
 def edit_external_links(pages: DataFrame, url=None, text=None, delete_text: bool = False, where=None) -> DataFrame:

@@ -864,7 +864,8 @@ def r7_delete_fragment(spark, sf):
 
 @query
 def r7_fix_redirect_links(spark, sf):
-    return _bodies(R.fix_redirect_links(wiki(spark, sf)))
+    """Links to double redirects and to redirects without target page move too."""
+    return _bodies(R.fix_redirect_links(wiki(spark, sf), unresolved=True))
 
 
 @query

@@ -34,6 +34,14 @@ def test_safe_duplicates(pages):
     assert bodies(R.rm_dup_args_safe(df, "T"))[:2] == ["{{a|x=1T|x=2}}", "{{a|x=1T|x=2}}"]
 
 
+def test_links_to_redirects_that_do_not_resolve_move_one_hop(spark):
+    rows = [("p0", 0, None, "[[a]] [[b]] [[c#x|y]] [[d]] [[p0]]"), ("a", 0, "p0", None), ("b", 0, "a", None), ("c", 0, "gone", None)]
+    wiki = spark.createDataFrame(rows, "title string, namespace_id int, redirect_to string, body string")
+    fixed = lambda **how: R.fix_redirect_links(wiki, **how).where("title = 'p0'").first().body
+    assert fixed() == "[[p0]] [[b]] [[c#x|y]] [[d]] [[p0]]"
+    assert fixed(unresolved=True) == "[[p0]] [[a]] [[gone#x|y]] [[d]] [[p0]]"
+
+
 def test_set_arg(spark, pages):
     rule = spark.createDataFrame([("a", "x", "9")], "owner string, name string, value string")
     df = pages("{{a|x=1|y=2}}", "{{a|y=2|z}}", "{{a}}", "{{b|x=1}}")
