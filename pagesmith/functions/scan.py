@@ -9,8 +9,9 @@
 * ``quotes_in``      - apostrophe balancing of bold and italic, line by line.
 
 All offsets are code points, as in Spark's ``length`` and ``substring``. Spark
-partitions and shuffles the pages; a helper only ever sees one page's text. All are
-deterministic, so filters on other columns pass below them to the scan of the table;
+partitions and shuffles the pages; a helper only ever sees one page's text. Spark hands over
+up to 10,000 pages at once, of which ``SLICE`` bytes at a time become Python objects; what is as
+long as the text is handed back slice by slice. All are deterministic, so filters on other columns pass below them to the scan of the table;
 ``bound`` keeps what several expressions use a column of its own.
 """
 
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -56,6 +58,44 @@ def _structs(**fields):
     return T.ArrayType(T.StructType([T.StructField(k, t()) for k, t in fields.items()]))
 
 
+# Arrow bytes that become Python objects at a time; these take many times as much.
+SLICE = 1 << 20
+
+
+def slices(arrays: Sequence[pa.Array]) -> Iterator[list[pa.Array]]:
+    """Rows of arrays of equal length, about SLICE bytes at a time; of no rows one empty slice."""
+    rows = len(arrays[0])
+    step = max(1, rows * SLICE // max(1, sum(a.nbytes for a in arrays)))
+    for at in range(0, max(1, rows), step):
+        yield [a.slice(at, step) for a in arrays]
+
+
+def sliced(made: Callable) -> Callable:
+    """A function of arrays that sees a slice at a time."""
+
+    @wraps(made)
+    def run(*arrays):
+        return pa.concat_arrays([made(*part) for part in slices(arrays)])
+
+    return run
+
+
+def streamed(type_: T.DataType, made: Callable) -> Callable:
+    """Arrow UDF of a function of arrays that sees a slice at a time and gives its result back at once."""
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in slices([batch]):
+                yield made(*part)
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in slices(batch):
+                yield made(*part)
+
+    return lambda *columns: F.arrow_udf(one if len(columns) == 1 else several, type_)(*columns)
+
+
 MARKS = ("opening", "split", "anchor", "closing")
 _SPAN_TYPES = {"string": T.StringType, "mask": T.StringType} | dict.fromkeys(MARKS, T.IntegerType)
 QUOTES_TYPE = _structs(kind=T.StringType, start=T.IntegerType, end=T.IntegerType, string=T.StringType, text=T.StringType)
@@ -89,7 +129,6 @@ def scan_elements(
     types = {"kind": T.StringType, "start": T.IntegerType, "end": T.IntegerType} | {f: _SPAN_TYPES[f] for f in fields}
     masked = () if "mask" not in fields else kinds if masked is None else tuple(masked)
 
-    @F.arrow_udf(_structs(**types))
     def run(body: pa.Array) -> pa.Array:
         counts, columns = [], {name: [] for name in types}
         for text in body.to_pylist():
@@ -110,7 +149,7 @@ def scan_elements(
         arrays = [pa.array(v, pa.string() if types[n] is T.StringType else pa.int32()) for n, v in columns.items()]
         return _nested(counts, list(columns), arrays)
 
-    return run(body)
+    return streamed(_structs(**types), run)(body)
 
 
 def _find(compiled, rows, groups, each=False) -> pa.Array:
@@ -173,6 +212,7 @@ def match_positions(patterns, text, mask=None, groups: bool = True):
     compiled = _compile(patterns)
 
     @F.arrow_udf(MATCHES_TYPE)
+    @sliced
     def run(text: pa.Array, mask: pa.Array) -> pa.Array:
         return _find(compiled, [[(0, t, m)] for t, m in zip(text.to_pylist(), mask.to_pylist())], groups)
 
@@ -187,6 +227,7 @@ def match_in(patterns, items, groups: bool = True):
     compiled = _compile(patterns)
 
     @F.arrow_udf(MATCHES_TYPE)
+    @sliced
     def run(items: pa.Array) -> pa.Array:
         return _find(compiled, _rows_of(items), groups)
 
@@ -198,6 +239,7 @@ def match_each(patterns, items):
     compiled = _compile(patterns)
 
     @F.arrow_udf(T.ArrayType(MATCHES_TYPE))
+    @sliced
     def run(items: pa.Array) -> pa.Array:
         return _find(compiled, _rows_of(items), True, True)
 
@@ -255,6 +297,7 @@ def arguments_of(base, text, mask, is_function):
 
 
 @F.arrow_udf(T.ArrayType(ARGUMENTS_TYPE))
+@sliced
 def _arguments_in(owners: pa.Array) -> pa.Array:
     per_owner, rows = [], []
     flat = owners.flatten()
@@ -297,7 +340,6 @@ def sections_of(body, headings, nested: bool):
     With ``nested`` a section reaches over its subsections, else it ends at the next heading.
     """
 
-    @F.arrow_udf(SECTIONS_TYPE)
     def run(body: pa.Array, headings: pa.Array) -> pa.Array:
         counts, rows = [], []
         for text, found in zip(body.to_pylist(), headings.to_pylist()):
@@ -315,7 +357,7 @@ def sections_of(body, headings, nested: bool):
         types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
         return _nested(counts, [f.name for f in SECTIONS_TYPE.elementType], [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)])
 
-    return run(body, headings)
+    return streamed(SECTIONS_TYPE, run)(body, headings)
 
 
 SEGMENTS_TYPE = _structs(kind=T.StringType, start=T.IntegerType, end=T.IntegerType, string=T.StringType)
@@ -339,8 +381,7 @@ def top_segments(elements, length):
     return out
 
 
-@F.arrow_udf(SEGMENTS_TYPE)
-def segments_of(body: pa.Array, elements: pa.Array) -> pa.Array:
+def _segments_of(body: pa.Array, elements: pa.Array) -> pa.Array:
     """Top-level segments of an array<struct<kind,start,end,..>> in document order."""
     counts, rows = [], []
     for text, found in zip(body.to_pylist(), elements.to_pylist()):
@@ -354,6 +395,9 @@ def segments_of(body: pa.Array, elements: pa.Array) -> pa.Array:
     return _nested(counts, ["kind", "start", "end", "string"], [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)])
 
 
+segments_of = streamed(SEGMENTS_TYPE, _segments_of)
+
+
 def splice_text(text, edits, lo, hi):
     """text[lo:hi] with the sorted edits applied, clipped to that range."""
     parts, pos = [], lo
@@ -370,8 +414,7 @@ def splice_text(text, edits, lo, hi):
     return "".join(parts) + text[pos:hi]
 
 
-@F.arrow_udf(T.StringType())
-def splice(body: pa.Array, edits: pa.Array) -> pa.Array:
+def _splice(body: pa.Array, edits: pa.Array) -> pa.Array:
     """Replace [start, end) by new for each struct<start,end,..,new,merge> of a sorted array.
 
     An edit that starts inside an earlier one is skipped; with ``merge`` it still
@@ -381,7 +424,11 @@ def splice(body: pa.Array, edits: pa.Array) -> pa.Array:
     return pa.array([t if t is None or not e else splice_text(t, e, 0, len(t)) for t, e in pairs], pa.string())
 
 
+splice = streamed(T.StringType(), _splice)
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@sliced
 def splice_parts(body: pa.Array, bounds: pa.Array, edits: pa.Array) -> pa.Array:
     """The spliced text of every struct<start,end> of ``bounds``."""
     return pa.array(
@@ -394,6 +441,7 @@ def splice_parts(body: pa.Array, bounds: pa.Array, edits: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@sliced
 def cut_spans(body: pa.Array, spans: pa.Array) -> pa.Array:
     """body[start:end] of every struct<start,end,..> of an array."""
     return pa.array(
@@ -464,6 +512,7 @@ def _demote_bold(line, bolds):
 
 
 @F.arrow_udf(QUOTES_TYPE)
+@sliced
 def quotes_in(items: pa.Array) -> pa.Array:
     """Bold and italic text of all texts of an array<struct<base,text,mask>>, as page positions."""
     counts, flat = [], []
@@ -482,6 +531,7 @@ def table_layout(cells, expand):
     """array<struct<row,rows,col,cols,cell>> from array<struct<is_break,colspan,rowspan>>."""
 
     @F.arrow_udf(LAYOUT_TYPE)
+    @sliced
     def run(cells: pa.Array) -> pa.Array:
         layouts = [table_rectangles(c, expand) if c else [] for c in cells.to_pylist()]
         flat = [r for layout in layouts for r in layout]
@@ -492,6 +542,7 @@ def table_layout(cells, expand):
 
 
 @F.arrow_udf(T.ArrayType(LAYOUT_TYPE))
+@sliced
 def plain_layouts(tables: pa.Array) -> pa.Array:
     """Layouts without spans of an array<array<struct<is_break,..>>>, one per table."""
     per_row, per_table, flat = [], [], []
@@ -506,13 +557,13 @@ def plain_layouts(tables: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StringType())
+@sliced
 def table_texts(text: pa.Array, mask: pa.Array) -> pa.Array:
     """Plain text of a table from its text and mask."""
     return pa.array([None if t is None else table_text_of(t, m) for t, m in zip(text.to_pylist(), mask.to_pylist())], pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def plain_pages(body: pa.Array, tables: pa.Array, edits: pa.Array) -> pa.Array:
+def _plain_pages(body: pa.Array, tables: pa.Array, edits: pa.Array) -> pa.Array:
     """Bodies with their edits applied and their outer tables, array<struct<start,end>>, as plain text.
 
     What the edits leave of a table is scanned again, as markup inside it is gone.
@@ -534,3 +585,6 @@ def plain_pages(body: pa.Array, tables: pa.Array, edits: pa.Array) -> pa.Array:
         parts.append(splice_text(text, changes or [], at, len(text)))
         out.append("".join(parts))
     return pa.array(out, pa.string())
+
+
+plain_pages = streamed(T.StringType(), _plain_pages)

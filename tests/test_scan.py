@@ -3,10 +3,12 @@
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pagesmith.functions import scan
 from pagesmith.functions.scan import quote_runs_of, scan_page, splice_text, table_layout_of
 
 
@@ -158,3 +160,29 @@ def test_stray_quotes_and_open_tags_stay_cheap():
         start = time.perf_counter()
         scan_page(body)
         assert time.perf_counter() - start < 5
+
+
+def test_few_pages_at_a_time_become_python_objects(spark):
+    """A batch of many pages is cut by its bytes, whether the result comes back in one piece or in several."""
+    rows = spark.range(4000, numPartitions=1).selectExpr("id", "CASE WHEN id % 7 > 0 THEN repeat('x', 2000) END AS body", "id AS n")
+    sizes = lambda *arrays: pa.array([sum(a.nbytes for a in arrays)] * len(arrays[0]), pa.int64())
+
+    @scan.F.arrow_udf("long")
+    @scan.sliced
+    def whole(body: pa.Array, n: pa.Array) -> pa.Array:
+        return sizes(body, n)
+
+    for seen in (whole("body", "n"), scan.streamed(scan.T.LongType(), sizes)("body", "n"), scan.streamed(scan.T.LongType(), sizes)("body")):
+        got = rows.select("id", seen.alias("seen")).collect()
+        assert [r.id for r in got] == list(range(4000)) and max(r.seen for r in got) < 2 * scan.SLICE
+
+
+def test_scan_of_many_pages_keeps_their_order(spark):
+    texts = [None if i % 5 == 0 else "" if i % 5 == 1 else f"{{{{t{i}|[[l{i}]]}}}}" + "z" * (i % 4000) for i in range(1500)]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string").coalesce(1)
+    got = pages.select("i", "body", scan.scan_elements("body", ("Template", "WikiLink"), ("string",)).alias("found")).select(
+        "i", "found", scan.splice("body", scan.F.expr("transform(found, f -> struct(f.start AS start, f.end AS end, 'n' AS new, false AS merge))")).alias("new")).collect()
+    for r in got:
+        t = texts[r.i]
+        assert [f.string for f in r.found] == ([] if not t else [f"{{{{t{r.i}|[[l{r.i}]]}}}}", f"[[l{r.i}]]"])
+        assert r.new == (t if not t else "n" + "z" * (r.i % 4000))
