@@ -329,6 +329,26 @@ def test_lm_bits_are_a_distribution():
     assert 10 ** mixer.score(lm.segments(codes, index, texts), len(texts)).sum(0) @ np.ones(len(texts)) <= 1
 
 
+def test_lm_is_fitted_on_all_training_texts(spark):
+    """Weights and refinement are those of sums over every text, however many there are and wherever they lie."""
+    texts = [f"w{i % 7} w{i % 11} " + "yes no " * (i % 3) for i in range(2500)]
+    tokens = [lm.tokens_of(t) for t in texts]
+    counts = {}
+    for t in (t for x in tokens for t in x):
+        counts[t] = counts.get(t, 0) + 1
+    index = {t: i + 1 for i, t in enumerate(sorted(counts))}
+    codes = lm.Codes([1, *(counts[t] for t in sorted(counts))])
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    slots = lm.slot_counts(training, codes, index)
+    got = lm.fitted(training, codes, index, lm.Mixer(*slots))
+    mixer = lm.Mixer(*slots)
+    for _ in range(lm.ROUNDS):
+        mixer.step(sum(mixer.slopes(s) for s in lm.segments(codes, index, tokens)))
+    seen, ones = sum(mixer.outcomes(s) for s in lm.segments(codes, index, tokens)).reshape(2, 2, lm.STEPS)
+    assert np.allclose(got.weights, mixer.weights, atol=1e-4) and seen.sum() == sum(len(s.bit) for s in lm.segments(codes, index, tokens))
+    assert np.allclose(got.table, (4 * lm.Mixer(*slots).table + ones) / (4 + seen), atol=0.01)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     """A chain of words, where the word before tells most of the next; some words are rare."""
     rnd = random.Random(5)
