@@ -102,5 +102,10 @@ def set_class(hashes: np.ndarray) -> int:
 
 
 def bitmap(hashes: np.ndarray, bits: int = 1024) -> bytes:
-    """The parity of the set's elements per hashed position."""
+    """The parity of the set's elements per hashed position.
+
+    There are ``bits`` positions, doubled until they are as many as the elements; adding the halves of a bitmap
+    gives that of half the positions.
+    """
+    bits = max(bits, 1 << max(0, len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes % U(bits)).astype(np.int64), minlength=bits) & 1).tobytes()

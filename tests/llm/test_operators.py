@@ -14,6 +14,7 @@ import pytest
 from pagesmith.llm import (
     fingerprint, line_dedup, lm, mixing, ngram_join, packing, quality, secret_scan, sharding, url_filter,
 )
+from pagesmith.llm.shingles import bitmap
 
 SCHEMA = "doc_id long, text string, source string, size long, rn long, bucket string, _row string"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -240,6 +241,39 @@ def test_large_tiles_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(map(str, ngram_join.components(docs).collect())) == plain
 
 
+def test_ngram_join_bound_tells_large_sets_apart():
+    rnd = np.random.default_rng(3)
+    for n in (300, 1500, 6000, 20000):
+        x, y = (np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(2))
+        near = np.unique(np.concatenate([x[: n * 19 // 20], y[: n // 50]]))
+        a, b, c = ngram_join._bits([bitmap(x), bitmap(y), bitmap(near)])
+        size = lambda z: np.array([len(z)])
+        assert ngram_join.within_bound(size(x), size(near), a[None], c[None]).all()
+        assert not ngram_join.within_bound(size(x), size(y), a[None], b[None]).any()
+    # a longer bitmap is folded to the width of the shorter
+    assert (ngram_join._bits([bitmap(x), bitmap(x[:100], 1024)])[0] == ngram_join._bits([np.packbits(
+        np.bincount((x % np.uint64(1024)).astype(int), minlength=1024) & 1).tobytes()])[0]).all()
+
+
+def test_ngram_join_sends_sets_in_rounds(spark, monkeypatch):
+    """Near copies of one long text spread over tasks: a round sends the sets of about ROUND elements, results stay."""
+    texts = [" ".join(f"w{j}" for j in range(i, 600 + i)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string").repartition(4)
+    plain = sorted(map(str, ngram_join.components(docs).collect()))
+    sent, compared = [], ngram_join.compared
+
+    def spy(sets, homes, sends):
+        sent.append(sends.count())
+        return compared(sets, homes, sends)
+
+    monkeypatch.setattr(ngram_join, "compared", spy)
+    monkeypatch.setattr(ngram_join, "ELEMENTS", 600)
+    monkeypatch.setattr(ngram_join, "ROUND", 4000)
+    assert sorted(map(str, ngram_join.components(docs).collect())) == plain
+    assert len(sent) > 2 and max(sent) <= 14
+    assert {r["component_id"] for r in ngram_join.components(docs).collect()} == {0}
+
+
 def test_fingerprint(docs, rows):
     got = fingerprint.fingerprint_edits(docs).collect()
     assert len(got) == len(rows)
