@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 U = np.uint64
-PIECE = 1 << 21
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
