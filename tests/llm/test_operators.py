@@ -255,6 +255,17 @@ def test_ngram_join_bound_tells_large_sets_apart():
         np.bincount((x % np.uint64(1024)).astype(int), minlength=1024) & 1).tobytes()])[0]).all()
 
 
+def test_ngram_join_names_a_pair_in_one_tile(spark):
+    """Forty classes that share three tiles, none linked yet: every pair comes from the first tile only."""
+    tokens = {0: range(40), 5: range(40), 9: range(10, 40), 11: range(5)}
+    members = spark.createDataFrame([(t, c, 100, c) for t, cs in tokens.items() for c in cs], "token long, c long, size long, root long")
+    sketches = spark.createDataFrame([(c, bytearray(128)) for c in range(40)], "c long, bits binary")
+    assert sorted(tuple(r)[:2] for r in ngram_join.tile_pairs(members, sketches).collect()) == list(combinations(range(40), 2))
+    bits, size = np.zeros((40, 16), np.uint64), np.full(40, 100)
+    block = lambda before: len(ngram_join._block_pairs(20, np.arange(40), size, np.arange(40), np.full(40, 20), bits, before))
+    assert block([[]] * 40) == 780 and block([[0]] * 40) == 0 and block([[0]] * 10 + [[]] * 30) == 735
+
+
 def test_ngram_join_sends_sets_in_rounds(spark, monkeypatch):
     """Near copies of one long text spread over tasks: a round sends the sets of about ROUND elements, results stay."""
     texts = [" ".join(f"w{j}" for j in range(i, 600 + i)) for i in range(12)]
