@@ -7,9 +7,11 @@ sample is ln a = ln c - r (t - b) - r; the slot keeps the smallest sample, which
 exactly if term and t are the same. The chance of that is the generalised Jaccard similarity
 sum(min weights) / sum(max weights).
 
-Every one of the ``GROUPS * EACH`` slots takes its least sample over all terms of the text. A
-term's rows are one per group, each with the samples of the group's slots, so that the code of a
-row stays small. A slot is written as 4 hexadecimal digits, dots if the text has no terms. The
+Every one of the ``GROUPS * EACH`` slots takes its least sample over all terms of the text. The
+two hashes of a term and a slot bound its sample from below, and logarithms are taken only where
+the bound is as low as the least sample of a text of that many words is, but for a chance of
+e ** -SURE. If a slot's least sample turns out not to be that low, the text is done again with
+all logarithms, so no fingerprint differs. A slot is written as 4 hexadecimal digits, dots if the text has no terms. The
 likeness of two fingerprints is the share of equal slots among those that are not empty in both;
 it is 1 if both are empty throughout.
 
@@ -33,6 +35,9 @@ WIDTH = 5
 GROUPS = 8
 EACH = 8
 CELL = 256
+SURE = 12
+MOST = 0.135
+MANY = 500_000
 
 
 def term_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -50,21 +55,41 @@ def term_hashes(text: Column, width: int = WIDTH) -> Column:
 
 def _unit(bits: Column, shift: int) -> Column:
     """21 bits of a hash as a number above 0 and below 1."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(1 / (1 << 21))
+
+
+def _drawn(term: Column, slot: Column) -> tuple[Column, Column, Column]:
+    """``x, y, b``: r and c of a term in a slot are -ln x and -ln y."""
+    one, two = F.xxhash64(term, 2 * slot), F.xxhash64(term, 2 * slot + 1)
+    return _unit(one, 0) * _unit(one, 21), _unit(two, 0) * _unit(two, 21), _unit(one, 42)
 
 
 def sample(term: Column, log_weight: Column, slot: Column) -> Column:
     """The term's sample in a slot."""
-    one, two = F.xxhash64(term, 2 * slot), F.xxhash64(term, 2 * slot + 1)
-    r = -F.log(_unit(one, 0) * _unit(one, 21))
-    c = -F.log(_unit(two, 0) * _unit(two, 21))
-    b = _unit(one, 42)
+    x, y, b = _drawn(term, slot)
+    r, c = -F.log(x), -F.log(y)
     t = F.floor(log_weight / r + b)
     return F.log(c) - r * (t - b) - r
 
 
-def fingerprints(texts: DataFrame, keys: list[str], term_arrays: str) -> DataFrame:
-    """``keys, fingerprint`` of the rows' term arrays; rows are told apart by the keys."""
+def may_be_below(tau: Column, term: Column, weight: Column, slot: Column) -> Column:
+    """False only if the term's sample in the slot is at least ln tau; told without a logarithm.
+
+    c is at least d = 2 (1 - y) / (1 + y). A sample of weight S is at least ln c + ln x - ln S, one of weight 1 is
+    ln c + (1 - b) ln x, where x ** (1 - b) is at least v = tau / d if v <= e ** -2 and x >= v (1 - b) ** 2.
+    """
+    x, y, b = _drawn(term, slot)
+    above, below, q = F.lit(2.0) - F.lit(2.0) * y, (F.lit(1.0) + y) * tau, F.lit(1.0) - b
+    return (above * F.lit(MOST) < below) | (x * above < below * F.when(weight == 1, q * q).otherwise(weight))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], term_arrays: str, bounded: bool = True) -> DataFrame:
+    """``keys, fingerprint, whole`` of the rows' term arrays; rows are told apart by the keys.
+
+    The least sample of n terms, repeats counted, is below ln(SURE / n) but for a chance of e ** -SURE, so ``bounded``
+    leaves out others before their logarithms are taken. A fingerprint is ``whole`` if every slot's least sample is
+    below that: then it is the least of all.
+    """
 
     def counted(sorted_terms: Column) -> Column:
         ends = F.filter(
@@ -72,22 +97,33 @@ def fingerprints(texts: DataFrame, keys: list[str], term_arrays: str) -> DataFra
             lambda i: ~F.get(sorted_terms, i).eqNullSafe(F.get(sorted_terms, i + 1)),
         )
         return let(ends, lambda e: F.transform(e, lambda x, k: F.struct(
-            F.get(sorted_terms, x).alias("term"), (x - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("double").alias("weight")
+            F.coalesce(F.get(sorted_terms, x), F.lit(0)).alias("_term"), (x - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("double").alias("_weight"), k.alias("_nth"),
         )))
 
-    some = F.when(F.size(term_arrays) > 0, let(F.sort_array(term_arrays), counted))
-    terms = texts.select(*keys, F.explode_outer(some).alias("_t")).select(
-        *keys, F.col("_t.term").alias("_term"), F.log("_t.weight").alias("_log"),
-        F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("_group"),
-    ).select(*keys, "_group", *[
-        sample(F.col("_term"), F.col("_log"), F.col("_group") * EACH + k).alias(f"_a{k}") for k in range(EACH)
-    ])
-    least = terms.groupBy(*keys, "_group").agg(*[F.min(f"_a{k}").alias(f"_m{k}") for k in range(EACH)])
+    n = F.size(term_arrays)
+    # weight 0 has no logarithm, so a text without terms has null samples
+    none = F.array(F.struct(F.lit(0).cast("long").alias("_term"), F.lit(0.0).alias("_weight"), F.lit(-1).alias("_nth")))
+    some = F.coalesce(F.when(n > 0, let(F.sort_array(term_arrays), counted)), none)
+    tau = F.when(n == 0, 0.0).when(F.lit(bounded), F.lit(float(SURE)) / n).otherwise(float("inf"))
+    terms = texts.withColumn("_tau", tau).select(*keys, "_tau", F.inline(some)).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(GROUPS * EACH - 1))).alias("_slot")
+    )
+    term, weight, slot = F.col("_term"), F.col("_weight"), F.col("_slot")
+    # a text's first term stays in every slot, so every text has all its groups
+    samples = terms.filter((F.col("_nth") <= 0) | may_be_below(F.col("_tau"), term, weight, slot)).select(
+        *keys, "_tau", (slot - slot % EACH).alias("_group"), (slot % EACH).alias("_k"),
+        sample(term, F.log(weight), slot).alias("_a"),
+    )
+    least = samples.groupBy(*keys, "_tau", "_group").agg(*[F.min(F.when(F.col("_k") == k, F.col("_a"))).alias(f"_m{k}") for k in range(EACH)])
     digits = [F.when(F.col(f"_m{k}").isNull(), "....").otherwise(
         F.substring(F.lpad(F.hex(F.xxhash64(f"_m{k}")), 16, "0"), 13, 4)
     ) for k in range(EACH)]
-    groups = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_group", F.concat(*digits).alias("_part")))).alias("_parts"))
-    return groups.select(*keys, F.array_join(F.col("_parts._part"), "").alias("fingerprint"))
+    # a little below, for the rounding of the samples
+    told = (F.col("_tau") == 0) | (F.greatest(*[f"_m{k}" for k in range(EACH)]) < F.log("_tau") - F.lit(1e-6))
+    groups = least.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_group", F.concat(*digits).alias("_part")))).alias("_parts"), F.min(told).alias("whole"),
+    )
+    return groups.select(*keys, F.array_join(F.col("_parts._part"), "").alias("fingerprint"), "whole")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -125,15 +161,27 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.coalesce("_next", "text"), F.lit(1), half))
-    terms = ordered.withColumn("_edited", F.when(F.col("guest") == 0, edited)).select(
-        "cell", "nth", "id", "guest", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("which"), term_hashes(F.col("text")).alias("terms")),
-            F.struct(F.lit(1).alias("which"), term_hashes(F.when(F.col("guest") == 0, F.col("_edited")).otherwise("")).alias("terms")),
-        )).alias("_x"),
-    ).select("cell", "nth", "id", "guest", "n_chars", "edited_sha256", F.col("_x.which").alias("which"), F.col("_x.terms").alias("terms"))
+    ordered = ordered.withColumn("_edited", F.when(F.col("guest") == 0, edited))
     keys = ["cell", "nth", "id", "guest", "n_chars", "edited_sha256", "which"]
-    prints = fingerprints(terms, keys, "terms")
+
+    def terms(texts: DataFrame) -> DataFrame:
+        return texts.select(
+            "cell", "nth", "id", "guest", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
+            F.explode(F.array(
+                F.struct(F.lit(0).alias("which"), term_hashes(F.col("text")).alias("terms")),
+                F.struct(F.lit(1).alias("which"), term_hashes(F.when(F.col("guest") == 0, F.col("_edited")).otherwise("")).alias("terms")),
+            )).alias("_x"),
+        ).select(*keys[:-1], F.col("_x.which").alias("which"), F.col("_x.terms").alias("terms"))
+
+    prints = stored(fingerprints(terms(ordered), keys, "terms"))
+    # about one text in 2,500 has a least sample that is not below the limit; those are done again without one
+    again = prints.filter(~F.col("whole")).select(F.col("cell").alias("_cell"), F.col("nth").alias("_nth")).distinct()
+    if not again.isEmpty():
+        again = F.broadcast(again) if again.limit(MANY + 1).count() <= MANY else again
+        # rows without an id have no cell
+        same = F.col("cell").eqNullSafe(F.col("_cell")) & (F.col("nth") == F.col("_nth"))
+        once = fingerprints(terms(ordered.join(again, same, "left_semi")), keys, "terms", bounded=False)
+        prints = prints.join(again, same, "left_anti").union(once)
     both = prints.groupBy(*keys[:-1]).agg(
         F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),

@@ -326,6 +326,26 @@ def test_fingerprint_counts_heavy_terms_by_their_weight(spark, heavy, others):
     assert np.mean([near[i] for i in range(1, 40, 2)]) == pytest.approx(exact, abs=0.05)
 
 
+def test_fingerprint_takes_few_logarithms_and_leaves_out_no_low_sample(spark):
+    from pyspark.sql import functions as F
+
+    tau, rows = 12 / 400, spark.range(20_000).select(F.xxhash64("id").alias("term"), F.explode(F.array(F.lit(1.0), F.lit(7.0))).alias("weight"))
+    rows = rows.withColumn("slot", (F.col("term") % 64).cast("int"))
+    kept = fingerprint.may_be_below(F.lit(tau), F.col("term"), F.col("weight"), F.col("slot"))
+    got = rows.select("weight", kept.alias("kept"), fingerprint.sample(F.col("term"), F.log("weight"), F.col("slot")).alias("a"))
+    n = {(r["weight"], r["kept"]): (r["n"], r["least"]) for r in got.groupBy("weight", "kept").agg(F.count("*").alias("n"), F.min("a").alias("least")).collect()}
+    for weight in (1.0, 7.0):
+        assert n[weight, False][1] >= np.log(tau)
+    assert n[1.0, True][0] < 0.1 * n[1.0, False][0]
+
+
+def test_fingerprint_is_the_same_when_many_texts_are_done_again(docs, monkeypatch):
+    docs = docs.union(docs.selectExpr("null as doc_id", "concat(text, ' end of a text without an id', doc_id)", *docs.columns[2:]))
+    first = sorted(map(repr, fingerprint.fingerprint_edits(docs).collect()))
+    monkeypatch.setattr(fingerprint, "SURE", 2)
+    assert sorted(map(repr, fingerprint.fingerprint_edits(docs).collect())) == first
+
+
 def test_secrets(spark):
     rnd = random.Random(3)
     key = lambda n: "".join(rnd.choice(secret_scan.ALPHABET[:62]) for _ in range(n))
